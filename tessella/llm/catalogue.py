@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = ("sharding", "exact_dedup", "packing")
+_MODULES = ("sharding", "exact_dedup", "packing", "minhash")
 
 
 def queries() -> dict[str, Query]:
