@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = ("sharding", "exact_dedup", "packing", "minhash", "language", "edit_prints", "warc", "chat", "mixing")
+_MODULES = ("sharding", "exact_dedup", "packing", "minhash", "language", "edit_prints", "warc", "chat", "mixing", "secret_scan")
 
 
 def queries() -> dict[str, Query]:
