@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm._arrow import pieces, strings
@@ -26,13 +26,18 @@ from tessella.llm.storage import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 NONE = -(2**63)
+_TAG = "tessella_digest_"
+
+
+def _digest(text: memoryview, null: bool) -> bytes:
+    return hashlib.sha256(b"" if null else bytes(text).translate(ASCII_LOWER)).digest()
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     uid = (TaskContext.get().partitionId() << 33) - 1
     for batch in pieces(batches, 4096, 8 << 20):
         data, at, nulls = strings(batch.column(1))
-        digests = [hashlib.sha256(b"" if n else bytes(data[a:b]).translate(ASCII_LOWER)).digest() for a, b, n in zip(at, at[1:], nulls)]
+        digests = [_digest(data[a:b], n) for a, b, n in zip(at, at[1:], nulls)]
         uids = pa.array(range(uid + 1, uid + 1 + len(digests)), pa.int64())
         uid += len(digests)
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), uids, pa.array(digests, pa.binary())], ["doc_id", "uid", "digest"])
@@ -97,6 +102,23 @@ def dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, 4096, 8 << 20):
+        data, at, nulls = strings(batch.column(batch.schema.get_field_index("text")))
+        tags = [_digest(data[a:b], n) for a, b, n in zip(at, at[1:], nulls)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.binary())], [*batch.schema.names, _TAG])
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, that stay: one row of each group of equal texts, even where rows repeat."""
+    stay = dedup(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("tessella_id_"), F.unhex("text_sha256").alias("tessella_tag_"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    tagged = docs.mapInArrow(_tagged, f"{kinds}, {_TAG} binary")
+    kept = tagged.join(stay, (F.col(_TAG) == F.col("tessella_tag_")) & F.col("doc_id").eqNullSafe(F.col("tessella_id_")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", _TAG).orderBy(F.lit(0)))
+    return kept.withColumn("tessella_nth_", nth).where("tessella_nth_ = 1").select(*docs.columns)
+
+
 def op7_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -261,6 +261,12 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     )
 
 
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns, that stay: of each group the one with the smallest id."""
+    stay = near_groups(docs.select("doc_id", "text"), width, percent).where("kept or component_id is null").select(F.col("doc_id").alias("tessella_id_")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("tessella_id_")), "left_semi")
+
+
 def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
 

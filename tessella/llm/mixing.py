@@ -106,8 +106,8 @@ def mix(docs: DataFrame, part: float = 1.0, epochs: int = EPOCHS, seed: int = SE
 
 def mixed(docs: DataFrame, part: float, weights: dict[str, dict[str, float]] | None = None, seed: int = SEED) -> DataFrame:
     """The documents, all columns, that one epoch's mix has, once each."""
-    chosen = mix(docs, part, 1, seed, weights).where("copies > 0").select(F.col("doc_id").alias("chosen_id")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi")
+    chosen = mix(docs, part, 1, seed, weights).where("copies > 0").select(F.col("doc_id").alias("tessella_id_")).distinct()
+    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("tessella_id_")), "left_semi")
 
 
 def op8_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
