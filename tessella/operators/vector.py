@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,55 @@ def topk(vectors: DataFrame, probe: DataFrame, key: str, k: int) -> DataFrame:
         .orderBy(F.desc("score"), key)
         .limit(k)
     )
+
+
+def scored(vectors: DataFrame, probes: DataFrame) -> DataFrame:
+    """Each vector against each probe of a stated, small set: columns of vectors, probe_id, score."""
+    q = F.broadcast(probes.select("probe_id", F.col("embedding").alias("probe")))
+    return vectors.where(F.col("embedding").isNotNull()).join(q).withColumn("score", F.round(cosine(F.col("embedding"), F.col("probe")), 6)).drop("embedding", "probe")
+
+
+def best_of(scores: DataFrame, groups: list[str], key: str, k: int) -> DataFrame:
+    """The k best rows of each group, numbered from 1, ties by key."""
+    nth = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("score"), key))
+    return scores.withColumn("rank", nth).where(F.col("rank") <= k)
+
+
+def of_dimension(vectors: DataFrame, dim: int) -> DataFrame:
+    """Only vectors of the index's dimension."""
+    return vectors.where(F.size("embedding") == dim)
+
+
+def quantised(v: Column) -> Column:
+    """The unit vector in steps of 1/127, as integers."""
+    return F.transform(l2_normalised(v), lambda x: F.greatest(F.least(F.round(x * 127), F.lit(127.0)), F.lit(-127.0)).cast("int"))
+
+
+def dot_quantised(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x) / (127.0 * 127.0)
+
+
+def pooled(vectors: DataFrame, group: str, mask: Column) -> DataFrame:
+    """(group, dim, value): the masked sum of each group's vectors, as a unit vector."""
+    flat = vectors.where(mask).select(group, F.posexplode("embedding").alias("dim", "x"))
+    sums = flat.groupBy(group, "dim").agg(F.sum(F.col("x").cast("double")).alias("value"))
+    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(group)))
+    return sums.select(group, "dim", F.when(length > 0, F.col("value") / length).otherwise(F.col("value")).alias("value"))
+
+
+def batches(texts: DataFrame, order: list[str], rows: int, size: int) -> DataFrame:
+    """Texts in order, in batches of at most so many rows and bytes; a larger text travels alone. Each task batches its own rows."""
+
+    def run(pdfs):
+        batch = n = total = 0
+        for pdf in pdfs:
+            out = []
+            for b in pdf["bytes"]:
+                if n and (n >= rows or total + b > size):
+                    batch, n, total = batch + 1, 0, 0
+                n, total = n + 1, total + b
+                out.append(batch)
+            yield pdf.assign(batch=out)
+
+    source = texts.sortWithinPartitions(*order)
+    return source.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema) + ", batch long")

@@ -21,3 +21,86 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     probe = vectors.where("vec_id = 0").select(F.lit(0).alias("query_id"), "embedding")
     return vector.topk(vectors, probe, key="vec_id", k=20).select("vec_id", "score")
+
+
+_PROBE = "(SELECT vec_id AS probe_id, embedding AS probe FROM embeddings WHERE vec_id < {n})"
+_SCORED = "scored AS (SELECT e.vec_id, e.label, q.probe_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.probe::DOUBLE[]), 6) AS score FROM embeddings e, " + _PROBE + " q)"
+
+
+def _probes(vectors: DataFrame, n: int) -> DataFrame:
+    return vectors.where(F.col("vec_id") < n).select(F.col("vec_id").alias("probe_id"), "embedding")
+
+
+@query("vector_topk_per_repo", f"WITH {_SCORED.format(n=1)} SELECT label, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id)::INT AS rank FROM scored) WHERE rank <= 5")
+def vector_topk_per_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector.best_of(vector.scored(vectors, _probes(vectors, 1)), ["label"], "vec_id", 5).select("label", "vec_id", "score", "rank")
+
+
+@query(
+    "vector_fanout_merge",
+    f"""WITH {_SCORED.format(n=3)}, shard AS (SELECT *, row_number() OVER (PARTITION BY probe_id, label ORDER BY score DESC, vec_id) AS r FROM scored)
+        SELECT probe_id, vec_id, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, vec_id)::INT AS rank FROM shard WHERE r <= 10) WHERE rank <= 10""",
+)
+def vector_fanout_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per shard the best ten, then the best ten of all: exact, as scores of shards compare."""
+    vectors = table(spark, sf_dir, "embeddings")
+    shards = vector.best_of(vector.scored(vectors, _probes(vectors, 3)), ["probe_id", "label"], "vec_id", 10).drop("rank")
+    return vector.best_of(shards, ["probe_id"], "vec_id", 10).select("probe_id", "vec_id", "label", "score", "rank")
+
+
+@query("vector_dim_guard", "SELECT label, count(*) AS kept, count(*) FILTER (WHERE len(embedding) <> 64) AS skipped FROM embeddings GROUP BY label")
+def vector_dim_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    counts = vectors.groupBy("label").agg(F.count("*").alias("n"))
+    kept = vector.of_dimension(vectors, 64).groupBy("label").agg(F.count("*").alias("kept"))
+    return counts.join(kept, "label", "left").select("label", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("n") - F.coalesce("kept", F.lit(0))).alias("skipped"))
+
+
+@query("file_cosine_4k", f"WITH {_SCORED.format(n=1)} SELECT vec_id, score FROM scored WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 20")
+def file_cosine_4k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file's vectors, four times as many as asked for, as a reranker's input."""
+    vectors = table(spark, sf_dir, "embeddings")
+    one_file = vector.scored(vectors.where("label = 3"), _probes(vectors, 1))
+    return one_file.orderBy(F.desc("score"), "vec_id").limit(4 * 5).select("vec_id", "score")
+
+
+_Q8 = "list_transform({v}, lambda x: greatest(least(round(x / sqrt(list_sum(list_transform({v}, lambda y: y::DOUBLE * y::DOUBLE))) * 127), 127), -127)::INT)"
+_APPROX = f"""q8 AS (SELECT vec_id, {_Q8.format(v="embedding::DOUBLE[]")} AS q FROM embeddings),
+    approx AS (SELECT e.vec_id, p.vec_id AS probe_id, list_sum(list_transform(list_zip(e.q, p.q), lambda z: (z[1] * z[2])::BIGINT))::DOUBLE / 16129.0 AS score FROM q8 e, q8 p WHERE p.vec_id < {{n}})"""
+
+
+def _approximate(vectors: DataFrame, n: int) -> DataFrame:
+    q = vectors.select("vec_id", vector.quantised(F.col("embedding")).alias("q"))
+    probes = F.broadcast(q.where(F.col("vec_id") < n).select(F.col("vec_id").alias("probe_id"), F.col("q").alias("p")))
+    return q.join(probes).select("vec_id", "probe_id", vector.dot_quantised(F.col("q"), F.col("p")).alias("score"))
+
+
+@query("quantized_topk", f"WITH {_APPROX.format(n=1)} SELECT vec_id, round(score, 6) AS score FROM approx ORDER BY score DESC, vec_id LIMIT 20")
+def quantized_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _approximate(table(spark, sf_dir, "embeddings"), 1)
+    return found.orderBy(F.desc("score"), "vec_id").limit(20).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "quantization_recall",
+    f"""WITH {_SCORED.format(n=20)}, {_APPROX.format(n=20)},
+        a AS (SELECT probe_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, vec_id) AS r FROM scored) WHERE r <= 10),
+        b AS (SELECT probe_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, vec_id) AS r FROM approx) WHERE r <= 10)
+        SELECT a.probe_id, count(b.vec_id) / 10.0 AS recall FROM a LEFT JOIN b USING (probe_id, vec_id) GROUP BY a.probe_id""",
+)
+def quantization_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    exact = vector.best_of(vector.scored(vectors, _probes(vectors, 20)), ["probe_id"], "vec_id", 10).select("probe_id", "vec_id")
+    near = vector.best_of(_approximate(vectors, 20), ["probe_id"], "vec_id", 10).select("probe_id", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(near, ["probe_id", "vec_id"], "left").groupBy("probe_id").agg((F.count("hit") / 10.0).alias("recall"))
+
+
+@query(
+    "masked_mean_pool",
+    """WITH s AS (SELECT label, i - 1 AS dim, sum(embedding[i]::DOUBLE) AS v FROM embeddings, range(1, 65) t(i) WHERE vec_id % 3 <> 0 GROUP BY ALL)
+       SELECT label, dim::INT AS dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 6) AS value FROM s""",
+)
+def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector.pooled(table(spark, sf_dir, "embeddings"), "label", F.col("vec_id") % 3 != 0)
+    return found.select("label", "dim", F.round("value", 6).alias("value"))
