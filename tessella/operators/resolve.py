@@ -29,36 +29,23 @@ def normal_path(path: Column) -> Column:
     return F.concat(F.when(slashed(path).startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
 
 
-def import_base(import_path: Column, from_file: Column) -> Column:
-    """struct(path, whole) of an import without its ending: whole paths are relative imports, others may follow any prefix."""
-    lang = language(from_file)
-    here = parent(from_file)
-    dots = F.length(F.regexp_extract(import_path, r"^(\.+)", 1))
-    dotted = import_path.rlike(r"^\.") & ~import_path.rlike(r"^\.\.?/") & (lang == "python")
-    ups = F.concat(here, F.repeat(F.lit("/.."), F.greatest(dots - 1, F.lit(0))), F.lit("/"), F.replace(F.regexp_replace(import_path, r"^\.+", ""), F.lit("."), F.lit("/")))
-    rust = F.replace(F.regexp_replace(import_path, r"^(crate|self|super)::", ""), F.lit("::"), F.lit("/"))
-    base = (
-        F.when(dotted, normal_path(ups))
-        .when(import_path.rlike(r"^\.\.?/"), F.regexp_replace(normal_path(F.concat(here, F.lit("/"), import_path)), F.when(lang == "python", r"\.py$").otherwise("$^"), F.lit("")))
-        .when(lang == "python", F.replace(import_path, F.lit("."), F.lit("/")))
-        .when((lang == "rust") & import_path.startswith("super::"), normal_path(F.concat(here, F.lit("/"), rust)))
-        .when((lang == "rust") & import_path.startswith("self::"), normal_path(F.concat(here, F.lit("/"), rust)))
-        .when(lang == "rust", rust)
-        .otherwise(import_path)
+def tries(imports: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows of imports (keep, import_path, from_file) as (keep, rank, suffix, whole): the endings to try, in order.
+
+    Whole suffixes are paths of relative imports; others may follow any prefix. Languages without rules give no rows."""
+    endings = F.create_map(*[x for name, e in PROBES.items() for x in (F.lit(name), F.array(*map(F.lit, e)))])
+    path, lang, here = F.col("import_path"), F.col("lang_"), F.concat(F.col("here_"), F.lit("/"))
+    rows = imports.where("import_path is not null").select(*keep, "import_path", language(F.col("from_file")).alias("lang_"), parent(F.col("from_file")).alias("here_"))
+    rows = rows.where(lang.isin(*PROBES)).withColumn("dots_", F.length(F.regexp_extract(path, r"^(\.+)", 1)))
+    plain = F.regexp_replace(path, r"^(crate|self|super)::", "")
+    joined = (
+        F.when((lang == "python") & (F.col("dots_") > 0) & ~path.rlike(r"^\.\.?/"), F.concat(here, F.repeat(F.lit("../"), F.col("dots_") - 1), F.translate(F.regexp_replace(path, r"^\.+", ""), ".", "/")))
+        .when(F.col("dots_") > 0, F.concat(here, F.when(lang == "python", F.regexp_replace(path, r"\.py$", "")).otherwise(path)))
+        .when((lang == "rust") & path.rlike("^(self|super)::"), F.concat(here, F.replace(plain, F.lit("::"), F.lit("/"))))
     )
-    whole = import_path.startswith(".") | import_path.startswith("self::") | import_path.startswith("super::")
-    return F.struct(base.alias("path"), whole.alias("whole"))
-
-
-def probes(import_path: Column, from_file: Column) -> Column:
-    """array<struct(rank, suffix, whole)>: the endings to try, in order; none for languages without rules."""
-    lang = language(from_file)
-    base = import_base(import_path, from_file)
-    out = F.array().cast("array<struct<rank:int,suffix:string,whole:boolean>>")
-    for name, endings in PROBES.items():
-        tries = F.array(*[F.struct(F.lit(i).alias("rank"), F.concat(base["path"], F.lit(e)).alias("suffix"), base["whole"].alias("whole")) for i, e in enumerate(endings)])
-        out = F.when(lang == name, tries).otherwise(out)
-    return F.when(import_path.isNull(), F.array().cast("array<struct<rank:int,suffix:string,whole:boolean>>")).otherwise(out)
+    loose = F.when(lang == "python", F.translate(path, ".", "/")).when(lang == "rust", F.replace(plain, F.lit("::"), F.lit("/"))).otherwise(path)
+    rows = rows.select(*keep, "lang_", joined.alias("joined_"), loose.alias("loose_")).select(*keep, "lang_", F.col("joined_").isNotNull().alias("whole"), F.coalesce(normal_path(F.col("joined_")), "loose_").alias("base_"))
+    return rows.select(*keep, "whole", "base_", F.posexplode(endings[lang]).alias("rank", "ending_")).select(*keep, "rank", F.concat("base_", "ending_").alias("suffix"), "whole")
 
 
 def _tail(path: Column) -> Column:
@@ -81,11 +68,10 @@ def ending_with(wanted: DataFrame, places: DataFrame, by: list[str]) -> DataFram
 
 def import_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports (import_id, import_path, from_file) with file: the first ending that some file has, and of its files the least."""
-    tries = imports.select("import_id", F.explode(probes(F.col("import_path"), F.col("from_file"))).alias("p")).select("import_id", "p.rank", "p.suffix", "p.whole")
+    wanted = tries(imports, ["import_id"])
     every = files.select("file").distinct()
-    whole = tries.where("whole").join(every, F.col("suffix") == F.col("file")).select("import_id", "rank", "file")
-    wanted = tries.where("not whole").select("suffix").distinct()
-    loose = tries.where("not whole").join(_suffix_files(wanted, every), "suffix").select("import_id", "rank", "file")
+    whole = wanted.where("whole").join(every, F.col("suffix") == F.col("file")).select("import_id", "rank", "file")
+    loose = wanted.where("not whole").join(_suffix_files(wanted.where("not whole").select("suffix").distinct(), every), "suffix").select("import_id", "rank", "file")
     best = whole.unionByName(loose).groupBy("import_id").agg(F.min(F.struct("rank", "file")).alias("b"))
     return imports.join(best, "import_id").select(*imports.columns, F.col("b.file").alias("file"))
 
@@ -132,10 +118,10 @@ def resolved(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     level4 = s.groupBy("name").agg(F.min(by_hand).alias("c4"))
     level3 = s.groupBy("name", F.col("file").alias("from_file")).agg(F.min(by_place).alias("c3"))
     level2 = s.groupBy("name", "folder").agg(F.min(by_hand).alias("c2"))
-    tries = e.where("import_path is not null").select("edge_id", F.col("to_name").alias("name"), F.explode(probes(F.col("import_path"), F.col("from_file"))).alias("p")).select("edge_id", "name", "p.*")
-    wanted = tries.select("name", "suffix", "whole").distinct()
+    tried = tries(e.withColumn("name", F.col("to_name")), ["edge_id", "name"])
+    wanted = tried.select("name", "suffix", "whole").distinct()
     found0 = ending_with(wanted, s, ["name"]).where("not whole or file = suffix").groupBy("name", "suffix", "whole").agg(F.min(by_place).alias("c"))
-    level0 = tries.join(found0, ["name", "suffix", "whole"]).groupBy("edge_id").agg(F.min_by("c", "rank").alias("c0"))
+    level0 = tried.join(found0, ["name", "suffix", "whole"]).groupBy("edge_id").agg(F.min_by("c", "rank").alias("c0"))
     ends = e.where("slash").select(F.col("to_name").alias("name"), F.col("import_path").alias("suffix")).distinct()
     level1 = ending_with(ends, s, ["name"]).groupBy("name", "suffix").agg(F.min(by_hand).alias("c1"))
     joined = (

@@ -125,13 +125,13 @@ def raw_edges(spark: SparkSession, d: str) -> DataFrame:
     path = F.when(k % 9 == 0, F.concat(F.lit("b"), "b", F.lit("/m"), (k % 7).cast("string"), F.lit(".py"))).when(k % 9 == 3, "helper").when(k % 9 == 6, F.concat(F.lit("pkg.b"), "b", F.lit(".m"), (k % 7).cast("string")))
     return (
         table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .select(k.alias("edge_id"), F.concat(F.lit("pkg/b"), (F.col("l_suppkey") % 25 + 1).cast("string"), F.lit("/m"), (k % 7).cast("string"), F.lit(".py")).alias("from_file"),
+        .select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("edge_id"), F.concat(F.lit("pkg/b"), (F.col("l_suppkey") % 25 + 1).cast("string"), F.lit("/m"), (k % 7).cast("string"), F.lit(".py")).alias("from_file"),
                 F.concat(F.lit("o:"), "l_orderkey").alias("from_fqn"), name.alias("to_name"), path.alias("import_path"), F.col("l_linenumber").alias("line"),
                 F.when(F.col("l_returnflag") == "R", F.round(0.5 + F.col("l_discount"), 2)).alias("confidence"))
     )
 
 
-RAW_EDGE = f"""raw_edge AS (SELECT k AS edge_id, 'pkg/b' || (l_suppkey % 25 + 1) || '/m' || (k % 7) || '.py' AS from_file, 'o:' || l_orderkey AS from_fqn,
+RAW_EDGE = f"""raw_edge AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::INT AS edge_id, 'pkg/b' || (l_suppkey % 25 + 1) || '/m' || (k % 7) || '.py' AS from_file, 'o:' || l_orderkey AS from_fqn,
     CASE WHEN k % 13 = 0 THEN 'taint:source:env' WHEN k % 11 = 0 THEN 'gone_' || k ELSE p_name END AS to_name,
     CASE WHEN k % 9 = 0 THEN 'b' || substr(p_brand, 7) || '/m' || (k % 7) || '.py' WHEN k % 9 = 3 THEN 'helper' WHEN k % 9 = 6 THEN 'pkg.b' || substr(p_brand, 7) || '.m' || (k % 7) END AS import_path,
     l_linenumber AS line, {_INFERRED} AS confidence FROM (SELECT *, l_orderkey * 8 + l_linenumber AS k FROM lineitem JOIN part ON l_partkey = p_partkey))"""
