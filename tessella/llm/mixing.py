@@ -32,6 +32,8 @@ SEED = 17
 DOMAINS = ("web", "books", "code", "forum")
 #: A prefix is found within these many hash ranges of a leaf.
 RANGES = 1024
+#: Parts of a leaf's documents that meet its budget apart.
+SALTS = 64
 
 
 def domain_of(source: Column) -> Column:
@@ -93,7 +95,10 @@ def mix(docs: DataFrame, part: float = 1.0, epochs: int = EPOCHS, seed: int = SE
     """Each document's leaf, tokens, its leaf's budget, and copies: how often the mix has it."""
     leaves = written(leaves_of(docs), "leaves")
     planned = budgets(leaves, part, epochs, weights or WEIGHTS)
-    placed = leaves.join(planned, list(TREE)).withColumn("epochs", F.floor(F.col("leaf_budget") / F.col("supply")).cast("long"))
+    # a hot leaf's documents are spread over salts, and each leaf's one row is repeated for them
+    salted = planned.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = leaves.withColumn("salt_", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    placed = spread.join(salted, [*TREE, "salt_"]).drop("salt_").withColumn("epochs", F.floor(F.col("leaf_budget") / F.col("supply")).cast("long"))
     hexed = F.md5(F.concat_ws(":", F.lit(seed), "epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
     placed = placed.withColumn("draw_", F.conv(F.substring(hexed, 1, 12), 16, 10).cast("long")).withColumn("range_", F.shiftright("draw_", 38))
     offsets = bucket_offsets(placed, list(TREE), "range_", F.col("tokens"))
