@@ -171,3 +171,14 @@ def proximity_names(calls: DataFrame, symbols: DataFrame, most: int = 30) -> Dat
     nth = F.row_number().over(Window.partitionBy("out_name").orderBy("near", "name"))
     first = named.withColumn("nth", nth).where(F.col("nth") <= most)
     return first.groupBy(F.col("out_name").alias("fqn")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "name"))), lambda x: x["name"]), ", ").alias("names"))
+
+
+def reached(calls: DataFrame, seeds: DataFrame, depth: int, direction: str = "callers") -> DataFrame:
+    """(fqn, depth) of what reaches any of the seeds (fqn) within so many hops, without the seeds."""
+    edges = _turned(calls, direction).select("node", "other").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    frontier = seeds.select("fqn").distinct()
+    seen = frontier.withColumn("depth", F.lit(0))
+    for d in range(1, depth + 1):
+        frontier = frontier.join(edges, frontier["fqn"] == edges["node"]).select(F.col("other").alias("fqn")).distinct().join(seen.select("fqn"), "fqn", "left_anti")
+        seen = seen.unionByName(frontier.withColumn("depth", F.lit(d)))
+    return seen.where("depth > 0")

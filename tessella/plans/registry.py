@@ -36,4 +36,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tessella.plans import graph_queries, resolve_queries, search_queries, vector_queries  # noqa: F401
+    from tessella.plans import graph_queries, interval_queries, resolve_queries, search_queries, vector_queries  # noqa: F401
