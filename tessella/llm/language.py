@@ -50,10 +50,11 @@ def _codes() -> np.ndarray:
 
 def letters(text: str) -> np.ndarray:
     """Letter codes with a single 0 between words and at both ends; empty if there is no letter."""
-    out = []
+    out, last = [], np.zeros(1, np.uint8)
     for at in range(0, len(text), SLICE):
         c = _codes()[np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), "<u4")]
-        c = np.concatenate([out[-1][-1:] if out else np.zeros(1, np.uint8), c])
+        c = np.concatenate([last, c])
+        last = c[-1:]
         out.append(c[1:][(c[1:] != 0) | (c[:-1] != 0)])
     codes = np.concatenate([np.zeros(1, np.uint8), *out]) if out else np.zeros(0, np.uint8)
     if not codes.any():
