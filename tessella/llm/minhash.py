@@ -5,8 +5,10 @@
 2. Classes that share a band key are compared by counting equal fields of their packed signatures; the count is corrected
    for fields that agree by chance. Pairs whose estimate is within five standard deviations of the threshold, or above,
    join a cluster. A band key of very many classes joins them all to one cluster, without comparing.
-3. Within clusters, links are confirmed on full sets: in blocks of bounded size, each block against each other of its
-   cluster, by counting common shingles over an inverted index. A block sends back a spanning forest of its links.
+3. Within clusters, links are confirmed on full sets, by counting common shingles over an inverted index, in blocks of
+   bounded size. First each block meets itself and a few pivots of its cluster; in a group of near copies that joins
+   nearly all. Only what is left outside of the cluster's largest component then meets each block of the cluster, as no
+   link inside of that component can tell anything. A block sends back a spanning forest of its links.
 4. Components of the links are the groups; each is named by its smallest doc_id.
 
 A pair at the threshold shares no band with probability (1 - 0.8^4)^32 = 5e-8, and less above it.
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm._arrow import pieces, strings
-from tessella.llm.components import Forest, components
+from tessella.llm.components import BLOCK, Forest, components
 from tessella.llm.storage import written
 from tessella.llm.words import mix, shingles, word_hashes
 
@@ -37,7 +39,9 @@ MARGIN = 5.0
 #: Band keys of more classes than this are not compared pair by pair.
 BUCKET = 2048
 #: Of a block of a cluster: classes, and shingles of all of them.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
+#: Blocks of a cluster of which each sends one class, its first, to all others.
+PIVOTS = 8
 NONE = -(2**63)
 _rng = np.random.default_rng(77_003)
 _A = (_rng.integers(0, 2**31, MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -145,15 +149,11 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def _pairs(out: list[tuple[int, int]], names: tuple[str, str] = ("u", "v")) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], list(names))
-
-
 def _alike(least: float):
     """From rows (band, id, signature) in order of band: a star for each set of ids that alike pairs connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
+        forest = Forest()
         for group in _runs(batches, 1):
             ids = group.column("id").to_numpy()
             marks = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint64).reshape(len(ids), -1)
@@ -163,18 +163,19 @@ def _alike(least: float):
                 while todo and len(left):
                     hit = estimate(marks[todo.pop()], marks[left]) >= least
                     found, left = left[hit], left[~hit]
-                    out += [(int(ids[x]), int(ids[seed])) for x in found]
+                    for x in found.tolist():
+                        forest.join(int(ids[x]), int(ids[seed]))
                     todo += found.tolist()
-            if len(out) >= 50_000:
-                yield _pairs(out)
-                out = []
-        yield _pairs(out)
+            if len(forest) >= BLOCK:
+                yield forest.stars()
+                forest = Forest()
+        yield forest.stars()
 
     return run
 
 
-def confirmed(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; if there are two sides, of the links across. 100 |A and B| >= percent |A or B|."""
+def confirm(forest: Forest, ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent: int) -> None:
+    """Joins the links among sets; if there are two sides, the links across. 100 |A and B| >= percent |A or B|."""
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -183,7 +184,8 @@ def confirmed(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percen
     holders, start = owner[order], np.concatenate([[0], np.cumsum(np.bincount(local))])
     first = np.concatenate([[0], np.cumsum(sizes)])
     across = len(np.unique(sides)) > 1
-    forest, joined = Forest(), 0
+    own_sets = Forest()
+    joined = 0
     for x in range(len(sets)):
         if across and sides[x] != sides.min():
             continue
@@ -197,24 +199,25 @@ def confirmed(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percen
         hit = 100 * common >= percent * (sizes + sizes[x] - common)
         hit &= (sides != sides[x]) if across else (np.arange(len(sets)) > x)
         for y in np.flatnonzero(hit).tolist():
-            joined += forest.join(int(ids[x]), int(ids[y]))
+            a, b = int(ids[x]), int(ids[y])
+            if new := own_sets.join(a, b):
+                forest.join(a, b)
+            joined += new
         if joined >= len(sets) - 1:
             break
-    return forest.stars()
 
 
 def _checked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
+        forest = Forest()
         for group in _runs(batches, 3):
             ids, sides = group.column("id").to_numpy(), group.column("side").to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in group.column("members").to_pylist()]
-            if group.column("i")[0].as_py() == group.column("j")[0].as_py() or len(set(sides.tolist())) > 1:
-                out += confirmed(ids, sets, sides, percent)
-            if len(out) >= 50_000:
-                yield _pairs(out)
-                out = []
-        yield _pairs(out)
+            if len(ids) > 1:
+                confirm(forest, ids, [np.frombuffer(x, np.uint64) for x in group.column("members").to_pylist()], sides, percent)
+            if len(forest) >= BLOCK:
+                yield forest.stars()
+                forest = Forest()
+        yield forest.stars()
 
     return run
 
@@ -228,6 +231,42 @@ def _listed(width: int):
     return run
 
 
+def _dealt(classes: DataFrame) -> DataFrame:
+    """Rows (id, n_shingles, cluster) with their block, side, and the number of their cluster's blocks."""
+    weights = classes.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    spread = classes.join(weights.select("cluster", blocks.alias("blocks")), "cluster")
+    return spread.select("id", "cluster", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("side"), "blocks")
+
+
+def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of the links among sets (id, cluster, side, blocks, members), all of them."""
+
+    def links(meetings: DataFrame) -> DataFrame:
+        return meetings.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "id").mapInArrow(_checked(percent), "u long, v long")
+
+    columns = ["cluster", "i", "j", "id", "side", "members"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = sets.withColumns({"i": F.col("side"), "j": F.col("side")}).select(*columns)
+    first = sets.where((F.col("side") < PIVOTS) & (F.col("blocks") > 1)).groupBy("cluster", "side").agg(F.min("id").alias("pivot"))
+    pivots = sets.join(first.select("cluster", "side", F.col("pivot").alias("id")), ["cluster", "side", "id"]).select("*", every("blocks").alias("i")).where("i <> side")
+    at_home = components(links(home.unionByName(pivots.withColumns({"j": F.col("i"), "side": F.col("i")}).select(*columns))))
+
+    large = sets.where("blocks > 1").select("id", "cluster", F.floor(F.length("members") / 8).alias("n_shingles"))
+    joined = large.join(at_home, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = joined.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
+    outside = joined.join(largest, "cluster").where("component <> most")
+    rest = written(_dealt(outside.select("id", "n_shingles", "cluster")).select("id", F.col("side").alias("part"), F.col("blocks").alias("parts")), "rest")
+    if rest.isEmpty():
+        return at_home
+    left = sets.join(rest, "id").select("*", every("blocks").alias("j")).select("cluster", F.col("part").alias("i"), "j", "id", F.lit(0).alias("side"), "members")
+    parts = sets.join(rest, "id").groupBy("cluster").agg(F.max("parts").alias("parts"))
+    right = sets.join(parts, "cluster").select("*", every("parts").alias("i")).select("cluster", "i", F.col("side").alias("j"), "id", F.lit(1).alias("side"), "members")
+    across = links(left.unionByName(right)).unionByName(at_home.select(F.col("id").alias("u"), F.col("component").alias("v")))
+    return components(across)
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Each row's doc_id, n_shingles, component_id and kept (the smallest id of its component)."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), "text")
@@ -243,16 +282,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     alike = small.repartition("band").sortWithinPartitions("band", "id").mapInArrow(_alike(floor_of(percent / 100)), "u long, v long")
     edges = alike.unionByName(members.where(F.col("n") > BUCKET).select(F.col("id").alias("u"), F.col("first").alias("v")))
     clusters = components(edges).join(classes.select("id", "n_shingles"), "id")
-    weights = clusters.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    dealt = clusters.join(weights.select("component", blocks.alias("blocks")), "component").select(
-        "id", F.col("component").alias("cluster"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("side"), "blocks"
-    )
-    sets = dealt.join(docs.withColumnRenamed("doc_id", "id"), "id").mapInArrow(_listed(width), "id long, cluster long, side int, blocks int, members binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    meetings = sets.select("*", other).select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "side", "members")
-    links = meetings.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id").mapInArrow(_checked(percent), "u long, v long")
-    groups = components(links)
+    dealt = _dealt(clusters.withColumnRenamed("component", "cluster"))
+    sets = written(dealt.join(docs.withColumnRenamed("doc_id", "id"), "id").mapInArrow(_listed(width), "id long, cluster long, side int, blocks int, members binary"), "sets")
+    groups = _confirmed(sets, percent)
     named = classes.select("class", "id").join(groups, "id", "left").select("class", F.coalesce("component", "id").alias("component"))
     component = F.coalesce("component", "doc_id")
     real = lambda c: F.when(c != NONE, c)
