@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from tessella.llm.storage import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 NONE = -(2**63)
+#: Groups that a task hands on at once.
+OUT_ROWS = 20_000
 _TAG = "tessella_digest_"
 
 
@@ -72,7 +75,7 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (keep, uid) > (live[0], live[1]):
                     live[0], live[1] = keep, uid
     found = iter(index.stored.items())
-    while part := [x for x, _ in zip(found, range(20_000))]:
+    while part := list(islice(found, OUT_ROWS)):
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in part], pa.binary()), *(pa.array([v[i] for _, v in part], pa.int64()) for i in range(3))], ["digest", "keep_id", "keep_uid", "group_size"]
         )

@@ -82,6 +82,16 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup.dedup(empty).count() == 0 and exact_dedup.survivors(empty).count() == 0
 
 
+def test_exact_dedup_hands_on_every_group(monkeypatch):
+    import pyarrow as pa
+
+    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(digests * 2, pa.binary()), *(pa.array(range(100), pa.int64()) for _ in range(2)), pa.array([1] * 100, pa.int64())], ["digest", "keep_id", "keep_uid", "group_size"])
+    monkeypatch.setattr(exact_dedup, "OUT_ROWS", 7)
+    got = [r for b in exact_dedup._folded(iter([batch])) for r in b.to_pylist()]
+    assert {r["digest"]: (r["keep_id"], r["group_size"]) for r in got} == {d: (50 + i, 2) for i, d in enumerate(digests)} and len(got) == 50
+
+
 def test_cuckoo_filter_forgets_nothing_and_deletes():
     index, rng = CuckooIndex(8), random.Random(1)
     keys = [rng.randbytes(32) for _ in range(3000)]
