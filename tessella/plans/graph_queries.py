@@ -161,6 +161,26 @@ def area_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _components(spark, sf_dir).join(t.symbols(spark, sf_dir), "fqn").groupBy("component", "file").agg(F.count("*").alias("n"))
 
 
+def _areas(spark: SparkSession, d: str) -> DataFrame:
+    """Components over all call sites and symbols; a name without an edge to another is a component of its own."""
+    calls, symbols = t.calls(spark, d), t.symbols(spark, d)
+    joined = graph.components(calls.select(F.col("in_name").alias("a"), F.col("out_name").alias("b")))
+    names = symbols.select("fqn").unionByName(calls.select(F.explode(F.array("in_name", "out_name")).alias("fqn"))).distinct()
+    return names.join(joined, "fqn", "left").select("fqn", F.coalesce("component", "fqn").alias("component"))
+
+
+@query("connected_components_whole")
+def connected_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """connected_components, held to its SQL, is on weak edges only; this is on the whole graph. Its SQL would recurse over a giant component: a test holds it against union-find."""
+    return _areas(spark, sf_dir)
+
+
+@query("area_files_whole")
+def area_files_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """area_files over the whole graph."""
+    return _areas(spark, sf_dir).join(t.symbols(spark, sf_dir), "fqn").groupBy("component", "file").agg(F.count("*").alias("n"))
+
+
 def _side(at: str, file: str, p: str) -> str:
     return f"SELECT {at} AS fqn, count(*) AS {p}_sites, count(DISTINCT {file}) AS {p}_files, bool_or({_W} < 1.0) AS {p}_inferred FROM calls GROUP BY 1"
 
