@@ -4,6 +4,11 @@ Letters have random vectors of +1 and -1. A trigram binds its letters' vectors,
 multiplication; a text bundles its trigrams by addition; a language's prototype bundles its training texts. The prototypes'
 common part is taken off, and a text gets the language whose prototype has the largest cosine with it.
 
+The largest of the centred cosines is never negative, so the score can't tell that a text is in no learned language.
+`accepted` goes by the cosine of a text's distinct trigrams with the language's prototype as it was before the common part
+went: half of the median of the learning texts of that language and of about as many distinct trigrams is the least. Where
+few such texts are learned from, as in tiny tables, the median is theirs, whatever they are.
+
 Words are runs of letters (Unicode), lower-cased, with one boundary between two; the same for the text's ends.
 
 Defined cases: null text, and text without a letter, is `und` with score 0, as is all text if nothing could be learned;
@@ -25,8 +30,12 @@ from tessella.llm._arrow import pieces
 DIM = 512
 LETTERS = 128
 UND = "und"
-#: Texts scoring less lie nearer to the reverse of every prototype than to any, and are rejected.
+#: The least score there can be once two languages are learned; less is rejected where one is.
 LEAST_SCORE = 0.5
+#: Of the median cosine of learning texts, the part that a text must reach.
+LEAST_PART = 0.5
+#: Classes of length, in distinct trigrams: each is twice as long as the one before.
+CLASSES = 20
 _rng = np.random.default_rng(5_150)
 _SIGNS = _rng.choice(np.array([-1, 1], np.int8), (LETTERS, DIM))
 #: Of characters that are turned into letter codes at once.
@@ -122,8 +131,12 @@ def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM, pa.string()), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(v)], ["lang", "dim", "v"])
 
 
-def prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages of rows (lang, text), sorted, and a unit vector for each. The driver gets DIM numbers a language."""
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def bundles(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The languages of rows (lang, text), sorted, and the unit vector of each one's bundle. The driver gets DIM numbers a language."""
     counts = labelled.where("lang is not null and text is not null").select("lang", "text").mapInArrow(_counted, "lang string, trigram int, n long")
     totals = counts.groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
     rows = totals.mapInArrow(_bundled, "lang string, dim int, v double").groupBy("lang", "dim").agg(F.sum("v").alias("v")).collect()
@@ -131,42 +144,65 @@ def prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     out = np.zeros((len(langs), DIM))
     for r in rows:
         out[langs.index(r["lang"]), r["dim"]] = r["v"]
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    out = unit(out)
-    return langs, unit(out - out.mean(axis=0)) if len(langs) > 1 else out
+    return langs, _unit(out)
+
+
+def centred(plain: np.ndarray) -> np.ndarray:
+    return _unit(plain - plain.mean(axis=0)) if len(plain) > 1 else plain
+
+
+def prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The languages of rows (lang, text), sorted, and a unit vector for each, without their common part."""
+    langs, plain = bundles(labelled)
+    return langs, centred(plain)
+
+
+def class_of(n: int) -> int:
+    return min(CLASSES - 1, n.bit_length())
 
 
-def _predicted(langs: list[str], profiles: np.ndarray, column: str):
+def _predicted(langs: list[str], profiles: np.ndarray, column: str, plain: np.ndarray | None = None):
+    """With plain profiles also the distinct trigrams' cosine with the predicted language's, and the class of length."""
     profiles = profiles.astype(np.float32).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Vectors()
         for batch in pieces(batches, 2048, 4 << 20):
-            names, scores = [], []
+            names, scores, nears, sizes = [], [], [], []
             for text in batch.column(batch.schema.get_field_index(column)).to_pylist():
                 ids = trigrams(text) if text and langs else ()
                 if not len(ids):
                     names.append(UND)
                     scores.append(0.0)
+                    nears.append(0.0)
+                    sizes.append(0)
                     continue
                 ids, n = np.unique(ids, return_counts=True)
-                bundle = np.zeros(DIM, np.float32)
+                sizes.append(class_of(len(ids)))
+                bundle, once = np.zeros(DIM, np.float32), np.zeros(DIM, np.float32)
                 for at in range(0, len(ids), 4096):
-                    bundle += n[at : at + 4096].astype(np.float32) @ cache.of(ids[at : at + 4096])
+                    rows = cache.of(ids[at : at + 4096])
+                    bundle += n[at : at + 4096].astype(np.float32) @ rows
+                    if plain is not None:
+                        once += rows.sum(axis=0)
                 cosines = bundle @ profiles / max(float(np.linalg.norm(bundle)), 1e-12)
                 best = int(np.argmax(cosines))
                 names.append(langs[best])
                 scores.append(min(1.0, max(0.0, (1.0 + float(cosines[best])) / 2)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+                nears.append(float(once @ plain[best]) / max(float(np.linalg.norm(once)), 1e-12) if plain is not None else 0.0)
+            more = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
+            if plain is not None:
+                more |= {"near": pa.array(nears, pa.float64()), "size": pa.array(sizes, pa.int32())}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*batch.schema.names, *more])
 
     return run
 
 
-def predict(docs: DataFrame, langs: list[str], profiles: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with lang_pred and score; only the text is looked at."""
+def predict(docs: DataFrame, langs: list[str], profiles: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",), plain: np.ndarray | None = None) -> DataFrame:
+    """The kept columns with lang_pred and score, and with near and size if there are plain profiles; only the text is looked at."""
     source = docs.select(*dict.fromkeys([*keep, text]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(_predicted(langs, profiles, text), f"{kinds}, lang_pred string, score double")
+    return source.mapInArrow(_predicted(langs, profiles, text, plain), f"{kinds}, lang_pred string, score double" + (", near double, size int" if plain is not None else ""))
 
 
 def held_out(docs: DataFrame) -> DataFrame:
@@ -183,11 +219,30 @@ def identify(docs: DataFrame) -> DataFrame:
     return held_out(predict(docs, langs, profiles)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def floors(labelled: DataFrame, langs: list[str], plain: np.ndarray) -> np.ndarray:
+    """The least cosine by language and class of length, from rows (lang, text); a class without texts has that of the nearest one below, or above."""
+    found = predict(labelled.where("lang is not null and text is not null"), langs, centred(plain), keep=("lang",), plain=plain).where("lang_pred = lang")
+    out = np.full((len(langs), CLASSES), np.nan)
+    for r in found.groupBy("lang", "size").agg(F.percentile_approx("near", 0.5).alias("m")).collect():  # CLASSES rows a language at most
+        out[langs.index(r["lang"]), r["size"]] = LEAST_PART * r["m"]
+    for row in out:
+        known = np.flatnonzero(~np.isnan(row))
+        for k in range(CLASSES) if len(known) else ():
+            row[k] = row[max((x for x in known if x <= k), default=known[0])]
+    return np.nan_to_num(out)
+
+
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, that have a language: no `und`, and no score under LEAST_SCORE."""
-    langs, profiles = learned(docs)
-    found = predict(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns}), langs, profiles, "own_text", tuple(f"own_{c}" for c in docs.columns))
-    return found.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE)).select(*[F.col(f"own_{c}").alias(c) for c in docs.columns])
+    """The documents, all columns, that have a language: no `und`, and none that its language's prototype is too far from."""
+    learning = held_out(docs.select("doc_id", "lang", "text")).where(~F.col("held_out"))
+    langs, plain = bundles(learning)
+    least = floors(learning, langs, plain) if langs else np.zeros((0, CLASSES))
+    own = [f"own_{c}" for c in docs.columns]
+    found = predict(docs.withColumnsRenamed(dict(zip(docs.columns, own))), langs, centred(plain), "own_text", tuple(own), plain)
+    enough = F.lit(False)
+    for lang, row in zip(langs, least.tolist()):
+        enough = F.when(F.col("lang_pred") == lang, F.col("near") >= F.element_at(F.lit(row), F.col("size") + 1)).otherwise(enough)
+    return found.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE) & enough).select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns)])
 
 
 def op5_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,6 +212,16 @@ def test_language(docs, rows, empty):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", docs.lang.substr(9, 1)).replace("", None, ["lang"])).collect()} == {"und"}
 
 
+def test_gibberish_and_unlearned_languages_are_rejected(spark):
+    rng = random.Random(21)
+    clean = [(i, prose(rng, EN if i % 2 else DE, rng.randrange(20, 90)), "en" if i % 2 else "de") for i in range(300)]
+    words = "tämä yksi kyllä hyvää päivää mitä kuuluu minä olen suomalainen järvi metsä talvi kesä yö kaupunki työ koulu äiti".split()
+    strange = [(400 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400)), None) for i in range(20)]
+    strange += [(500 + i, prose(rng, words, 60), None) for i in range(20)]
+    kept = {r.doc_id for r in language.accepted(spark.createDataFrame(clean + strange, "doc_id long, text string, lang string")).collect()}
+    assert {i for i, *_ in clean} <= kept and not kept & {i for i, *_ in strange}
+
+
 def test_letters_in_slices(monkeypatch):
     text = "  Straße, 12 über\nALL  x-y "
     whole = language.letters(text).tolist()
