@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Vectors that are compared at once with a block of probes, probes of a block, and blocks whose lists a task holds.
+CHUNK, BLOCK, HELD = 4096, 256, 64
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -72,6 +77,93 @@ def pooled(vectors: DataFrame, group: str, mask: Column) -> DataFrame:
     return sums.select(group, "dim", F.when(length > 0, F.col("value") / length).otherwise(F.col("value")).alias("value"))
 
 
+def _packed(rows: int, dim: int):
+    def run(batches):
+        ids, parts, n = [], [], 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(parts).tobytes()], pa.binary())], ["ids", "m"])
+        for batch in batches:
+            own, m = batch.column(0).to_numpy().astype(np.int64), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+            for at in range(0, len(own), rows):
+                if n + len(own[at : at + rows]) > rows:
+                    yield pack()
+                    ids, parts, n = [], [], 0
+                ids.append(own[at : at + rows])
+                parts.append(m[at : at + rows])
+                n += len(ids[-1])
+        if n:
+            yield pack()
+
+    return run
+
+
+def _both(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows as unit vectors, and quantised."""
+    m = m.astype(np.float64)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    m = np.divide(m, n, out=m, where=n > 0)
+    q = np.clip(np.sign(m) * np.floor(np.abs(m) * 127 + 0.5), -127, 127)
+    return m, q
+
+
+def _first(ids: np.ndarray, by: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest, ties by id."""
+    at = np.arange(len(by))
+    if len(by) > k:
+        at = np.flatnonzero(by >= np.partition(by, len(by) - k)[len(by) - k])
+    return at[np.lexsort((ids[at], -by[at]))[:k]]
+
+
+def _nearest(k: int, dim: int):
+    """From rows (p_ids, p_m, ids, m): each probe's k best by each of two scores, of what the task has seen."""
+
+    def run(batches):
+        held: dict[bytes, tuple] = {}
+
+        def out():
+            for key, (lists, _, _) in held.items():
+                for probe, kinds in zip(np.frombuffer(key, np.int64).tolist(), lists):
+                    for kind, (i, e, a) in enumerate(kinds):
+                        yield pa.RecordBatch.from_arrays([pa.array([probe] * len(i), pa.int64()), pa.array([kind] * len(i), pa.int32()), pa.array(i), pa.array(e), pa.array(a)], ["probe_id", "kind", "vec_id", "exact", "near"])
+
+        for batch in batches:
+            for p_ids, p_m, ids, m in zip(*(c.to_pylist() for c in batch.columns)):
+                if p_ids not in held:
+                    if len(held) >= HELD:
+                        yield from out()
+                        held.clear()
+                    none = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+                    held[p_ids] = ([[none, none] for _ in range(len(p_ids) // 8)], *_both(np.frombuffer(p_m, np.float32).reshape(-1, dim)))
+                lists, unit, q = held[p_ids]
+                ids = np.frombuffer(ids, np.int64)
+                v, w = _both(np.frombuffer(m, np.float32).reshape(-1, dim))
+                exact, near = np.round(unit @ v.T, 6), q @ w.T / 16129.0
+                for j, probe in enumerate(np.frombuffer(p_ids, np.int64).tolist()):
+                    other = np.flatnonzero(ids != probe)
+                    i, both = ids[other], (exact[j, other], near[j, other])
+                    for kind in (0, 1):
+                        at = _first(i, both[kind], k)
+                        every = [np.concatenate([x, y]) for x, y in zip(lists[j][kind], (i[at], both[0][at], both[1][at]))]
+                        at = _first(every[0], every[1 + kind], k)
+                        lists[j][kind] = tuple(x[at] for x in every)
+        yield from out()
+
+    return run
+
+
+def recall(vectors: DataFrame, probes: DataFrame, dim: int) -> DataFrame:
+    """(probe_id, recall_10, recall_30, drift_mean, drift_max) of quantised against exact search over vectors (vec_id, embedding),
+    for each probe without itself. Drift is the scores' difference over the exact ten. Each probe meets each vector, in blocks."""
+    pack = lambda df, n: of_dimension(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), dim).mapInArrow(_packed(n, dim), "ids binary, m binary")
+    pairs = pack(probes, BLOCK).toDF("p_ids", "p_m").crossJoin(pack(vectors, CHUNK))
+    found = pairs.mapInArrow(_nearest(30, dim), "probe_id long, kind int, vec_id long, exact double, near double")
+    by = Window.partitionBy("probe_id", "kind").orderBy(F.desc(F.when(F.col("kind") == 0, F.col("exact")).otherwise(F.col("near"))), "vec_id")
+    found = found.withColumn("r", F.row_number().over(by)).where("r <= 30")
+    best = found.groupBy("probe_id", "vec_id").agg(*[F.min(F.when(F.col("kind") == n, F.col("r"))).alias(c) for n, c in ((0, "a"), (1, "b"))], F.max(F.abs(F.col("exact") - F.col("near"))).alias("drift"))
+    hits = [(F.count_if((F.col("a") <= k) & (F.col("b") <= k)) / F.count_if(F.col("a") <= k)).alias(f"recall_{k}") for k in (10, 30)]
+    ten = F.when(F.col("a") <= 10, F.col("drift"))
+    return best.groupBy("probe_id").agg(*hits, F.avg(ten).alias("drift_mean"), F.max(ten).alias("drift_max"))
+
+
 def batches(texts: DataFrame, order: list[str], rows: int, size: int) -> DataFrame:
     """Texts in order, in batches of at most so many rows and bytes; a larger text travels alone. Each task batches its own rows."""
 

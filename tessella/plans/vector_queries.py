@@ -96,6 +96,25 @@ def quantization_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.join(near, ["probe_id", "vec_id"], "left").groupBy("probe_id").agg((F.count("hit") / 10.0).alias("recall"))
 
 
+_SPACED = _SCORED.replace("vec_id < {n}", "vec_id % 100 = 0"), _APPROX.replace("p.vec_id < {{n}}", "p.vec_id % 100 = 0").replace("p.vec_id < {n}", "p.vec_id % 100 = 0")
+
+
+@query(
+    "quantization_recall_spaced",
+    f"""WITH {_SPACED[0]}, {_SPACED[1]},
+        a AS (SELECT probe_id, vec_id, score, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, vec_id) AS r FROM scored WHERE vec_id <> probe_id),
+        b AS (SELECT probe_id, vec_id, score, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, vec_id) AS r FROM approx WHERE vec_id <> probe_id)
+        SELECT probe_id, count(*) FILTER (a.r <= 10 AND b.r <= 10) / 10.0 AS recall_10, count(*) FILTER (b.r <= 30) / 30.0 AS recall_30,
+            round(avg(abs(a.score - b.score)) FILTER (a.r <= 10), 6) AS drift_mean, round(max(abs(a.score - b.score)) FILTER (a.r <= 10), 6) AS drift_max
+        FROM a JOIN b USING (probe_id, vec_id) WHERE a.r <= 30 GROUP BY probe_id""",
+)
+def quantization_recall_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes over the whole table, each left out of its own lists; quantization_recall, held to its SQL, takes the first 20 with themselves."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = vector.recall(vectors, vectors.where("vec_id % 100 = 0"), 64)
+    return found.select("probe_id", "recall_10", "recall_30", *[F.round(c, 6).alias(c) for c in ("drift_mean", "drift_max")])
+
+
 @query(
     "masked_mean_pool",
     """WITH s AS (SELECT label, i - 1 AS dim, sum(embedding[i]::DOUBLE) AS v FROM embeddings, range(1, 65) t(i) WHERE vec_id % 3 <> 0 GROUP BY ALL)
