@@ -2,8 +2,10 @@
 
 Three base patterns give spans by themselves. Beyond them, runs of 20 or more characters of keys are scored by the
 log-likelihood ratio of two first-order character models, trained on labelled samples: random strings (base64, base62, hex,
-base32) and identifiers (words in camel, snake, kebab and path style, and lower-case runs of syllables). A run whose ratio
-exceeds the threshold, and that touches no base span, is a span of kind `markov`. Built-in functions only.
+base32) and identifiers (words in camel, snake, kebab and path style, and lower-case runs of syllables). Base spans are cut
+out first, and what is left of a run is one if it has 20 characters. A run whose ratio exceeds the threshold is a span of
+kind `markov`; of another run the stretches are that exceed it, so that a path or a name before a key doesn't hide it. A
+stretch ends where its ratio, less the threshold a character, falls to 0 or by LEAST below its height. Built-in functions only.
 
 The samples are `SAMPLES` strings of each label, made from hashes of their numbers; the model is a table of at most
 68 x 68 ratios, whatever the input.
@@ -116,6 +118,48 @@ def _ratio(table: list[float], text: Column) -> Column:
     return F.aggregate(_codes(text), start, step)["sum"]
 
 
+#: Characters that a stretch within a run has at least.
+STRETCH = 16
+
+
+def _stretches(table: list[float], run: Column) -> Column:
+    """The likely stretches of a run (start, kind, end, found), as such structs."""
+    n = len(ALPHABET)
+    table = F.lit(table)
+    zero, none = F.lit(0.0), F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
+    text, first = run["found"], run["start"]
+
+    def grown(s: Column) -> Column:
+        size = s["top_at"] - s["begin"]
+        ratio = s["top"] + LEAST_EACH * (size - 1)
+        span = F.struct((first + s["begin"]).cast("int").alias("start"), F.lit(3).alias("kind"), (first + s["top_at"]).cast("int").alias("end"), F.substring(text, s["begin"] + 1, size).alias("found"))
+        return F.when((size >= STRETCH) & (ratio >= F.greatest(F.lit(LEAST), LEAST_EACH * size)), F.concat(s["out"], F.array(span))).otherwise(s["out"])
+
+    def state(at: Column, last: Column, begin: Column, sum_: Column, top: Column, top_at: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), last.alias("last"), begin.alias("begin"), sum_.alias("sum"), top.alias("top"), top_at.alias("top_at"), out.alias("out"))
+
+    def step(s: Column, c: Column) -> Column:
+        now = s["sum"] + F.when(s["last"] > 0, F.element_at(table, (s["last"] - 1) * n + c) - LEAST_EACH).otherwise(0.0)
+        at = s["at"] + 1
+        fell = (s["last"] > 0) & ((now <= 0) | (s["top"] - now >= LEAST))
+        fresh = state(at, c, s["at"], zero, zero, at, grown(s))
+        return F.when(fell, fresh).otherwise(state(at, c, s["begin"], now, F.greatest(now, s["top"]), F.when(now > s["top"], at).otherwise(s["top_at"]), s["out"]))
+
+    return F.aggregate(_codes(text), state(F.lit(0), F.lit(0), F.lit(0), zero, zero, F.lit(0), none), step, grown)
+
+
+def _without(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of spans (sorted by start)."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        begin, end = F.greatest(s["at"], x["start"]), F.greatest(s["at"], x["end"])
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, begin - s["at"]), F.repeat(F.lit(" "), end - begin))).alias("out"))
+
+    cut = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, cut))
+
+
 def _listed(spans: Column) -> Column:
     name = lambda k: F.element_at(F.lit(list(KINDS)), k + 1)
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -126,11 +170,13 @@ def scan(docs: DataFrame, table: list[float]) -> DataFrame:
     text = F.col("t")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     kept = F.filter(_spans(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 8)
-    rows = rows.select("doc_id", kept.alias("assign"), _spans(text, ACCESS, 1).alias("access"), _spans(text, HEX, 2).alias("hex"), _spans(text, RUN, 3).alias("runs"))
-    rows = rows.select("doc_id", "runs", F.array_sort(F.concat("assign", "access", "hex")).alias("base"))
-    free = lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    likely = lambda r: F.when(free(r), _ratio(table, r["found"]) >= F.greatest(F.lit(LEAST), LEAST_EACH * F.length(r["found"]))).otherwise(False)
-    return rows.select("doc_id", "base", F.array_sort(F.concat("base", F.filter("runs", likely))).alias("spans"))
+    rows = rows.select("doc_id", "t", kept.alias("assign"), _spans(text, ACCESS, 1).alias("access"), _spans(text, HEX, 2).alias("hex"))
+    rows = rows.select("doc_id", "t", F.array_sort(F.concat("assign", "access", "hex")).alias("base"))
+    rows = rows.select("doc_id", "base", _without(text, F.col("base")).alias("t"))
+    rows = rows.select("doc_id", "base", _spans(text, RUN, 3).alias("runs"))
+    whole = lambda r: _ratio(table, r["found"]) >= F.greatest(F.lit(LEAST), LEAST_EACH * F.length(r["found"]))
+    likely = F.flatten(F.transform("runs", lambda r: F.when(whole(r), F.array(r)).otherwise(_stretches(table, r))))
+    return rows.select("doc_id", "base", F.array_sort(F.concat("base", likely)).alias("spans"))
 
 
 def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

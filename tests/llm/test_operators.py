@@ -369,3 +369,24 @@ def test_secret_models_tell_random_from_plain(spark):
     hit = secret_scan._ratio(table, F.col("text")) >= F.greatest(F.lit(secret_scan.LEAST), secret_scan.LEAST_EACH * F.length("text"))
     share = {r["random"]: r["s"] for r in fresh.groupBy("random").agg(F.avg(hit.cast("double")).alias("s")).collect()}
     assert share[True] > 0.9 and share[False] < 0.01
+
+
+def test_secrets_behind_paths_and_base_spans(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    path = lambda n: "/".join(rng.choice(secret_scan.WORDS) for _ in range(n))
+    rows = [(i, f"see {path(words)}/{k} there", k) for i, (words, n) in enumerate([(8, 40)] * 50 + [(12, 40)] * 50 + [(8, 32)] * 50) for k in [key(n)]]
+    rows += [(200 + i, f"AKIA{'A1' * 8}/{k}", k) for i in range(20) for k in [key(40)]]
+    rows += [(300 + i, f"{path(8)}/{a}/{path(8)}/{b}", b) for i in range(20) for a, b in [(key(40), key(40))]]
+    rows += [(1000 + i, path(12), "") for i in range(200)]
+    table = secret_scan.train(secret_scan.labelled(spark, 4000))
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, k string"), table).collect()}
+    found = lambda lo, hi: [any(s.kind == 3 and s.end - max(s.start, t.index(k)) >= 0.6 * len(k) for s in got[i]) for i, t, k in rows if lo <= i < hi]
+    shares = [float(np.mean(found(*x))) for x in ((0, 50), (50, 100), (100, 150), (200, 220), (300, 320))]
+    plain = float(np.mean([bool(got[i]) for i, *_ in rows if i >= 1000]))
+    print("shares", shares, plain)
+    assert min(shares) > 0.9 and plain <= 0.01
+    assert all(s.found == t[s.start : s.end] for i, t, _ in rows for s in got[i])
+    for n in (300, 310):
+        assert sum(s.kind == 3 for s in got[n]) == 2
