@@ -223,20 +223,88 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 BAND, BANDS = 8, SAMPLES // 8
 
 
-def near_texts(printed: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, near_id, likeness): links of each text to the first one with which it shares a band, verified by likeness.
+#: Texts of a band key that a task compares with each other, or with as many others.
+BLOCK = 1024
+
+
+class _Key:
+    """The texts of one key and pair of blocks, in order of id; each is compared with all before it."""
+
+    def __init__(self, rows: list[tuple[int, int, str]]) -> None:
+        parts = [r[2].split(":") for r in rows]
+        self.ids, self.own = [r[0] for r in rows], np.array([r[1] for r in rows])
+        self.level = np.array([int(p[0]) for p in parts])
+        self.here, self.above = (np.frombuffer("".join(p[k] for p in parts).encode(), np.uint8).reshape(len(rows), SAMPLES) for k in (1, 2))
+
+    def like(self, k: int) -> np.ndarray:
+        gap = self.level[:k] - self.level[k]
+        theirs = np.where((gap < 0)[:, None], self.above[:k], self.here[:k])
+        mine = np.where((gap > 0)[:, None], self.above[k], self.here[k])
+        told = (theirs != 48) | (mine != 48)
+        n = told.sum(axis=1)
+        share = ((theirs == mine) & told).sum(axis=1) / np.maximum(n, 1)
+        return np.where((np.abs(gap) > 1) | (n == 0), 0.0, np.maximum(0.0, (share - CHANCE) / (1 - CHANCE)))
+
+    def links(self, least: float) -> list[tuple[int, int, float]]:
+        """A link from each text to the first that is like it in each group that links have made so far: no group is split."""
+        groups, out = np.arange(len(self.ids)), []
+        across = self.own.min() != self.own.max()
+        for k in range(1, len(self.ids)):
+            found = self.like(k)
+            near = np.flatnonzero((found >= least) & ((self.own[:k] != self.own[k]) | (not across)))
+            for g in np.unique(groups[near]):
+                x = near[groups[near] == g][0]
+                out.append((self.ids[k], self.ids[x], float(found[x])))
+            if len(near):
+                groups[np.isin(groups, groups[near])] = groups[k] = groups[near].min()
+        return out
+
+
+def _linked(least: float):
+    """From rows (scale, band, key, i, j, own, doc_id, fingerprint) in order of the first five and doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found = _Key(rows).links(least) if len(rows) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "near_id", "likeness"])
+
+        for batch in batches:
+            for *k, own, i, p in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    yield from out()
+                    key, rows = k, []
+                rows.append((i, own, p))
+        yield from out()
+
+    return run
+
 
-    A band key joins its texts to its smallest id, not to each other. Bands in which a text has ended do not count."""
+def near_texts(printed: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, near_id, likeness): links between texts that share a band, verified by likeness.
+
+    Equal fingerprints link to their smallest id, which stands for them. The others of a band key are all compared, in blocks
+    whose pairs are dealt out; links that join no new texts within a block are left out, so that components are those of all
+    pairs. Bands in which a text has ended do not count. Comparisons grow with the square of a key's different fingerprints."""
+    printed = printed.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint")
+    first = printed.groupBy("fingerprint").agg(F.min("doc_id").alias("near_id"))
+    same = printed.join(first, "fingerprint").where("doc_id > near_id").select("doc_id", "near_id", F.lit(1.0).alias("likeness")).distinct()
     scales = F.array(*[F.struct((F.substring("fingerprint", 1, 2).cast("int") + g).alias("scale"), F.element_at(F.split("fingerprint", ":"), 2 + g).alias("s")) for g in (0, 1)])
     bands = (
-        printed.select("doc_id", "fingerprint", F.explode(scales).alias("x"))
+        first.select(F.col("near_id").alias("doc_id"), "fingerprint", F.explode(scales).alias("x"))
         .select("doc_id", "fingerprint", "x.scale", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring(F.col("x.s"), k * BAND + 1, F.lit(BAND)))).alias("band", "key"))
         .where(~F.col("key").contains("0"))
     )
-    first = bands.groupBy("scale", "band", "key").agg(F.min_by(F.struct("doc_id", "fingerprint"), "doc_id").alias("f"))
-    found = bands.join(first, ["scale", "band", "key"]).where(F.col("doc_id") > F.col("f.doc_id")).select("doc_id", "fingerprint", F.col("f.doc_id").alias("near_id"), F.col("f.fingerprint").alias("other")).distinct()
-    like = F.pandas_udf(lambda a, b: pd.Series(map(likeness, a, b), dtype="float64"), "double")
-    return found.select("doc_id", "near_id", like("fingerprint", "other").alias("likeness")).where(F.col("likeness") >= least)
+    by = ["scale", "band", "key"]
+    sizes = bands.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    dealt = bands.join(sizes, by).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select(*by, F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "doc_id", "fingerprint")
+    group = [*by, "i", "j"]
+    found = pairs.repartition(*group).sortWithinPartitions(*group, "doc_id").mapInArrow(_linked(least), "doc_id long, near_id long, likeness double")
+    return same.unionByName(found.distinct())
 
 
 def op3_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:

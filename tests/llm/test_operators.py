@@ -197,6 +197,40 @@ def test_few_edits_keep_prints_near(spark):
     assert {(20 + i, i) for i in range(20) if like[i] >= 0.6} <= links and all(x - y == 20 for x, y in links)
 
 
+def _components_of(links):
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {x: find(x) for x in up}
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_near_texts_lose_no_link_to_a_hub(spark, monkeypatch, block):
+    monkeypatch.setattr(edit_prints, "BLOCK", block)
+    rng = random.Random(9)
+    licence, texts = prose(rng, EN, 40), []
+    texts.append(licence + prose(rng, DE, 160))  # the smallest id shares only the opening
+    for _ in range(12):
+        t = licence + prose(rng, EN + DE, 160)
+        for _ in range(2):
+            k = rng.randrange(len(licence), len(t))
+            texts.append(t[:k] + "q" + t[k + 1 :])
+    texts.append(texts[3])
+    prints = edit_prints.prints(texts)
+    bands = [{(int(lv) + g, b, s[b * 8 : b * 8 + 8]) for lv, *two in [p.split(":")] for g, s in enumerate(two) for b in range(32) if "0" not in s[b * 8 : b * 8 + 8]} for p in prints]
+    want = [(i, j) for i in range(len(prints)) for j in range(i) if (bands[i] & bands[j] or prints[i] == prints[j]) and edit_prints.likeness(prints[i], prints[j]) >= 0.6]
+    got = edit_prints.near_texts(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string"), 0.6).collect()
+    assert len(want) > 8 and _components_of(want) == _components_of([(r.doc_id, r.near_id) for r in got])
+    assert all(abs(edit_prints.likeness(prints[r.doc_id], prints[r.near_id]) - r.likeness) < 1e-9 and r.likeness >= 0.6 for r in got)
+
+
 def test_language(docs, rows, empty):
     got = language.identify(docs).collect()
     assert len(got) == len(rows)
