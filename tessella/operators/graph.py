@@ -115,11 +115,16 @@ def export(calls: DataFrame, symbols: DataFrame, max_edges: int = 100_000) -> tu
     return nodes, kept, summary.join(F.broadcast(dangling))
 
 
-def mermaid(edges: DataFrame) -> DataFrame:
-    """One row, text: the edges as a flow chart, inferred ones dotted. For exports of a size to look at."""
+def mermaid_lines(edges: DataFrame) -> DataFrame:
+    """(in_name, out_name, line): a flow chart's line for each edge, inferred ones dotted."""
     arrow = F.when(F.col("confidence").isNull(), " --> ").otherwise(" -.-> ")
     name = lambda c: F.concat(F.regexp_replace(c, r"\W", "_"), F.lit('["'), c, F.lit('"]'))
-    lines = edges.select("in_name", "out_name", F.concat(F.lit("  "), name("in_name"), arrow, name("out_name")).alias("line"))
+    return edges.select("in_name", "out_name", F.concat(F.lit("  "), name("in_name"), arrow, name("out_name")).alias("line"))
+
+
+def mermaid(edges: DataFrame) -> DataFrame:
+    """One row, text: the edges as a flow chart, inferred ones dotted. For exports of a size to look at."""
+    lines = mermaid_lines(edges)
     ordered = F.array_sort(F.collect_list(F.struct("in_name", "out_name", "line")))
     return lines.agg(F.concat_ws("\n", F.lit("flowchart LR"), F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")).alias("text"))
 

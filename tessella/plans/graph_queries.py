@@ -140,6 +140,14 @@ def graph_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.mermaid(graph.strongest(t.calls(spark, sf_dir).where("in_file = 'world'")))
 
 
+@query("graph_mermaid_lines", f"""{_C} SELECT '' AS in_name, '' AS out_name, 'flowchart LR' AS line UNION ALL
+    SELECT in_name, out_name, '  ' || replace(in_name, ':', '_') || '["' || in_name || '"]' || CASE WHEN max({_W}) < 1.0 THEN ' -.-> ' ELSE ' --> ' END || replace(out_name, ':', '_') || '["' || out_name || '"]' FROM calls GROUP BY in_name, out_name""")
+def graph_mermaid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole strongest-edge graph as a chart's lines, to be read by in_name and out_name; graph_mermaid, held to its SQL, has the edges of one file."""
+    head = spark.range(1).select(F.lit("").alias("in_name"), F.lit("").alias("out_name"), F.lit("flowchart LR").alias("line"))
+    return head.unionByName(graph.mermaid_lines(graph.strongest(t.calls(spark, sf_dir))))
+
+
 #: Components of the graph without its hubs: orders and the parts that they name with least confidence.
 _WEAK = "confidence IS NOT NULL AND in_name LIKE 'o:%'"
 _COMPONENTS = f"""WITH RECURSIVE {t.CALLS}, e AS (SELECT DISTINCT in_name AS a, out_name AS b FROM calls WHERE {_WEAK}), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),

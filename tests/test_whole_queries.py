@@ -31,3 +31,14 @@ def test_components_of_the_whole_graph(spark):
     assert {"r:0", "n:0", "c:1", "s:1"} <= set(want)
     areas = {(r.component, r.file): r.n for r in registry.queries()["area_files_whole"](spark, str(SF)).collect()}
     assert areas == Counter((want[x], f) for x, f in files.items())
+
+
+def test_chart_of_the_whole_graph(spark):
+    best = {}
+    for r in t.calls(spark, str(SF)).collect():
+        w = 1.0 if r.confidence is None else r.confidence
+        best[r.in_name, r.out_name] = max(w, best.get((r.in_name, r.out_name), 0.0))
+    got = registry.queries()["graph_mermaid_lines"](spark, str(SF)).collect()
+    assert len(got) == len(best) + 1 and min(got).line == "flowchart LR"
+    dotted = {(r.in_name, r.out_name) for r in got if " -.-> " in r.line}
+    assert dotted == {k for k, w in best.items() if w < 1.0} and dotted
