@@ -98,13 +98,32 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
+#: The rules of redaction as one may write them in SQL: (expression, what is left), in order.
+_REDACT = (
+    ("-----BEGIN ([A-Z ]*)PRIVATE KEY-----[^-]+-----END [A-Z ]*PRIVATE KEY-----", "<redacted private key>"),
+    (r"\b(AKIA|ASIA)[A-Z0-9]{16,}", "<redacted aws>"),
+    (r"\bgh[opusr]_[A-Za-z0-9]{36,}", "<redacted github>"),
+    (r"\bgithub_pat_\w{40,}", "<redacted github>"),
+    (r"\bglpat-[\w-]{20,}", "<redacted gitlab>"),
+    (r"\bAIza[\w-]{35,}", "<redacted google>"),
+    (r"\bhf_[A-Za-z0-9]{30,}", "<redacted huggingface>"),
+    (r"\bsk-[\w-]{24,}", "<redacted model-api>"),
+    (r"\bnpm_[A-Za-z0-9]{36,}", "<redacted npm>"),
+    (r"\bpypi-[\w-]{50,}", "<redacted pypi>"),
+    (r"\bSG\.[\w.-]{60,}", "<redacted sendgrid>"),
+    (r"\bxox[abprs]-[A-Za-z0-9-]{12,}", "<redacted slack>"),
+    (r"\b[sr]k_(live|test)_[A-Za-z0-9]{16,}", "<redacted stripe>"),
+    (r"\beyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]+", "<redacted jwt>"),
+    (r"\b([Bb]earer|[Bb]asic) +[\w+/=.~-]{16,}", r"\1 <redacted header>"),
+    (r"(://[^\s/:@]+):[^\s/:@]+@", r"\1:<redacted password>@"),
+    (r"(?i)(passphrase|secret_key|access_key|password|api_key|passwd|secret|apikey|token)(["']? *[:=] *["']?)[\w+/.=-]{8,}", r"\1\2<redacted value>"),
+)
+
+
 def _redact_sql(column: str) -> str:
-    out = column
-    for kind, pattern, before, after in text.REDACTIONS:
-        new = before.replace("$", "\\")
-        quoted = pattern.replace("'", "''")
-        out = f"regexp_replace({out}, '{quoted}', '{new}[REDACTED:{kind}]{after}', 'g')"
-    return out
+    for pattern, left in _REDACT:
+        column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '{left}', 'g')"
+    return column
 
 
 @query("redact_secrets", f"SELECT doc_id, md5({_redact_sql('text')}) AS redacted, text <> {_redact_sql('text')} AS changed FROM documents")
@@ -113,9 +132,9 @@ def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5("r").alias("redacted"), (F.col("r") != F.col("text")).alias("changed"))
 
 
-@query("secret_counts", f"SELECT source, sum(len(string_split(r, '[REDACTED:')) - 1)::BIGINT AS secrets FROM (SELECT source, {_redact_sql('text')} AS r FROM documents) GROUP BY source")
+@query("secret_counts", f"SELECT source, sum(len(string_split(r, '<redacted ')) - 1)::BIGINT AS secrets FROM (SELECT source, {_redact_sql('text')} AS r FROM documents) GROUP BY source")
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = F.regexp_count(text.redacted(F.col("text")), F.lit(r"\[REDACTED:"))
+    marks = F.regexp_count(text.redacted(F.col("text")), F.lit("<redacted "))
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(marks).cast("long").alias("secrets"))
 
 
@@ -193,13 +212,13 @@ def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return renamed.select("path", paths.language(F.col("path")).alias("language"))
 
 
-_CASES = ["/x.py", "/.git/x.py", "/.eslintrc.json", "/node_modules/a/b.js", "/Dockerfile", "/a.PY", "/bin.exe", "/vendor/z.go", "/a/build/c.c", "/Makefile", "/notes"]
+_CASES = ["/x.py", "/.git/x.py", "/.eslintrc.json", "/node_modules/a/b.js", "/Dockerfile", "/a.PY", "/bin.exe", "/vendor/z.go", "/a/build/c.c", "/Makefile", "/notes", "/b.mjs", "/b.zig"]
 _CASE_SQL = "(SELECT unnest([" + ", ".join(f"'{c}'" for c in _CASES) + "]) AS c)"
 
 
 @query(
     "indexable_paths",
-    rf"""{_F} SELECT path, e IN ('py', 'json', 'js', 'go', 'c') OR (e = '' AND lower(n) IN ('dockerfile', 'justfile', 'makefile')) AS indexable,
+    rf"""{_F} SELECT path, e IN ('py', 'json', 'js', 'go', 'c', 'zig') OR (e = '' AND lower(n) IN ('dockerfile', 'justfile', 'makefile')) AS indexable,
         regexp_matches(path, '(^|/)\.[^/]*/') AS hidden, regexp_matches(path, '(^|/)(__pycache__|build|dist|node_modules|target|vendor)/') AS skipped
         FROM (SELECT path, n, lower(regexp_extract(n, '^.+\.([^.]*)$', 1)) AS e FROM (SELECT file || c AS path, regexp_extract(c, '[^/]*$') AS n FROM file, {_CASE_SQL}))""",
 )
@@ -209,12 +228,20 @@ def indexable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("path", paths.is_indexable(p).alias("indexable"), paths.is_hidden(p).alias("hidden"), paths.is_skipped(p).alias("skipped"))
 
 
-_WRITTEN = ["/a_pb2.py", "/a.py", "/x.pb.go", "/generated/q.ts", "/dist/app.js", "/dist/sub/app.js", "/vendor/q.rs", "/ui_main.h", "/main.h", "\\node_modules\\z.js", "/Form.Designer.cs", "/m.g.dart", "/ent/u.go", "/src/u.go"]
-_GENERATED_SQL = " OR ".join(f"regexp_matches(p, '{r}')" for r in (r"_pb2\.py$", r"\.pb\.go$", r"generated/[^/]+\.ts$", r"dist/[^/]+\.js$", "vendor/", r"ui_[^/]+\.h$", "node_modules/", r"\.Designer\.cs$", r"\.g\.dart$", r"ent/[^/]*\.go$"))
+#: A path for each rule of generated files, and some that no rule has: (end of the path, generated).
+_WRITTEN = (
+    ("/a_pb2.py", True), ("/a_pb2_grpc.py", True), ("/a.py", False), ("/pb2.py", False), ("/x.pb.go", True), ("/x.pb.gw.go", True), ("/pb.go", False), ("/n.pb.cc", True), ("/n.pb.h", True), ("/q_pb.js", True),
+    ("/t_generated.rs", True), ("/generated.rs", False), ("/kind_string.go", True), ("/mock_store.go", True), ("/mock_store.py", False), ("/zz_generated.deepcopy.go", True), ("/ent/u.go", True), ("/ent/u.md", False),
+    ("/m.g.dart", True), ("/m.freezed.dart", True), ("/m.mocks.dart", True), ("/m.dart", False), ("/Form.Designer.cs", True), ("/r.g.i.cs", True), ("/r.generated.cs", True), ("/h.generated.tsx", True), ("/s.generated.swift", True),
+    ("/moc_win.cpp", True), ("/ui_main.h", True), ("/main.h", False), ("/qrc_icons.cpp", True), ("/p.tab.c", True), ("/p.tab.hh", True), ("/lex.yy.c", True), ("/lex.c", False), ("/__generated__/q.graphql.js", True),
+    ("/.next/a.js", True), ("/.nuxt/a.js", True), ("/generated-sources/A.java", True), ("/dist/app.js", True), ("/dist/sub/app.mjs", True), ("/dist/notes.md", False), ("/generated/q.ts", True), ("|node_modules|z.js", True),
+    ("/vendor/q.rs", True), ("/vendored/q.rs", False), ("/__pycache__/a.pyc", True), ("/src/u.go", False),
+)
+_WRITTEN_SQL = ", ".join(f"('{w}', {m})" for w, m in _WRITTEN)
 
 
-@query("generated_paths", f"""{_F} SELECT path, {_GENERATED_SQL} AS is_generated FROM (SELECT path, replace(path, chr(92), '/') AS p FROM
-    (SELECT file || replace(c, '|', chr(92)) AS path FROM file, (SELECT unnest([{', '.join(repr(w.replace(chr(92), '|')) for w in _WRITTEN)}]) AS c)))""")
+@query("generated_paths", f"{_F} SELECT file || replace(c, '|', chr(92)) AS path, m AS is_generated FROM file, (VALUES {_WRITTEN_SQL}) v(c, m)")
 def generated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t.files(spark, sf_dir).select("file", F.explode(F.lit(_WRITTEN)).alias("c")).select(F.concat("file", "c").alias("path"))
+    ends = F.explode(F.lit([w.replace("|", "\\") for w, _ in _WRITTEN]))
+    rows = t.files(spark, sf_dir).select("file", ends.alias("c")).select(F.concat("file", "c").alias("path"))
     return rows.select("path", paths.is_generated(F.col("path")).alias("is_generated"))
