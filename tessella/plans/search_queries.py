@@ -116,7 +116,7 @@ _REDACT = (
     (r"\beyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]+", "<redacted jwt>"),
     (r"\b([Bb]earer|[Bb]asic) +[\w+/=.~-]{16,}", r"\1 <redacted header>"),
     (r"(://[^\s/:@]+):[^\s/:@]+@", r"\1:<redacted password>@"),
-    (r"(?i)(passphrase|secret_key|access_key|password|api_key|passwd|secret|apikey|token)(["']? *[:=] *["']?)[\w+/.=-]{8,}", r"\1\2<redacted value>"),
+    (r"""(?i)(passphrase|secret_key|access_key|password|api_key|passwd|secret|apikey|token)(["']? *[:=] *["']?)[\w+/.=-]{8,}""", r"\1\2<redacted value>"),
 )
 
 
