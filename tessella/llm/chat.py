@@ -8,12 +8,14 @@ sequence, and each conversation is folded into its final messages as its events
 * `edit` replaces a message's text; what follows stays;
 * `regenerate` removes the message and all later ones, as their context is gone.
 
-Messages are rendered with a mark before each turn and one after. In roles and texts each character that begins a mark, or
-the escape itself, is doubled by an escape, so the reader gets the same text back.
+Messages are rendered with a mark before each turn and one after. In roles and texts, < and [ are followed by the escape, and
+the escape itself is doubled: a mark or control string that begins with one of them (<|turn|>, </s>, [INST]) is broken up
+(<\\|turn|>, <\\/s>, [\\INST]), so no text can hold one, and the reader gets the same text back.
 
 Defined cases: null text is empty; a null role is `unknown`; events of equal sequence are taken in order of message, kind, role and
 text; events for messages that never began open them with the event's role; rows that repeat are turns each; a null conv_id
-is a conversation of its own; an empty table gives no rows; further columns are not looked at.
+is a conversation of its own; an empty table gives no rows; further columns are not looked at; a very long text streams
+through as its deltas, and only its conversation's messages are held, as they are one value of the result.
 """
 
 from __future__ import annotations
@@ -27,20 +29,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OPEN, SPLIT, CLOSE, ESCAPE = "<|turn|>", "<|text|>", "<|end|>", "\\"
-_SPECIAL = re.compile(r"[<\[\\]")
-_TURN = re.compile(re.escape(OPEN) + r"((?:[^<\\]|\\.)*)" + re.escape(SPLIT) + r"((?:[^<\\]|\\.)*)" + re.escape(CLOSE), re.S)
+_SPECIAL, _ESCAPED = re.compile(r"[<\[\\]"), re.compile(r"([<\[\\])\\")
 #: Roles whose texts the loss counts.
 LEARNED = ("assistant",)
 CONTROL = -7
 
 
 def escaped(text: str) -> str:
-    """No mark, and no control string that begins with < or [, is left as such."""
-    return _SPECIAL.sub(lambda m: ESCAPE + m[0], text)
+    """The text without any mark or control string: the escape stands behind each character that could begin one."""
+    return _SPECIAL.sub(lambda m: m[0] + ESCAPE, text)
 
 
 def unescaped(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.S)
+    return _ESCAPED.sub(r"\1", text)
 
 
 def render(messages: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -56,14 +57,15 @@ def render(messages: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """The turns of a formatted conversation."""
+    """The turns of a formatted conversation. Marks can't occur in what is escaped, so they are looked for as they are."""
     turns, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+        split = formatted.find(SPLIT, at)
+        close = formatted.find(CLOSE, split)
+        if not formatted.startswith(OPEN, at) or split < 0 or close < 0:
             raise ValueError(f"no turn begins at {at}")
-        turns.append((unescaped(m[1]), unescaped(m[2])))
-        at = m.end()
+        turns.append((unescaped(formatted[at + len(OPEN) : split]), unescaped(formatted[split + len(SPLIT) : close])))
+        at = close + len(CLOSE)
     return turns
 
 
@@ -134,14 +136,28 @@ def formatted(events: DataFrame, partitioned: bool = False) -> DataFrame:
     return (events if partitioned else events.repartition("conv_id")).sortWithinPartitions("conv_id", "seq", "message", "kind", "role", "text").mapInArrow(_folded, _SCHEMA)
 
 
+#: Deltas that a turn's text streams as, and characters of what is said at first and taken back.
+DELTAS, DRAFT = 3, 24
+
+
 def events_of(turns: DataFrame) -> DataFrame:
-    """The event log of a table of turns: each opens a message and streams its text as one delta.
+    """An event log that a live system may have kept of a table of turns, and that folds to them.
 
-    Turns are numbered within their conversation, so rows that repeat a turn are messages of their own."""
+    A turn's text streams as several deltas. An assistant's turn is first answered otherwise and regenerated; another's is
+    first a draft, which an edit replaces by the text's beginning. A turn of a null role has no drafts. Turns are numbered
+    within their conversation, so rows that repeat a turn are messages of their own."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    numbered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").withColumn("message", F.row_number().over(order).cast("long"))
-    steps = F.array(F.struct(F.lit("begin").alias("kind"), F.lit("").alias("text")), F.struct(F.lit("delta").alias("kind"), F.coalesce("text", F.lit("")).alias("text")))
-    return numbered.select("conv_id", "message", "role", F.posexplode(steps).alias("at", "e")).select("conv_id", (F.col("message") * 2 + F.col("at")).alias("seq"), "e.kind", "message", "role", "e.text")
+    numbered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("message", F.row_number().over(order).cast("long"))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    width = F.floor(F.length("text") / DELTAS).cast("int") + 1
+    part = [F.substring("text", width * k + 1, width) for k in range(DELTAS)]
+    draft, rest = F.reverse(F.substring("text", F.lit(1), F.lit(DRAFT))), [event("delta", p) for p in part[1:]]
+    begin = event("begin", F.lit(""))
+    answered = F.array(event("begin", draft), event("delta", F.lit("?")), event("regenerate", F.lit("")), begin, event("delta", part[0]), *rest)
+    edited = F.array(begin, event("delta", draft), event("edit", part[0]), *rest)
+    plain = F.array(begin, event("delta", part[0]), *rest)
+    steps = F.when(F.col("role").isin(*LEARNED), answered).when(F.col("role").isNotNull(), edited).otherwise(plain)
+    return numbered.select("conv_id", "message", "role", F.posexplode(steps).alias("at", "e")).select("conv_id", (F.col("message") * 16 + F.col("at")).alias("seq"), "e.kind", "message", "role", "e.text")
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
