@@ -4,19 +4,22 @@
 2. Pages join that by digest (a hot digest's pages are split by the adaptive skew join) and are written as records: the
    first page of a payload as a response with it, others as revisits with fresh headers that refer to the response.
    Archives are gzip files of WARC/1.1 records in the shared folder, as many as the join has partitions.
-3. Archives are read back and parsed by Content-Length. A response's length and digest come from its block; a revisit's
-   from the response that it refers to, by a join on record ids.
+3. Archives are read back line by line, in whatever size they are, and parsed by Content-Length. A response's length and
+   digest come from its block, and must be what its header says; a revisit's come from the response that it refers to, by a
+   join on record id and payload digest. A revisit without its response is an error.
+
+An archive has at most RECORDS records. It is one gzip member, as Spark's text writer makes it, not one a record.
 
 Defined cases: null html is the empty payload, null page_id is written as such and is never referred to while another page
-has the payload; rows that repeat a page in full are all responses if the page is the first; an empty table gives no rows;
-null url is an empty header; further columns are not looked at.
+has the payload; rows that repeat a page in full are all responses if the page is the first; rows that repeat a page_id
+with other payloads are records of the same id, told apart by digest; an empty table gives no rows; null url is an empty
+header; a very long payload is held as the one value that it is; further columns are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +30,8 @@ from tessella.llm.storage import new_path
 
 #: Payloads of fewer bytes are always written as responses.
 LEAST_BYTES = 0
+#: Records of an archive at most.
+RECORDS = 10_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -71,53 +76,49 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
-    records(pages, least_bytes).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    records(pages, least_bytes).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
-class _Inflated:
-    """Reads gzip data bit by bit."""
+class _Lines:
+    """Reads bytes from an archive's lines as they come."""
 
-    def __init__(self, data: bytes) -> None:
-        self.data, self.at, self.held = memoryview(data), 0, bytearray()
-        self.z = zlib.decompressobj(31)
+    def __init__(self, batches: Iterator[pa.RecordBatch]) -> None:
+        self.batches, self.held, self.at = batches, b"", 0
 
     def _more(self) -> bool:
-        while self.at < len(self.data) or self.z.unused_data:
-            if self.z.eof:
-                rest = self.z.unused_data
-                self.z = zlib.decompressobj(31)
-                got = self.z.decompress(rest)
-            else:
-                got = self.z.decompress(self.data[self.at : self.at + (1 << 18)])
-                self.at += 1 << 18
-            if got:
-                self.held += got
+        for batch in self.batches:
+            if batch.num_rows:
+                lines = batch.column(0).cast(pa.large_binary()).to_pylist()
+                self.held, self.at = self.held[self.at :] + b"\n".join(lines) + b"\n", 0
                 return True
         return False
 
     def line(self) -> bytes | None:
-        begin = 0
-        while (end := self.held.find(b"\r\n", begin)) < 0:
-            begin = max(0, len(self.held) - 1)
+        """Up to the next line feed; None at the end."""
+        begin = self.at
+        while (end := self.held.find(b"\n", begin)) < 0:
+            left = len(self.held) - self.at
             if not self._more():
                 return None
-        out = bytes(self.held[:end])
-        del self.held[: end + 2]
+            begin = left
+        out, self.at = self.held[self.at : end].removesuffix(b"\r"), end + 1
         return out
 
     def block(self, n: int) -> bytes:
-        while len(self.held) < n and self._more():
-            pass
-        out = bytes(self.held[:n])
-        if len(out) < n:
-            raise ValueError("the archive ends within a record")
-        del self.held[:n]
-        return out
-
-
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The headers and the block of each record of a gzip archive."""
-    read = _Inflated(data)
+        parts, missing = [], n
+        while missing:
+            got = self.held[self.at : self.at + missing]
+            parts.append(got)
+            self.at += len(got)
+            missing -= len(got)
+            if missing and not self._more():
+                raise ValueError("the archive ends within a record")
+        return b"".join(parts)
+
+
+def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The headers and the block of each record, from batches of an archive's lines."""
+    read = _Lines(batches)
     while (first := read.line()) is not None:
         if first != b"WARC/1.1":
             raise ValueError(f"no record begins here: {first[:40]!r}")
@@ -139,32 +140,35 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     rows: list[tuple] = []
-    for batch in batches:
-        for k in range(batch.num_rows):
-            for h, block in parsed(batch.column(0)[k].as_buffer()):
-                response = h["WARC-Type"] == "response"
-                digest = base64.b32encode(hashlib.sha1(block).digest()).decode() if response else None
-                rows.append((h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Refers-To"), len(block) if response else None, digest))
-                if len(rows) >= 10_000:
-                    yield out(rows)
-                    rows = []
+    for h, block in parsed(batches):
+        response, said = h["WARC-Type"] == "response", h["WARC-Payload-Digest"].removeprefix("sha1:")
+        if response and base64.b32encode(hashlib.sha1(block).digest()).decode() != said:
+            raise ValueError(f"{h['WARC-Record-ID']} does not have the payload that its header names")
+        rows.append((h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Refers-To"), len(block) if response else None, said))
+        if len(rows) >= 10_000:
+            yield out(rows)
+            rows = []
     if rows:
         yield out(rows)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, record_type, refers_to, and of responses the block's bytes and digest."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_read_back, "record_id string, record_type string, refers_to string, bytes long, digest string")
+    """record_id, record_type, refers_to, the payload's digest, and of responses the block's bytes.
+
+    A gzip file is read by one task from its first line to its last, and a task's files one after the other."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.mapInArrow(_read_back, "record_id string, record_type string, refers_to string, bytes long, digest string")
 
 
 def resolved(read: DataFrame) -> DataFrame:
     """Each record's page, with length and digest of its full payload."""
     page = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?\d+)>$", 1).try_cast("long")
     responses = read.where("record_type = 'response'")
-    # a response has one row, unless the input repeats the page
-    known = responses.groupBy(F.col("record_id").alias("refers_to"), F.col("digest").alias("known_digest")).agg(F.first("bytes").alias("known_bytes"))
-    revisits = read.where("record_type = 'revisit'").select("record_id", "record_type", "refers_to").join(known, "refers_to").select("record_id", "record_type", "refers_to", F.col("known_bytes").alias("bytes"), F.col("known_digest").alias("digest"))
+    # a response's id and digest have one row, unless the input repeats the page in full
+    known = responses.groupBy(F.col("record_id").alias("refers_to"), "digest").agg(F.first("bytes").alias("found"))
+    revisits = read.where("record_type = 'revisit'").drop("bytes").join(known, ["refers_to", "digest"], "left")
+    missing = F.raise_error(F.concat(F.lit("no response for "), F.col("record_id"))).cast("long")
+    revisits = revisits.select("record_id", "record_type", "refers_to", F.coalesce("found", missing).alias("bytes"), "digest")
     return responses.unionByName(revisits).select(page("record_id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
 
 
