@@ -2,17 +2,20 @@
 
 Texts are equal when identical after lower-casing A-Z. Each is digested once (SHA-256 of the UTF-8 bytes); equal digests
 are combined where they are read, so a group of any size sends one row a batch; the digests are then dealt by value, and
-each task folds its share into a cuckoo-filter index whose hits are checked against the stored digests.
+each task keeps the live ones of its share in a cuckoo-filter index: a digest that the filter doesn't know is inserted, a hit
+is verified against the bucketed content, and a row that supersedes the one that stays so far deletes its entry and inserts
+its own. As many tasks share the digests as keep each one's index within SHARE.
 
 Defined cases: null text counts as empty; of equal texts the row with the largest key stays, null being below all others;
-of rows that repeat that key exactly one stays; an empty table gives no rows; further columns are not looked at.
+of rows that repeat that key exactly one stays; an empty table gives no rows; further columns are not looked at; a very long
+text is held once, by the task that digests it, and only its digest travels.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 NONE = -(2**63)
 #: Groups that a task hands on at once.
 OUT_ROWS = 20_000
+#: Rows whose digests a task's index gets at most, about 100 bytes each.
+SHARE = 1 << 20
 _TAG = "tessella_digest_"
 
 
@@ -63,46 +68,52 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The digests of one task, each folded into the index of those that are live."""
+    """The digests of one task, folded into the index of those that are live: (row that stays, how many rows)."""
     index = CuckooIndex()
     for batch in batches:
         for digest, keep, uid, n in zip(*(c.to_pylist() for c in batch.columns)):
-            live = index.get(digest)
-            if live is None:
-                index.insert(digest, [keep, uid, n])
+            slot = index.find(digest)
+            if slot < 0:
+                index.insert(digest, (keep, uid, n))
+                continue
+            stays, stays_uid, rows = index.get(slot)
+            if (keep, uid) > (stays, stays_uid):
+                index.delete(digest)
+                index.insert(digest, (keep, uid, rows + n))
             else:
-                live[2] += n
-                if (keep, uid) > (live[0], live[1]):
-                    live[0], live[1] = keep, uid
-    found = iter(index.stored.items())
-    while part := list(islice(found, OUT_ROWS)):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in part], pa.binary()), *(pa.array([v[i] for _, v in part], pa.int64()) for i in range(3))], ["digest", "keep_id", "keep_uid", "group_size"]
-        )
+                index.put(slot, (stays, stays_uid, rows + n))
+    found, part = index.items(), []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), *(pa.array([v[i] for _, v in part], pa.int64()) for i in range(3))], ["digest", "keep_id", "keep_uid", "group_size"])
+
+    for pair in found:
+        part.append(pair)
+        if len(part) == OUT_ROWS:
+            yield out()
+            part = []
+    yield out()
 
 
 _GROUPS = "digest binary, keep_id long, keep_uid long, group_size long"
 
 
 def groups(digested: DataFrame) -> DataFrame:
-    """One row for each digest: its rows' number, and the row that stays."""
-    parts = digested.mapInArrow(_combined, _GROUPS)
-    return parts.repartition("digest").mapInArrow(_folded, _GROUPS)
+    """One row for each digest: its rows' number, and the row that stays. digested: a written table, to be read twice."""
+    tasks = max(int(digested.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(digested.count() / SHARE))
+    return digested.mapInArrow(_combined, _GROUPS).repartition(tasks, "digest").mapInArrow(_folded, _GROUPS)
+
+
+def _decided(digested: DataFrame) -> DataFrame:
+    """doc_id, digest, keep_id, group_size and kept of each digested row."""
+    return digested.join(groups(digested), "digest").select(
+        "doc_id", "digest", F.when(F.col("keep_id") != NONE, F.col("keep_id")).alias("keep_id"), "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept")
+    )
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """Each row's decision: keep_id, group_size, kept and the digest in lower-case hex."""
-    digested = written(digests(docs), "digests")
-    return (
-        digested.join(groups(digested), "digest")
-        .select(
-            "doc_id",
-            F.when(F.col("keep_id") != NONE, F.col("keep_id")).alias("keep_id"),
-            "group_size",
-            (F.col("uid") == F.col("keep_uid")).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"),
-        )
-    )
+    return _decided(written(digests(docs), "digests")).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,13 +124,25 @@ def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, that stay: one row of each group of equal texts, even where rows repeat."""
-    stay = dedup(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("tessella_id_"), F.unhex("text_sha256").alias("tessella_tag_"))
+    """The documents, all columns, that stay: one row of each group of equal texts, even where rows repeat.
+
+    Where no two rows have the same doc_id, it alone tells what stays. Only rows whose doc_id repeats are digested again, to
+    be told apart by text, and of those that repeat in full the first is taken."""
+    digested = written(digests(docs), "digests")
+    kept = written(_decided(digested).where("kept").select(F.col("doc_id").alias("tessella_id_"), F.col("digest").alias("tessella_tag_")), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("tessella_id_"))
+    repeated = digested.groupBy(F.col("doc_id").alias("tessella_id_")).agg(F.count("*").alias("n")).where("n > 1").select("tessella_id_")
+    if repeated.isEmpty():
+        return docs.join(kept.select("tessella_id_"), same, "left_semi")
+    repeated = written(repeated, "repeated")
+    again = repeated.withColumnRenamed("tessella_id_", "again_")
+    once = kept.join(again, F.col("tessella_id_").eqNullSafe(F.col("again_")), "left_anti").select("tessella_id_")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    tagged = docs.mapInArrow(_tagged, f"{kinds}, {_TAG} binary")
-    kept = tagged.join(stay, (F.col(_TAG) == F.col("tessella_tag_")) & F.col("doc_id").eqNullSafe(F.col("tessella_id_")), "left_semi")
+    tagged = docs.join(repeated, same, "left_semi").mapInArrow(_tagged, f"{kinds}, {_TAG} binary")
+    told = tagged.join(kept, (F.col(_TAG) == F.col("tessella_tag_")) & same, "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id", _TAG).orderBy(F.lit(0)))
-    return kept.withColumn("tessella_nth_", nth).where("tessella_nth_ = 1").select(*docs.columns)
+    told = told.withColumn("tessella_nth_", nth).where("tessella_nth_ = 1").select(*docs.columns)
+    return docs.join(once, same, "left_semi").unionByName(told)
 
 
 def op7_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
