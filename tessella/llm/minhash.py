@@ -7,8 +7,9 @@
    join a cluster. A band key of very many classes joins them all to one cluster, without comparing.
 3. Within clusters, links are confirmed on full sets, by counting common shingles over an inverted index, in blocks of
    bounded size. First each block meets itself and a few pivots of its cluster; in a group of near copies that joins
-   nearly all. Only what is left outside of the cluster's largest component then meets each block of the cluster, as no
-   link inside of that component can tell anything. A block sends back a spanning forest of its links.
+   nearly all. Only what is left outside of the cluster's largest component then meets those of the cluster that share a
+   band with it, in blocks, as no link inside of that component can tell anything. A block sends back a spanning forest of
+   its links.
 4. Components of the links are the groups; each is named by its smallest doc_id.
 
 A pair at the threshold shares no band with probability (1 - 0.8^4)^32 = 5e-8, and less above it.
@@ -239,8 +240,8 @@ def _dealt(classes: DataFrame) -> DataFrame:
     return spread.select("id", "cluster", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("side"), "blocks")
 
 
-def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of the links among sets (id, cluster, side, blocks, members), all of them."""
+def _confirmed(sets: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of the links among sets (id, cluster, side, blocks, members), all of them. bands: (id, band)."""
 
     def links(meetings: DataFrame) -> DataFrame:
         return meetings.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "id").mapInArrow(_checked(percent), "u long, v long")
@@ -260,9 +261,13 @@ def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
     rest = written(_dealt(outside.select("id", "n_shingles", "cluster")).select("id", F.col("side").alias("part"), F.col("blocks").alias("parts")), "rest")
     if rest.isEmpty():
         return at_home
-    left = sets.join(rest, "id").select("*", every("blocks").alias("j")).select("cluster", F.col("part").alias("i"), "j", "id", F.lit(0).alias("side"), "members")
-    parts = sets.join(rest, "id").groupBy("cluster").agg(F.max("parts").alias("parts"))
-    right = sets.join(parts, "cluster").select("*", every("parts").alias("i")).select("cluster", "i", F.col("side").alias("j"), "id", F.lit(1).alias("side"), "members")
+    # what shares a band with a part of the rest meets that part, and the part meets the blocks that hold such
+    outer = sets.select("id", "cluster").join(rest, "id")
+    touched = bands.join(outer, "id").select("band", "cluster", "part").distinct()
+    near = bands.join(touched, "band").select("id", "cluster", "part").distinct()
+    right = written(sets.join(near, ["id", "cluster"]).select("cluster", F.col("part").alias("i"), F.col("side").alias("j"), "id", F.lit(1).alias("side"), "members"), "near")
+    meets = right.select("cluster", "i", "j").distinct()
+    left = sets.join(rest, "id").select("cluster", F.col("part").alias("i"), "id", F.lit(0).alias("side"), "members").join(meets, ["cluster", "i"]).select(*columns)
     across = links(left.unionByName(right)).unionByName(at_home.select(F.col("id").alias("u"), F.col("component").alias("v")))
     return components(across)
 
@@ -284,7 +289,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     clusters = components(edges).join(classes.select("id", "n_shingles"), "id")
     dealt = _dealt(clusters.withColumnRenamed("component", "cluster"))
     sets = written(dealt.join(docs.withColumnRenamed("doc_id", "id"), "id").mapInArrow(_listed(width), "id long, cluster long, side int, blocks int, members binary"), "sets")
-    groups = _confirmed(sets, percent)
+    groups = _confirmed(sets, members.select("id", "band"), percent)
     named = classes.select("class", "id").join(groups, "id", "left").select("class", F.coalesce("component", "id").alias("component"))
     component = F.coalesce("component", "doc_id")
     real = lambda c: F.when(c != NONE, c)
