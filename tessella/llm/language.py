@@ -40,7 +40,8 @@ _rng = np.random.default_rng(5_150)
 _SIGNS = _rng.choice(np.array([-1, 1], np.int8), (LETTERS, DIM))
 #: Of characters that are turned into letter codes at once.
 SLICE = 1 << 20
-CACHED = 1 << 15
+#: Trigrams whose vectors a task keeps, and those whose vectors it works on at once.
+CACHED, PART = 1 << 15, 1024
 
 
 @lru_cache(maxsize=1)
@@ -87,19 +88,19 @@ class _Vectors:
 
     def __init__(self) -> None:
         self.row = np.full(LETTERS**3, -1, np.int32)
-        self.made = np.zeros((0, DIM), np.float32)
+        self.made = np.zeros((0, DIM), np.int8)
         self.used = 0
 
     def of(self, ids: np.ndarray) -> np.ndarray:
         if self.used + len(ids) > CACHED:
             if len(ids) > CACHED:
-                return vectors(ids).astype(np.float32)
+                return vectors(ids)
             self.row.fill(-1)
             self.used = 0
         new = ids[self.row[ids] < 0]
         if len(new):
             if self.used + len(new) > len(self.made):
-                grown = np.zeros((min(CACHED, max(4096, 2 * (self.used + len(new)))), DIM), np.float32)
+                grown = np.zeros((min(CACHED, max(4096, 2 * (self.used + len(new)))), DIM), np.int8)
                 grown[: self.used] = self.made[: self.used]
                 self.made = grown
             self.row[new] = np.arange(self.used, self.used + len(new))
@@ -180,9 +181,9 @@ def _predicted(langs: list[str], profiles: np.ndarray, column: str, plain: np.nd
                 ids, n = np.unique(ids, return_counts=True)
                 sizes.append(class_of(len(ids)))
                 bundle, once = np.zeros(DIM, np.float32), np.zeros(DIM, np.float32)
-                for at in range(0, len(ids), 4096):
-                    rows = cache.of(ids[at : at + 4096])
-                    bundle += n[at : at + 4096].astype(np.float32) @ rows
+                for at in range(0, len(ids), PART):
+                    rows = cache.of(ids[at : at + PART]).astype(np.float32)
+                    bundle += n[at : at + PART].astype(np.float32) @ rows
                     if plain is not None:
                         once += rows.sum(axis=0)
                 cosines = bundle @ profiles / max(float(np.linalg.norm(bundle)), 1e-12)

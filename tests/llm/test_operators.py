@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from tessella.llm import chat, edit_prints, exact_dedup, language, minhash, mixing, packing, secret_scan, sharding, tokens, warc
 from tessella.llm.components import components
-from tessella.llm.cuckoo import CuckooFilter, CuckooIndex
+from tessella.llm.cuckoo import CuckooIndex
 from tests_llm_brute import DE, EN, budgets, near, prose
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, digest string, score double, component_id long, id long"
@@ -92,18 +92,41 @@ def test_exact_dedup_hands_on_every_group(monkeypatch):
     assert {r["digest"]: (r["keep_id"], r["group_size"]) for r in got} == {d: (50 + i, 2) for i, d in enumerate(digests)} and len(got) == 50
 
 
-def test_cuckoo_filter_forgets_nothing_and_deletes():
+def test_cuckoo_index_forgets_nothing_and_deletes():
     index, rng = CuckooIndex(8), random.Random(1)
     keys = [rng.randbytes(32) for _ in range(3000)]
-    for k in keys:
-        index.insert(k, [k])
-    assert index.resized and all(index.get(k) == [k] for k in keys)
+    for n, k in enumerate(keys):
+        assert index.find(k) < 0
+        index.insert(k, (n, -n, 1))
+    assert index.resized and all(index.get(index.find(k)) == (n, -n, 1) for n, k in enumerate(keys))
     for k in keys[::2]:
         assert index.delete(k) and not index.delete(k)
-    assert all(index.get(k) is None for k in keys[::2]) and all(index.get(k) for k in keys[1::2])
-    f = CuckooFilter(5000)
-    assert all(f.insert(k) for k in keys)
-    assert sum(rng.randbytes(32) in f for _ in range(5000)) < 25
+    assert all(index.find(k) < 0 for k in keys[::2]) and all(index.find(k) >= 0 for k in keys[1::2]) and index.live == 1500
+    assert dict(index.items()) == {k: (n, -n, 1) for n, k in enumerate(keys) if n % 2}
+    assert sum(bool(index.candidates(rng.randbytes(32))) for _ in range(5000)) < 25
+
+
+def test_cuckoo_hits_are_verified_against_content():
+    """Digests that agree in mark and buckets are told apart, and a filter that knows nothing finds nothing."""
+    index = CuckooIndex(64)
+    alike = [b"\x07\x00" + bytes(6) + bytes([k]) * 24 for k in range(8)]
+    for n, k in enumerate(alike):
+        index.insert(k, (n, n, n))
+    assert all(len(index.candidates(k)) == 8 for k in alike) and [index.get(index.find(k))[0] for k in alike] == list(range(8)) and index.false_hits
+    for slot in range(len(index.marks)):
+        index.marks[slot] = 0
+    assert all(index.find(k) < 0 for k in alike)
+
+
+def test_exact_dedup_goes_through_the_filter(monkeypatch):
+    """Without the filter's answer no copy is found: the index has no other way to what it stores."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([b"d" * 32] * 3, pa.binary()), *(pa.array([1, 5, 3], pa.int64()) for _ in range(2)), pa.array([2, 1, 1], pa.int64())], ["digest", "keep_id", "keep_uid", "group_size"])
+    fold = lambda: [tuple(r.values())[1:] for b in exact_dedup._folded(iter([batch])) for r in b.to_pylist()]
+    assert fold() == [(5, 5, 4)]
+    monkeypatch.setattr(CuckooIndex, "candidates", lambda self, digest: [])
+    assert len(fold()) == 3
 
 
 @pytest.mark.parametrize("width", [4, 5])
@@ -279,23 +302,49 @@ def test_chat_folds_events(spark):
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "sys<tem"]), st.text(alphabet="ab<>|[]\\/tINS \n😀", max_size=30))))
 def test_chat_round_trip(turns):
     text, spans = chat.render(turns)
+    assert not any(mark in text for mark in ("</s>", "[INST]", "[/INST]"))
+    assert [text.count(mark) for mark in (chat.OPEN, chat.SPLIT, chat.CLOSE)] == [len(turns)] * 3
     assert chat.parse(text) == turns
     assert [chat.unescaped(text[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
 
 
-def test_warc_round_trip(spark, tmp_path):
-    rows = [(5, "u", "<a>é"), (2, "u", "<a>é"), (9, None, "<a>é"), (1, "a\r\nb", "WARC/1.1\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n"), (3, "u", None), (4, "u", ""), (7, "x", "one"), (None, "y", "one"), (8, "z", "y" * 300_000)]
-    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, sha1 long")
-    warc.write_archives(pages, str(tmp_path / "w"))
-    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.resolved(warc.read_archives(spark, str(tmp_path / "w"))).collect()}
+def test_chat_log_has_what_folds_away(spark):
+    turns = [(1, 0, "system", "be < kind"), (1, 1, "user", "x" * 50), (1, 2, "assistant", "[INST] </s> <|turn|>" * 9), (1, 2, "assistant", "again"), (1, 2, "assistant", "again"), (1, 3, None, "no role"), (2, 0, "user", None),
+             (None, 5, "assistant", "é😀" * 40), (None, 6, "user", "ab")]
+    log = chat.events_of(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).persist()
+    kinds = Counter(r.kind for r in log.collect())
+    assert kinds["regenerate"] == 4 and kinds["edit"] == 4 and kinds["delta"] > 2 * len(turns)
+    want = defaultdict(list)
+    for c, _, role, text in sorted(turns, key=lambda t: (t[0] is None, t[0] or 0, t[1], t[2] or "", t[3] or "")):
+        want[c].append((role or "unknown", text or ""))
+    done = {r.conv_id: r for r in chat.formatted(log, partitioned=False).collect()}
+    assert {c: chat.parse(r.formatted) for c, r in done.items()} == want
+    assert all(chat.unescaped(r.formatted[s.begin : s.end]) == t for c, r in done.items() for s, t in zip(r.loss_spans, [t for role, t in want[c] if role == "assistant"], strict=True))
+
+
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
     import base64
 
-    first = {2: 2, 5: 2, 9: 2, 1: 1, 3: 3, 4: 3, 7: 7, None: 7, 8: 8}
+    monkeypatch.setattr(warc, "RECORDS", 2)
+    rows = [(5, "u", "<a>é"), (2, "u", "<a>é"), (9, None, "<a>é"), (1, "a\r\nb", "WARC/1.1\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n"), (3, "u", None), (4, "u", ""), (7, "x", "one"), (None, "y", "one"), (8, "z", "y" * 300_000),
+            (11, "p", "A"), (11, "p", "B"), (13, "p", "A"), (14, "p", "B"), (21, "q", "twice"), (21, "q", "twice"), (22, "q", "twice"), (30, "l", "\n\r\n\n" * 50), (31, "l", "ends\r")]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, sha1 long")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.resolved(warc.read_archives(spark, str(tmp_path / "w"))).collect())
+    first = {}
     for i, _, html in rows:
-        data = (html or "").encode()
-        assert got[i] == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if i == first[i] else "revisit", None if i == first[i] else first[i])
+        if i is not None:
+            first[html or ""] = min(first.get(html or "", i), i)
+    want = Counter()
+    for i, _, html in rows:
+        data, f = (html or "").encode(), first[html or ""]
+        want[i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if i == f else "revisit", None if i == f else f] += 1
+    assert got == want
     warc.write_archives(pages.limit(0), str(tmp_path / "none"))
     assert warc.resolved(warc.read_archives(spark, str(tmp_path / "none"))).count() == 0
+    alone = warc.read_archives(spark, str(tmp_path / "w")).where("record_id <> '<urn:x-page:2>'")
+    with pytest.raises(Exception, match="no response for"):
+        warc.resolved(alone).collect()
 
 
 def _hf():
@@ -346,6 +395,14 @@ def _hf_once(made=[]):  # noqa: B006
     return made[0]
 
 
+def test_added_tokens_have_their_ids(monkeypatch):
+    end = "<|endoftext|>"
+    for size in (1 << 19, 20):
+        monkeypatch.setattr(tokens, "PART", size)
+        for text in (f"a {end} b", end, end * 3, f"{end}start", f"stop {end}", f"some words here{end} and some more words, <|endoftext|x> {end[:-1]}", f"{'word ' * 9}{end}{' word' * 9}"):
+            assert tokens.ids(text).tolist() == _hf_once().encode(text, add_special_tokens=False).ids, text
+
+
 def test_long_texts_are_encoded_alike_in_parts(monkeypatch):
     text = prose(random.Random(3), EN + DE + ["  ", "\n\n", "don't", "42 42"], 900)
     whole = tokens.ids(text).tolist()
@@ -399,7 +456,9 @@ def test_secret_models_tell_random_from_plain(spark):
     table = secret_scan.train(secret_scan.labelled(spark, 4000))
     from pyspark.sql import functions as F
 
-    fresh = secret_scan.labelled(spark, 6000).where(F.length("text") >= 20)
+    seen = secret_scan.labelled(spark, 4000).select("text")
+    fresh = secret_scan.labelled(spark, 10_000).where(F.length("text") >= 20).join(seen, "text", "left_anti")
+    assert fresh.count() > 8000
     hit = secret_scan._ratio(table, F.col("text")) >= F.greatest(F.lit(secret_scan.LEAST), secret_scan.LEAST_EACH * F.length("text"))
     share = {r["random"]: r["s"] for r in fresh.groupBy("random").agg(F.avg(hit.cast("double")).alias("s")).collect()}
     assert share[True] > 0.9 and share[False] < 0.01
