@@ -1,14 +1,14 @@
 """The corpus pipeline: language ID, exact dedup, near-dedup, mixing and packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
-documents. Stages in between are written as Parquet in the shared folder and read again."""
+documents. Stages in between are written as Parquet in the shared folder and read again, in files of a sensible size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import exact_dedup, language, minhash, mixing, packing
-from tessella.llm.storage import written
+from tessella.llm.storage import sized, written
 
 #: Of all tokens that reach the mix, the part that it is given.
 MIX_PART = 0.9
@@ -21,23 +21,23 @@ MIX_WEIGHTS = {
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.accepted(docs)
+    return sized(language.accepted(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.survivors(docs)
+    return sized(exact_dedup.survivors(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.representatives(docs)
+    return sized(minhash.representatives(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs, MIX_PART, MIX_WEIGHTS)
+    return sized(mixing.mixed(docs, MIX_PART, MIX_WEIGHTS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return sized(packing.pack(docs))
 
 
 STAGES = [
