@@ -1,17 +1,18 @@
 """Graph operators over call sites: neighbours, impact, paths, scored expansion, hubs, export, components.
 
 Edges are rows (in_name, out_name, in_file, out_file, line, confidence); a null confidence is an extracted edge, of weight 1.
-Loops run on the driver over a bounded depth; each hop is a join of the frontier with the edges."""
+Loops run on the driver over a bounded depth. Edges and each hop's frontier are written to the shared folder, so a hop reads
+two tables, whatever came before it, and a lost executor repeats no more than a hop. Nothing is cached."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NEIGHBOURS, IMPACT_DEPTH, TRACE_DEPTH, PATHS = 32, 3, 5, 3
+from tessella.operators import components as joined
+from tessella.sources.shared import written
+
+NEIGHBOURS, IMPACT_DEPTH, IMPACT_NODES, TRACE_DEPTH, PATHS = 32, 3, 512, 5, 3
 CALLER, CALLEE, FLOOR, BONUS = 0.6, 0.5, 0.15, 30
 HUBS, HUB_EDGES = 250, 600
 
@@ -42,31 +43,50 @@ def neighbours(calls: DataFrame, direction: str, cap: int | None = NEIGHBOURS) -
     return ends.withColumn("nth", nth).where(F.col("nth") <= cap).drop("nth")
 
 
-def impact(calls: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, direction: str = "callers") -> DataFrame:
-    """(seed, fqn, depth) of all that reaches each seed within so many hops, at its least depth. seeds: (seed)."""
-    edges = _turned(calls, direction).select("node", "other").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    frontier = seeds.select("seed", F.col("seed").alias("fqn"))
-    seen = frontier.withColumn("depth", F.lit(0))
+def _hops(edges: DataFrame, seeds: DataFrame, keys: list[str], depth: int, budget: int | None) -> DataFrame:
+    """(keys, fqn, depth) of what the seeds (keys, fqn) reach over written edges (node, other), at its least depth.
+
+    budget: of each key's rows, those that are nearest, then first by name; the walk goes on from all."""
+    frontier = written(seeds.select(*keys, "fqn").distinct(), "hop")
+    levels = [frontier.withColumn("depth", F.lit(0))]
     for d in range(1, depth + 1):
-        step = frontier.join(edges, frontier["fqn"] == edges["node"]).select("seed", F.col("other").alias("fqn")).distinct()
-        frontier = step.join(seen.select("seed", "fqn"), ["seed", "fqn"], "left_anti")
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(d)))
-    return seen.where("depth > 0")
+        seen = levels[0]
+        for level in levels[1:]:
+            seen = seen.unionByName(level)
+        step = frontier.join(edges, F.col("fqn") == F.col("node")).select(*keys, F.col("other").alias("fqn")).distinct()
+        frontier = written(step.join(seen.select(*keys, "fqn"), [*keys, "fqn"], "left_anti"), "hop")
+        levels.append(frontier.withColumn("depth", F.lit(d)))
+    found = levels[1] if depth else levels[0].limit(0)
+    for level in levels[2:]:
+        found = found.unionByName(level)
+    if budget is None:
+        return found
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    return found.withColumn("nth_", F.row_number().over(by.orderBy("depth", "fqn"))).where(F.col("nth_") <= budget).drop("nth_")
+
+
+def impact(calls: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, direction: str = "callers", budget: int | None = None) -> DataFrame:
+    """(seed, fqn, depth) of all that reaches each seed within so many hops, at its least depth. seeds: (seed).
+
+    budget: at most so many rows a seed, as a report shows (IMPACT_NODES is the usual one); None gives all."""
+    edges = written(_turned(calls, direction).select("node", "other").distinct(), "edges")
+    return _hops(edges, seeds.select("seed", F.col("seed").alias("fqn")), ["seed"], depth, budget)
 
 
 def trace(calls: DataFrame, start: str, goal: str, direction: str = "callees", depth: int = TRACE_DEPTH, most: int = PATHS, cap: int | None = NEIGHBOURS) -> DataFrame:
     """(path, length): the first paths, in order of their names, that visit no name twice. Steps that can't reach the goal in time are not taken."""
-    edges = neighbours(calls, direction, cap).select("node", "other").persist(StorageLevel.MEMORY_AND_DISK)
+    edges = written(neighbours(calls, direction, cap).select("node", "other"), "edges")
     spark = calls.sparkSession
-    goals = spark.range(1).select(F.lit(goal).alias("fqn"))
-    reach = [goals]  # names from which the goal is at most k hops away
+    reach = [spark.range(1).select(F.lit(goal).alias("fqn"))]  # names from which the goal is at most k hops away
     for _ in range(depth - 1):
-        reach.append(reach[-1].join(edges, reach[-1]["fqn"] == edges["other"]).select(F.col("node").alias("fqn")).unionByName(reach[-1]).distinct())
+        before = edges.join(reach[-1].withColumnRenamed("fqn", "other"), "other", "left_semi").select(F.col("node").alias("fqn"))
+        reach.append(written(before.unionByName(reach[-1]).distinct(), "reach"))
     paths = spark.range(1).select(F.array(F.lit(start)).alias("path"), F.lit(start).alias("last"))
     found = None
     for k in range(depth):
         near = edges.join(reach[depth - 1 - k].withColumnRenamed("fqn", "other"), "other", "left_semi")
         paths = paths.join(near, paths["last"] == near["node"]).where(~F.array_contains("path", F.col("other"))).select(F.concat("path", F.array("other")).alias("path"), F.col("other").alias("last"))
+        paths = written(paths, "paths")
         done = paths.where(F.col("last") == goal).select("path")
         found = done if found is None else found.unionByName(done)
         paths = paths.where(F.col("last") != goal)
@@ -75,13 +95,13 @@ def trace(calls: DataFrame, start: str, goal: str, direction: str = "callees", d
 
 def expand(calls: DataFrame, base: DataFrame, hops: int = 2, bonus: int = BONUS) -> DataFrame:
     """(fqn, score): the best-scored neighbours of base rows (fqn, score), through callers and callees; base rows are neither returned nor passed."""
-    back, forth = (_turned(calls, d).groupBy("node", "other").agg(F.max(weight()).alias("w")) for d in ("callers", "callees"))
-    steps = back.select("node", "other", (F.col("w") * CALLER).alias("factor")).unionByName(forth.select("node", "other", (F.col("w") * CALLEE).alias("factor"))).persist(StorageLevel.MEMORY_AND_DISK)
-    start = base.groupBy("fqn").agg(F.max("score").alias("score"))
+    best = lambda d, factor: _turned(calls, d).groupBy("node", "other").agg((F.max(weight()) * factor).alias("factor"))
+    steps = written(best("callers", CALLER).unionByName(best("callees", CALLEE)), "steps")
+    start = written(base.groupBy("fqn").agg(F.max("score").alias("score")), "hop")
     frontier, found = start, None
     for _ in range(hops):
-        moved = frontier.join(steps, frontier["fqn"] == steps["node"]).select(F.col("other").alias("fqn"), (F.col("score") * F.col("factor")).alias("score")).where(F.col("score") >= FLOOR)
-        frontier = moved.groupBy("fqn").agg(F.max("score").alias("score")).join(start.select("fqn"), "fqn", "left_anti")
+        moved = frontier.join(steps, F.col("fqn") == F.col("node")).select(F.col("other").alias("fqn"), (F.col("score") * F.col("factor")).alias("score")).where(F.col("score") >= FLOOR)
+        frontier = written(moved.groupBy("fqn").agg(F.max("score").alias("score")).join(start.select("fqn"), "fqn", "left_anti"), "hop")
         found = frontier if found is None else found.unionByName(frontier)
     return found.groupBy("fqn").agg(F.max("score").alias("score")).orderBy(F.desc(F.round("score", 9)), "fqn").limit(bonus)
 
@@ -105,7 +125,7 @@ def export(calls: DataFrame, symbols: DataFrame, max_edges: int = 100_000) -> tu
     known = symbols.select("fqn").distinct()
     edges = strongest(calls).select("in_name", "out_name", "confidence", "weight")
     has = lambda df, c, flag: df.join(known.select(F.col("fqn").alias(c), F.lit(True).alias(flag)), c, "left")
-    marked = has(has(edges, "in_name", "from_"), "out_name", "to_").withColumn("whole", F.col("from_").isNotNull() & F.col("to_").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    marked = written(has(has(edges, "in_name", "from_"), "out_name", "to_").withColumn("whole", F.col("from_").isNotNull() & F.col("to_").isNotNull()), "marked")
     whole = marked.where("whole")
     kept = whole.orderBy(F.desc("weight"), "in_name", "out_name").limit(max_edges).select("in_name", "out_name", "confidence")
     ends = kept.select(F.explode(F.array("in_name", "out_name")).alias("fqn")).distinct()
@@ -129,33 +149,17 @@ def mermaid(edges: DataFrame) -> DataFrame:
     return lines.agg(F.concat_ws("\n", F.lit("flowchart LR"), F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")).alias("text"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage ended in the folder that the cluster shares."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graph-"))
-    return df.checkpoint()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(fqn, component) of names that edges (a, b) join: the least name that can be reached.
 
-    Alternating stars: each name's larger neighbours hang onto its least one, then each name onto the least below it;
-    both keep components, and end in stars after a number of rounds that grows with the logarithm of the names."""
-    now = _cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(below, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _cut(small.unionByName(below.select("u", F.col("m").alias("v"))).distinct())
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("u").alias("fqn"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("fqn"), F.col("v").alias("component")).distinct())
+    Names are numbered once, and components are found over the numbers; each gets the least of its names in the end."""
+    edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    names = written(edges.select(F.explode(F.array("a", "b")).alias("fqn")).distinct().withColumn("id", F.monotonically_increasing_id()), "names")
+    number = lambda c: names.select(F.col("fqn").alias(c), F.col("id").alias(f"{c}_id"))
+    found = joined.components(edges.join(number("a"), "a").join(number("b"), "b").select(F.col("a_id").alias("u"), F.col("b_id").alias("v")))
+    placed = names.join(found, "id")
+    least = placed.groupBy("component").agg(F.min("fqn").alias("least"))
+    return placed.join(least, "component").select("fqn", F.col("least").alias("component"))
 
 
 def caller_stats(calls: DataFrame) -> DataFrame:
@@ -165,25 +169,26 @@ def caller_stats(calls: DataFrame) -> DataFrame:
     return found.fillna(0).fillna(False)
 
 
-def proximity_names(calls: DataFrame, symbols: DataFrame, most: int = 30) -> DataFrame:
-    """(fqn, names): short names of callers, those of the same file first, then of the same folder, then others, each once.
+def proximity_list(calls: DataFrame, symbols: DataFrame, direction: str = "callers", most: int = 30) -> DataFrame:
+    """(fqn, names): short names of callers or callees, those of the same file first, then of the same folder, then others, each once.
 
     Short names are reduced to one row each before they are collected, so a hub's list is as long as its distinct names."""
+    at, to = ("out_name", "in_name") if direction == "callers" else ("in_name", "out_name")
     folder = lambda c: F.regexp_replace(c, r"/?[^/]*$", "")
     near = F.when(F.col("in_file") == F.col("out_file"), 0).when(folder("in_file") == folder("out_file"), 1).otherwise(2)
-    sites = calls.groupBy("in_name", "out_name").agg(F.min(near).alias("near"))
-    named = sites.join(symbols.select(F.col("fqn").alias("in_name"), "name"), "in_name").groupBy("out_name", "name").agg(F.min("near").alias("near"))
-    nth = F.row_number().over(Window.partitionBy("out_name").orderBy("near", "name"))
+    sites = calls.groupBy(F.col(at).alias("at_"), F.col(to).alias("to_")).agg(F.min(near).alias("near"))
+    named = sites.join(symbols.select(F.col("fqn").alias("to_"), "name"), "to_").groupBy("at_", "name").agg(F.min("near").alias("near"))
+    nth = F.row_number().over(Window.partitionBy("at_").orderBy("near", "name"))
     first = named.withColumn("nth", nth).where(F.col("nth") <= most)
-    return first.groupBy(F.col("out_name").alias("fqn")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "name"))), lambda x: x["name"]), ", ").alias("names"))
+    return first.groupBy(F.col("at_").alias("fqn")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "name"))), lambda x: x["name"]).alias("names"))
+
+
+def proximity_names(calls: DataFrame, symbols: DataFrame, most: int = 30) -> DataFrame:
+    """(fqn, names): the callers of proximity_list, joined."""
+    return proximity_list(calls, symbols, "callers", most).select("fqn", F.array_join("names", ", ").alias("names"))
 
 
-def reached(calls: DataFrame, seeds: DataFrame, depth: int, direction: str = "callers") -> DataFrame:
+def reached(calls: DataFrame, seeds: DataFrame, depth: int, direction: str = "callers", budget: int | None = None) -> DataFrame:
     """(fqn, depth) of what reaches any of the seeds (fqn) within so many hops, without the seeds."""
-    edges = _turned(calls, direction).select("node", "other").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    frontier = seeds.select("fqn").distinct()
-    seen = frontier.withColumn("depth", F.lit(0))
-    for d in range(1, depth + 1):
-        frontier = frontier.join(edges, frontier["fqn"] == edges["node"]).select(F.col("other").alias("fqn")).distinct().join(seen.select("fqn"), "fqn", "left_anti")
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(d)))
-    return seen.where("depth > 0")
+    edges = written(_turned(calls, direction).select("node", "other").distinct(), "edges")
+    return _hops(edges, seeds, [], depth, budget)

@@ -11,7 +11,7 @@ from tessella.sources import engine_tables as t
 from tessella.sources.tables import table
 
 _C = t.with_tables(t.CALLS)
-_CS = t.with_tables(t.CALLS, t.SYMBOL)
+CS = t.with_tables(t.CALLS, t.SYMBOL)
 _W = "coalesce(confidence, 1.0)"
 
 
@@ -82,11 +82,12 @@ def trace_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.trace(t.calls(spark, sf_dir), "p:1", "r:2", direction="callers")
 
 
-_EXPAND = f"""{_C[:-1]}, s AS (SELECT 'p:' || k AS fqn, 1.0 - k / 40.0 AS score FROM range(0, 20) t(k)),
-    f AS (SELECT node, other, w * 0.6 AS x FROM ({_ends("out_name", "in_name", "in_file")}) UNION ALL SELECT node, other, w * 0.5 FROM ({_ends("in_name", "out_name", "out_file")})),
+#: From seeds s (fqn, score), the thirty best-scored names within two hops, as bonus. Needs calls.
+EXPANDED = f"""f AS (SELECT node, other, w * 0.6 AS x FROM ({_ends("out_name", "in_name", "in_file")}) UNION ALL SELECT node, other, w * 0.5 FROM ({_ends("in_name", "out_name", "out_file")})),
     h1 AS (SELECT other AS fqn, max(score * x) AS score FROM s JOIN f ON f.node = s.fqn WHERE score * x >= 0.15 AND other NOT IN (SELECT fqn FROM s) GROUP BY 1),
-    h2 AS (SELECT other AS fqn, max(score * x) AS score FROM h1 JOIN f ON f.node = h1.fqn WHERE score * x >= 0.15 AND other NOT IN (SELECT fqn FROM s) GROUP BY 1)
-    SELECT fqn, round(max(score), 6) AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY fqn ORDER BY round(max(score), 9) DESC, fqn LIMIT 30"""
+    h2 AS (SELECT other AS fqn, max(score * x) AS score FROM h1 JOIN f ON f.node = h1.fqn WHERE score * x >= 0.15 AND other NOT IN (SELECT fqn FROM s) GROUP BY 1),
+    bonus AS (SELECT fqn, max(score) AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY fqn ORDER BY round(max(score), 9) DESC, fqn LIMIT 30)"""
+_EXPAND = f"{_C[:-1]}, s AS (SELECT 'p:' || k AS fqn, 1.0 - k / 40.0 AS score FROM range(0, 20) t(k)), {EXPANDED} SELECT fqn, round(score, 6) AS score FROM bonus"
 
 
 @query("graph_expand_scored", _EXPAND)
@@ -112,7 +113,7 @@ def hub_subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Symbols that the export's edges may name but that are not there.
 _GONE = "fqn LIKE 'p:%7'"
-_EXPORT = f"""{_CS[:-1]}, known AS (SELECT * FROM symbol WHERE NOT ({_GONE})), best AS (SELECT in_name, out_name, max({_W}) AS w FROM calls GROUP BY 1, 2),
+_EXPORT = f"""{CS[:-1]}, known AS (SELECT * FROM symbol WHERE NOT ({_GONE})), best AS (SELECT in_name, out_name, max({_W}) AS w FROM calls GROUP BY 1, 2),
     m AS (SELECT *, in_name IN (SELECT fqn FROM known) AND out_name IN (SELECT fqn FROM known) AS whole FROM best), kept AS (SELECT * FROM m WHERE whole ORDER BY w DESC, in_name, out_name LIMIT 100000)"""
 
 
@@ -135,28 +136,43 @@ def export_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _export(spark, sf_dir)[2]
 
 
-@query("graph_mermaid", f"""{_C} SELECT 'flowchart LR' || chr(10) || string_agg('  ' || replace(in_name, ':', '_') || '["' || in_name || '"] --> ' || replace(out_name, ':', '_') || '["' || out_name || '"]', chr(10) ORDER BY in_name, out_name) AS text FROM calls WHERE in_file = 'world'""")
+_NODE = lambda c: f"replace({c}, ':', '_') || '[\"' || {c} || '\"]'"
+_ARROW = f"CASE WHEN max({_W}) < 1.0 THEN ' -.-> ' ELSE ' --> ' END"
+
+
+@query(
+    "graph_mermaid",
+    f"""{_C[:-1]}, {_HUBS}, he AS (SELECT in_name, out_name, '  ' || {_NODE("in_name")} || {_ARROW} || {_NODE("out_name")} AS line FROM calls
+            WHERE in_name IN (SELECT fqn FROM hub) AND out_name IN (SELECT fqn FROM hub) GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 600)
+        SELECT 'flowchart LR' || chr(10) || string_agg(line, chr(10) ORDER BY in_name, out_name) AS text FROM he""",
+)
 def graph_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.mermaid(graph.strongest(t.calls(spark, sf_dir).where("in_file = 'world'")))
+    """The hub subgraph as one chart; graph_mermaid_lines has the whole graph."""
+    calls = t.calls(spark, sf_dir)
+    inside = F.broadcast(graph.hub_edges(calls, graph.hubs(calls)))  # 600 rows at most
+    return graph.mermaid(graph.strongest(calls.join(inside, ["in_name", "out_name"], "left_semi")))
 
 
 @query("graph_mermaid_lines", f"""{_C} SELECT '' AS in_name, '' AS out_name, 'flowchart LR' AS line UNION ALL
-    SELECT in_name, out_name, '  ' || replace(in_name, ':', '_') || '["' || in_name || '"]' || CASE WHEN max({_W}) < 1.0 THEN ' -.-> ' ELSE ' --> ' END || replace(out_name, ':', '_') || '["' || out_name || '"]' FROM calls GROUP BY in_name, out_name""")
+    SELECT in_name, out_name, '  ' || {_NODE("in_name")} || {_ARROW} || {_NODE("out_name")} FROM calls GROUP BY in_name, out_name""")
 def graph_mermaid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole strongest-edge graph as a chart's lines, to be read by in_name and out_name; graph_mermaid, held to its SQL, has the edges of one file."""
+    """The whole strongest-edge graph as a chart's lines, to be read by in_name and out_name."""
     head = spark.range(1).select(F.lit("").alias("in_name"), F.lit("").alias("out_name"), F.lit("flowchart LR").alias("line"))
     return head.unionByName(graph.mermaid_lines(graph.strongest(t.calls(spark, sf_dir))))
 
 
-#: Components of the graph without its hubs: orders and the parts that they name with least confidence.
-_WEAK = "confidence IS NOT NULL AND in_name LIKE 'o:%'"
-_COMPONENTS = f"""WITH RECURSIVE {t.CALLS}, e AS (SELECT DISTINCT in_name AS a, out_name AS b FROM calls WHERE {_WEAK}), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-    r AS (SELECT 0 AS k, a AS fqn, a AS l FROM b GROUP BY a UNION ALL SELECT max(r.k) + 1, b.a, least(min(r.l), b.a) FROM r JOIN b ON b.b = r.fqn WHERE r.k < 24 GROUP BY b.a),
-    comp AS (SELECT fqn, min(l) AS component FROM r GROUP BY fqn)"""
+#: By propagation of the least name over all edges, in more rounds than any name of the input tables is away from it.
+_COMPONENTS = f"""WITH RECURSIVE {t.CALLS}, {t.SYMBOL}, e AS (SELECT DISTINCT in_name AS a, out_name AS b FROM calls), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r AS (SELECT 0 AS k, a AS fqn, a AS l FROM b GROUP BY a UNION ALL SELECT max(r.k) + 1, b.a, least(min(r.l), b.a) FROM r JOIN b ON b.b = r.fqn WHERE r.k < 16 GROUP BY b.a),
+    names AS (SELECT fqn FROM symbol UNION SELECT a FROM b), comp AS (SELECT fqn, coalesce(min(l), fqn) AS component FROM names LEFT JOIN r USING (fqn) GROUP BY fqn)"""
 
 
 def _components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.components(t.calls(spark, d).where(_WEAK).select(F.col("in_name").alias("a"), F.col("out_name").alias("b")))
+    """Components over all call sites and symbols; a name without an edge to another is a component of its own."""
+    calls, symbols = t.calls(spark, d), t.symbols(spark, d)
+    found = graph.components(calls.select(F.col("in_name").alias("a"), F.col("out_name").alias("b")))
+    names = symbols.select("fqn").unionByName(calls.select(F.explode(F.array("in_name", "out_name")).alias("fqn"))).distinct()
+    return names.join(found, "fqn", "left").select("fqn", F.coalesce("component", "fqn").alias("component"))
 
 
 @query("connected_components", f"{_COMPONENTS} SELECT fqn, component FROM comp")
@@ -164,31 +180,11 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _components(spark, sf_dir)
 
 
-@query("area_files", f"{_COMPONENTS}, {t.SYMBOL} SELECT component, file, count(*) AS n FROM comp JOIN symbol USING (fqn) GROUP BY ALL")
+@query("area_files", f"{_COMPONENTS} SELECT component, file, count(*) AS n FROM comp JOIN symbol USING (fqn) GROUP BY ALL")
 def area_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _components(spark, sf_dir).join(t.symbols(spark, sf_dir), "fqn").groupBy("component", "file").agg(F.count("*").alias("n"))
 
 
-def _areas(spark: SparkSession, d: str) -> DataFrame:
-    """Components over all call sites and symbols; a name without an edge to another is a component of its own."""
-    calls, symbols = t.calls(spark, d), t.symbols(spark, d)
-    joined = graph.components(calls.select(F.col("in_name").alias("a"), F.col("out_name").alias("b")))
-    names = symbols.select("fqn").unionByName(calls.select(F.explode(F.array("in_name", "out_name")).alias("fqn"))).distinct()
-    return names.join(joined, "fqn", "left").select("fqn", F.coalesce("component", "fqn").alias("component"))
-
-
-@query("connected_components_whole")
-def connected_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """connected_components, held to its SQL, is on weak edges only; this is on the whole graph. Its SQL would recurse over a giant component: a test holds it against union-find."""
-    return _areas(spark, sf_dir)
-
-
-@query("area_files_whole")
-def area_files_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """area_files over the whole graph."""
-    return _areas(spark, sf_dir).join(t.symbols(spark, sf_dir), "fqn").groupBy("component", "file").agg(F.count("*").alias("n"))
-
-
 def _side(at: str, file: str, p: str) -> str:
     return f"SELECT {at} AS fqn, count(*) AS {p}_sites, count(DISTINCT {file}) AS {p}_files, bool_or({_W} < 1.0) AS {p}_inferred FROM calls GROUP BY 1"
 
@@ -205,7 +201,7 @@ def caller_callee_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "proximity_names",
-    rf"""{_CS[:-1]}, s AS (SELECT in_name, out_name, min(CASE WHEN in_file = out_file THEN 0 WHEN regexp_replace(in_file, '/?[^/]*$', '') = regexp_replace(out_file, '/?[^/]*$', '') THEN 1 ELSE 2 END) AS near FROM calls GROUP BY 1, 2),
+    rf"""{CS[:-1]}, s AS (SELECT in_name, out_name, min(CASE WHEN in_file = out_file THEN 0 WHEN regexp_replace(in_file, '/?[^/]*$', '') = regexp_replace(out_file, '/?[^/]*$', '') THEN 1 ELSE 2 END) AS near FROM calls GROUP BY 1, 2),
         n AS (SELECT out_name, name, min(near) AS near FROM s JOIN symbol ON fqn = in_name GROUP BY 1, 2),
         f AS (SELECT *, row_number() OVER (PARTITION BY out_name ORDER BY near, name) AS nth FROM n)
         SELECT out_name AS fqn, string_agg(name, ', ' ORDER BY nth) AS names FROM f WHERE nth <= 30 GROUP BY 1""",
@@ -214,10 +210,25 @@ def proximity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.proximity_names(t.calls(spark, sf_dir), t.symbols(spark, sf_dir))
 
 
-@query("symbol_references", f"{_CS} SELECT fqn FROM symbol WHERE name = 'red widget' AND ends_with(fqn, ':1') OR fqn = 'c:7' ORDER BY fqn")
+#: A nation is also known by its region's and its own name; several nations of a region may be meant by the latter alone.
+_SCOPED = "scoped AS (SELECT 'world::' || r_name || '::' || n_name AS fqn, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT c_mktsegment || '::' || n_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"
+_ASKED = ("world::{0}::{1}", "{0}::{1}", "{1}")
+
+
+@query(
+    "symbol_references",
+    f"""WITH {_SCOPED}, one AS (SELECT r_name AS r, n_name AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 7)
+        SELECT 'exact' AS asked, fqn FROM scoped, one WHERE fqn = 'world::' || r || '::' || n UNION ALL
+        SELECT 'tail', fqn FROM scoped, one WHERE ends_with(fqn, '::' || r || '::' || n) UNION ALL SELECT 'name', fqn FROM (SELECT fqn FROM scoped, one WHERE ends_with(fqn, '::' || n) ORDER BY fqn LIMIT 200)""",
+)
 def symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nation by its whole name, by its name's end, and by its last part, which others share: all that may be meant are listed."""
     from tessella.operators import resolve
 
-    symbols = t.symbols(spark, sf_dir)
-    tail = symbols.where((F.col("name") == "red widget") & F.endswith("fqn", F.lit(":1"))).select("fqn")
-    return resolve.by_reference(symbols, "c:7").select("fqn").unionByName(tail)
+    nation, region, customer = (table(spark, sf_dir, n) for n in ("nation", "region", "customer"))
+    placed = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    named = placed.select(F.concat_ws("::", F.lit("world"), "r_name", "n_name").alias("fqn"), F.col("n_name").alias("name"))
+    sold = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("::", "c_mktsegment", "n_name").alias("fqn"), F.col("n_name").alias("name")).distinct()
+    symbols, one = named.unionByName(sold), placed.where("n_nationkey = 7").select("r_name", "n_name").first()
+    found = [resolve.by_reference(symbols, form.format(*one)).select(F.lit(asked).alias("asked"), "fqn") for asked, form in zip(("exact", "tail", "name"), _ASKED)]
+    return found[0].unionByName(found[1]).unionByName(found[2])

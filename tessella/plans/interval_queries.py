@@ -27,10 +27,7 @@ def nonws_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "chunk_lines",
-    f"""WITH RECURSIVE {t.FILE}, {t.LINE}, z AS (SELECT file, ln, {_NS} AS n FROM line),
-        r AS (SELECT file, ln, ln AS first, n AS size FROM z WHERE ln = 1
-              UNION ALL SELECT z.file, z.ln, CASE WHEN r.size + z.n > 1500 THEN z.ln ELSE r.first END, CASE WHEN r.size + z.n > 1500 THEN z.n ELSE r.size + z.n END FROM r JOIN z ON z.file = r.file AND z.ln = r.ln + 1)
-        SELECT file, first::INT AS line_start, max(ln)::INT AS line_end, max(size)::INT AS size FROM r GROUP BY file, first HAVING max(size) > 0""",
+    f"WITH RECURSIVE {t.FILE}, {t.LINE}, {t.CHUNK} SELECT file, line_start, line_end, size FROM packed",
 )
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = t.files(spark, sf_dir).select("file", F.explode(intervals.packed_lines(F.split("text", "\n"))).alias("c"))
@@ -78,11 +75,11 @@ _ISLAND = """{n}_a AS (SELECT *, CASE WHEN line_start > max(line_end) OVER (PART
     {n}_b AS (SELECT *, sum(new) OVER (PARTITION BY file ORDER BY line_start, line_end ROWS UNBOUNDED PRECEDING) AS island FROM {n}_a),
     {n} AS (SELECT file, min(line_start)::INT AS line_start, max(line_end)::INT AS line_end, count(*) AS n, min(pos) AS pos FROM {n}_b GROUP BY file, island)"""
 #: Ranges of ten lines around each symbol of a file, many of which touch.
-_SPREAD = "spread AS (SELECT 'f' || (p_partkey % 40) AS file, (p_partkey * 37 % 5000 + 1)::INT AS line_start, (p_partkey * 37 % 5000 + 1 + p_size)::INT AS line_end, p_partkey AS pos, (p_partkey % 97) / 97.0 AS score FROM part)"
-_SP = f"WITH {_SPREAD}"
+SPREAD = "spread AS (SELECT 'f' || (p_partkey % 40) AS file, (p_partkey * 37 % 5000 + 1)::INT AS line_start, (p_partkey * 37 % 5000 + 1 + p_size)::INT AS line_end, p_partkey AS pos, (p_partkey % 97) / 97.0 AS score FROM part)"
+_SP = f"WITH {SPREAD}"
 
 
-def _spread(spark: SparkSession, d: str) -> DataFrame:
+def spread(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("p_partkey")
     start = (key * 37 % 5000 + 1).cast("int")
     return table(spark, d, "part").select(F.concat(F.lit("f"), key % 40).alias("file"), start.alias("line_start"), (start + F.col("p_size")).alias("line_end"), key.alias("pos"), ((key % 97) / 97.0).alias("score"))
@@ -90,12 +87,12 @@ def _spread(spark: SparkSession, d: str) -> DataFrame:
 
 @query("merge_gap_islands", f"{_SP}, {_ISLAND.format(n='m', gap=2, src='spread')} SELECT file, line_start, line_end, n FROM m")
 def merge_gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.islands(_spread(spark, sf_dir), 2, n=F.count("*"))
+    return intervals.islands(spread(spark, sf_dir), 2, n=F.count("*"))
 
 
 @query("block_merge", f"{_SP}, {_ISLAND.format(n='m', gap=1, src='spread')} SELECT file, line_start, line_end, pos FROM m")
 def block_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.islands(_spread(spark, sf_dir), 1, pos=F.min("pos"))
+    return intervals.islands(spread(spark, sf_dir), 1, pos=F.min("pos"))
 
 
 _PADDED = "padded AS (SELECT file, greatest(line_start - 2, 1)::INT AS line_start, least(line_end + 2, 4000)::INT AS line_end, pos FROM spread WHERE line_start <= 4000)"
@@ -104,7 +101,7 @@ _PADDED = "padded AS (SELECT file, greatest(line_start - 2, 1)::INT AS line_star
 @query("range_sanitize", f"{_SP}, {_PADDED}, {_ISLAND.format(n='m', gap=1, src='padded')} SELECT file, line_start, line_end FROM m")
 def range_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of a file of 4000 lines: padded by two, cut to the file, merged if they touch."""
-    valid = _spread(spark, sf_dir).where("line_start <= 4000")
+    valid = spread(spark, sf_dir).where("line_start <= 4000")
     padded = valid.select("file", F.greatest(F.col("line_start") - 2, F.lit(1)).alias("line_start"), F.least(F.col("line_end") + 2, F.lit(4000)).alias("line_end"))
     return intervals.islands(padded, 1)
 
@@ -119,7 +116,7 @@ def grep_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.islands(hits.select("file", F.greatest(F.col("ln") - 1, F.lit(1)).alias("line_start"), (F.col("ln") + 1).alias("line_end")), 1, n=F.count("*"))
 
 
-_CAPPED = f"""WITH RECURSIVE {_SPREAD}, u AS (SELECT file, line_start, line_end, max(score) AS score FROM spread GROUP BY 1, 2, 3), s AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_start, line_end) AS k FROM u),
+_CAPPED = f"""WITH RECURSIVE {SPREAD}, u AS (SELECT file, line_start, line_end, max(score) AS score FROM spread GROUP BY 1, 2, 3), s AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_start, line_end) AS k FROM u),
     r AS (SELECT file, k, 1 AS grp, line_start AS a, line_end AS b FROM s WHERE k = 1
           UNION ALL SELECT s.file, s.k, CASE WHEN s.line_start <= r.b + 2 AND greatest(r.b, s.line_end) - r.a + 1 <= 60 THEN r.grp ELSE r.grp + 1 END,
           CASE WHEN s.line_start <= r.b + 2 AND greatest(r.b, s.line_end) - r.a + 1 <= 60 THEN r.a ELSE s.line_start END, CASE WHEN s.line_start <= r.b + 2 AND greatest(r.b, s.line_end) - r.a + 1 <= 60 THEN greatest(r.b, s.line_end) ELSE s.line_end END
@@ -129,12 +126,12 @@ _CAPPED = f"""WITH RECURSIVE {_SPREAD}, u AS (SELECT file, line_start, line_end,
 
 @query("merge_capped_60", f"{_CAPPED} SELECT * FROM merged")
 def merge_capped_60(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.merged_capped(_spread(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return intervals.merged_capped(spread(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query("drop_contained", f"{_SP}, u AS (SELECT DISTINCT file, line_start, line_end FROM spread) SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u w WHERE w.file = u.file AND w.line_start <= u.line_start AND w.line_end >= u.line_end AND (w.line_start, w.line_end) <> (u.line_start, u.line_end))")
 def drop_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.without_contained(_spread(spark, sf_dir).select("file", "line_start", "line_end").distinct())
+    return intervals.without_contained(spread(spark, sf_dir).select("file", "line_start", "line_end").distinct())
 
 
 _DIFF = """body AS (SELECT doc_id, unnest(generate_series(1, len(b))) AS n, unnest(b) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS b FROM documents)),
@@ -189,9 +186,9 @@ def grep_per_file_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy("ln"))).where("r <= 20").select("file", "ln")
 
 
-@query("read_range_budget", f"{_L} SELECT file, ln FROM (SELECT file, ln, sum(strlen(body) + 1) OVER (PARTITION BY file ORDER BY ln ROWS UNBOUNDED PRECEDING) AS upto FROM line WHERE ln BETWEEN 2 AND 801) WHERE upto <= 2048")
+@query("read_range_budget", f"{_L} SELECT file, ln FROM (SELECT file, ln, sum(strlen(body) + 1) OVER (PARTITION BY file ORDER BY ln ROWS UNBOUNDED PRECEDING) AS upto FROM line WHERE ln BETWEEN 2 AND 801) WHERE upto <= 65536")
 def read_range_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines 2 to 801 of each file, while their bytes fit."""
+    """Lines 2 to 801 of each file, while their bytes fit into 64 KiB."""
     lines = t.lines(t.files(spark, sf_dir)).where("ln between 2 and 801")
     upto = F.sum(F.octet_length("body") + 1).over(Window.partitionBy("file").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("upto", upto).where("upto <= 2048").select("file", "ln")
+    return lines.withColumn("upto", upto).where("upto <= 65536").select("file", "ln")

@@ -125,12 +125,12 @@ def detect_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.changes(disk, stored, 1)
 
 
-#: The surface after an edit: some parts are renamed, and some are gone.
-_AFTER = "after AS (SELECT fqn, CASE WHEN fqn LIKE 'p:%3' THEN name || ' v2' ELSE name END AS name, kind, file, line_start, line_end FROM symbol WHERE fqn NOT LIKE 'p:%77')"
+#: The surface after an edit: some parts get a name that references asked for in vain, and some are gone.
+_AFTER = "after AS (SELECT fqn, CASE WHEN fqn LIKE 'p:%3' THEN 'gone_' || (substr(fqn, 3)::BIGINT * 11) ELSE name END AS name, kind, file, line_start, line_end FROM symbol WHERE fqn NOT LIKE 'p:%77')"
 
 
 def _after(spark: SparkSession, d: str) -> DataFrame:
-    return t.symbols(spark, d).where("fqn NOT LIKE 'p:%77'").withColumn("name", F.when(F.col("fqn").like("p:%3"), F.concat("name", F.lit(" v2"))).otherwise(F.col("name")))
+    return t.symbols(spark, d).where("fqn NOT LIKE 'p:%77'").withColumn("name", F.when(F.col("fqn").like("p:%3"), F.concat(F.lit("gone_"), F.substring("fqn", 3, 20).try_cast("long") * 11)).otherwise(F.col("name")))
 
 
 _DELTA = """delta AS (SELECT file, name, fqn, 'removed' AS change FROM symbol s WHERE NOT EXISTS (SELECT 1 FROM after a WHERE a.file = s.file AND a.name = s.name AND a.fqn = s.fqn)

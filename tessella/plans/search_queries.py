@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import paths, text
-from tessella.operators import filters, lexical
+from tessella.operators import filters, lexical, vector
 from tessella.plans.registry import query
 from tessella.sources import engine_tables as t
 from tessella.sources.tables import table
@@ -20,18 +20,27 @@ _POOL = f"""pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY te
     WHERE contains(lower(content), term) OR contains(lower(file), term)) WHERE nth <= {LIMIT})"""
 _DF = "df AS (SELECT term, count(*) AS df FROM pool GROUP BY term), mx AS (SELECT max(df) AS m FROM df)"
 _TOK = r"regexp_split_to_array(body, '[^\p{L}\p{N}_]+')"
-_SCORED = rf"""rows AS (SELECT DISTINCT file, line_start, line_end, content, lower(content) AS body, lower(file) AS path FROM pool),
+_SCORED = rf"""rows AS (SELECT DISTINCT file, line_start, line_end, content, symbol, lower(content) || chr(10) || coalesce(lower(symbol), '') AS body, lower(file) AS path FROM pool),
     w AS (SELECT r.file, r.line_start, sum(CASE WHEN contains(body, term) THEN x ELSE x * 0.5 END) AS s FROM rows r,
         (SELECT term, 1.0 - 0.5 * ln(1.0 + df) / greatest(ln(1.0 + m), 1.0) AS x FROM df, mx) WHERE contains(body, term) OR contains(path, term) GROUP BY ALL),
     run AS (SELECT file, line_start, list_max(list_transform({_TOK}, lambda k: list_sum(list_transform({_LIST}, lambda t: CASE WHEN contains(k, t) THEN 1 ELSE 0 END)))) AS n,
-        list_bool_or(list_transform({_TOK}, lambda k: regexp_replace(k, '[^\p{{L}}\p{{N}}]', '', 'g') = '{"".join(TERMS)}')) AS witness FROM rows),
+        list_bool_or(list_transform({_TOK}, lambda k: regexp_replace(k, '[^\p{{L}}\p{{N}}]', '', 'g') = '{"".join(TERMS)}'))
+            OR coalesce(regexp_replace(lower(regexp_extract(symbol, '[^:]*$')), '[^\p{{L}}\p{{N}}]', '', 'g') = '{"".join(TERMS)}', false) AS witness FROM rows),
     scored AS (SELECT r.*, witness, 0.55 * least(s / {len(TERMS)} + CASE WHEN n >= 2 THEN 2.0 * (n / {len(TERMS)}.0) * (n / {len(TERMS)}.0) ELSE 0 END, 1.0) + CASE WHEN witness THEN 0.25 ELSE 0 END AS score
         FROM rows r JOIN w USING (file, line_start) JOIN run USING (file, line_start))"""
-_LEX = t.with_tables(t.FILE, t.CHUNK) [:-1] + ", " + _POOL
+#: A chunk of every seventh document lies in a symbol, and of every twenty-eighth in one that is named as what is sought.
+_HELD = "'pkg::' || CASE WHEN doc_id % 28 = 0 THEN 'License_Thand_' || 'TokenKeitNessTion' WHEN doc_id % 7 = 0 THEN 'tokenOf' END"
+_LEX = f"WITH RECURSIVE {t.FILE}, {t.LINE}, {t.CHUNK.replace('chunk AS (', 'chunk0 AS (')}, chunk AS (SELECT *, {_HELD} AS symbol FROM chunk0), {_POOL}"
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("doc_id")
+    name = F.when(key % 28 == 0, "License_Thand_TokenKeitNessTion").when(key % 7 == 0, "tokenOf")
+    return t.chunks(spark, d).withColumn("symbol", F.concat(F.lit("pkg::"), name))
 
 
 def _pooled(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.pools(t.chunks(spark, d).withColumn("symbol", F.lit(None).cast("string")), TERMS, LIMIT)
+    return lexical.pools(_chunks(spark, d), TERMS, LIMIT)
 
 
 @query("tokenize_terms", f"SELECT pos::INT AS pos, term FROM (SELECT unnest({_LIST}) AS term, unnest(range({len(TERMS)})) AS pos)")
@@ -60,32 +69,41 @@ def lexical_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.scored(_pooled(spark, sf_dir), TERMS).groupBy("witness").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
 
 
-_LISTS = f"""{_LEX}, {_DF}, {_SCORED},
-    lx AS (SELECT file, line_start, line_end, score, row_number() OVER (ORDER BY round(score, 9) DESC, length(content), file, line_start)::INT AS lrank FROM scored WHERE length(trim(content)) >= 1 QUALIFY lrank <= 20),
-    vx AS (SELECT file, line_start, line_end, 1.0 - (doc_id % 101) / 200.0 AS score, row_number() OVER (ORDER BY doc_id % 101, file)::INT AS vrank FROM chunk QUALIFY vrank <= 20),
+#: An embedding is that of its document's first chunk; what is sought has the vector of document 7.
+_VECTOR = """firsts AS (SELECT file, doc_id, min(line_start) AS line_start, arg_min(line_end, line_start) AS line_end FROM chunk GROUP BY file, doc_id),
+    near AS (SELECT file, line_start, line_end, round(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6) AS score FROM embeddings e JOIN firsts ON doc_id = vec_id),
+    vx AS (SELECT *, row_number() OVER (ORDER BY score DESC, file)::INT AS vrank FROM near QUALIFY vrank <= 20)"""
+LISTS = f"""{_LEX}, {_DF}, {_SCORED},
+    lx AS (SELECT file, line_start, line_end, score, row_number() OVER (ORDER BY round(score, 9) DESC, length(content), file, line_start)::INT AS lrank FROM scored WHERE length(trim(content)) >= 1 QUALIFY lrank <= 20), {_VECTOR},
     fused AS (SELECT file, line_start, line_end, vrank, lrank, coalesce(1.0 / (60 + vrank), 0) + coalesce(0.7 / (60 + lrank), 0) AS rrf, coalesce(vx.score, lx.score) AS score FROM vx FULL JOIN lx USING (file, line_start, line_end))"""
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    """Two top-20 lists, the vector one by a stand-in score of the document's number."""
-    chunks = t.chunks(spark, d)
-    vector_list = chunks.select(*lexical.KEY, (1.0 - (F.col("doc_id") % 101) / 200.0).alias("score"), (F.col("doc_id") % 101).alias("o")).orderBy("o", "file").limit(20)
-    lexical_list = lexical.ranked(lexical.scored(_pooled(spark, d), TERMS), 20)
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty chunks whose vectors are nearest, with their scores."""
+    firsts = t.chunks(spark, d).groupBy("file", "doc_id").agg(F.min(F.struct("line_start", "line_end")).alias("c")).select("file", "doc_id", "c.line_start", "c.line_end")
+    vectors = table(spark, d, "embeddings")
+    placed = firsts.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").drop("doc_id")
+    return vector.topk(placed, vectors.where("vec_id = 7"), "file", 20)
+
+
+def fused(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors' twenty and the words' twenty, fused."""
+    vector_list, lexical_list = _nearest(spark, d), lexical.ranked(lexical.scored(_pooled(spark, d), TERMS), 20)
     # each list has 20 rows
     one = Window.partitionBy(F.lit(0))
-    v = vector_list.withColumn("rank", F.row_number().over(one.orderBy("o", "file")))
+    v = vector_list.withColumn("rank", F.row_number().over(one.orderBy(F.desc("score"), "file")))
     w = lexical_list.withColumn("rank", F.row_number().over(one.orderBy(F.desc(F.round("score", 9)), F.length("content"), *lexical.KEY)))
     return lexical.rrf(v, w)
 
 
-@query("rrf_fusion", f"{_LISTS} SELECT file, line_start, line_end, vrank, lrank, round(rrf, 6) AS rrf, round(score, 6) AS score FROM fused")
+@query("rrf_fusion", f"{LISTS} SELECT file, line_start, line_end, vrank, lrank, round(rrf, 6) AS rrf, round(score, 6) AS score FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir).withColumns({"rrf": F.round("rrf", 6), "score": F.round("score", 6)})
+    return fused(spark, sf_dir).withColumns({"rrf": F.round("rrf", 6), "score": F.round("score", 6)})
 
 
-@query("hybrid_truncate", f"{_LISTS} SELECT file, round(rrf, 6) AS rrf FROM fused ORDER BY round(rrf, 9) DESC, vrank NULLS LAST, lrank NULLS LAST, file LIMIT 20")
+@query("hybrid_truncate", f"{LISTS} SELECT file, line_start, round(rrf, 6) AS rrf FROM fused ORDER BY round(rrf, 9) DESC, vrank NULLS LAST, lrank NULLS LAST, file LIMIT 20")
 def hybrid_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir).orderBy(*lexical.fused_order()).limit(20).select("file", F.round("rrf", 6).alias("rrf"))
+    return fused(spark, sf_dir).orderBy(*lexical.fused_order()).limit(20).select("file", "line_start", F.round("rrf", 6).alias("rrf"))
 
 
 @query("identifier_split", r"SELECT s_suppkey, trim(regexp_replace(lower(regexp_replace(regexp_replace(s_name || '_fooBar2Baz', '([\p{Ll}0-9])(\p{Lu})', '\1 \2', 'g'), '[_.\-]+', ' ', 'g')), ' +', ' ', 'g')) AS words FROM supplier")
@@ -120,19 +138,19 @@ _REDACT = (
 )
 
 
-def _redact_sql(column: str) -> str:
+def redact_sql(column: str) -> str:
     for pattern, left in _REDACT:
         column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '{left}', 'g')"
     return column
 
 
-@query("redact_secrets", f"SELECT doc_id, md5({_redact_sql('text')}) AS redacted, text <> {_redact_sql('text')} AS changed FROM documents")
+@query("redact_secrets", f"SELECT doc_id, md5({redact_sql('text')}) AS redacted, text <> {redact_sql('text')} AS changed FROM documents")
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", text.redacted(F.col("text")).alias("r"))
     return docs.select("doc_id", F.md5("r").alias("redacted"), (F.col("r") != F.col("text")).alias("changed"))
 
 
-@query("secret_counts", f"SELECT source, sum(len(string_split(r, '<redacted ')) - 1)::BIGINT AS secrets FROM (SELECT source, {_redact_sql('text')} AS r FROM documents) GROUP BY source")
+@query("secret_counts", f"SELECT source, sum(len(string_split(r, '<redacted ')) - 1)::BIGINT AS secrets FROM (SELECT source, {redact_sql('text')} AS r FROM documents) GROUP BY source")
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = F.regexp_count(text.redacted(F.col("text")), F.lit("<redacted "))
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(marks).cast("long").alias("secrets"))

@@ -29,10 +29,16 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bursts.select("repo", F.unix_micros("opened").alias("opened"), F.unix_micros("closed").alias("closed"), "changes")
 
 
+_PENDING = "b.closed < r.starts"
+
+
 @query(
     "recompute_schedule",
-    f"""WITH {_FEED}, {_BURST}, s AS (SELECT repo, opened, closed + {_SETTLE}000000 AS starts, lag(closed + {_SETTLE}000000) OVER (PARTITION BY repo ORDER BY closed) + {_RUN}000000 AS free FROM burst)
-        SELECT repo, CASE WHEN coalesce(opened < free, false) THEN greatest(starts, free) ELSE starts END AS starts, coalesce(opened < free, false) AS rearmed FROM s""",
+    f"""WITH RECURSIVE {_FEED}, {_BURST.replace("b AS", "c AS", 1).replace("FROM b GROUP", "FROM c GROUP")}, b AS (SELECT repo, closed, row_number() OVER (PARTITION BY repo ORDER BY closed) AS k FROM burst),
+        r AS (SELECT repo, k, 1 AS run, closed + {_SETTLE}000000 AS starts, closed AS floor, false AS rearmed FROM b WHERE k = 1
+              UNION ALL SELECT b.repo, b.k, CASE WHEN {_PENDING} THEN r.run ELSE r.run + 1 END, greatest(CASE WHEN {_PENDING} THEN r.floor ELSE r.starts + {_RUN}000000 END, b.closed + {_SETTLE}000000),
+                CASE WHEN {_PENDING} THEN r.floor ELSE r.starts + {_RUN}000000 END, CASE WHEN {_PENDING} THEN r.rearmed ELSE b.closed < r.starts + {_RUN}000000 END FROM r JOIN b ON b.repo = r.repo AND b.k = r.k + 1)
+        SELECT repo, max(starts) AS starts, bool_or(rearmed) AS rearmed, count(*) AS bursts FROM r GROUP BY repo, run""",
 )
 def recompute_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.recomputes(changes.debounced(_feed(spark, sf_dir), f"{_QUIET} seconds"), _SETTLE, _RUN)

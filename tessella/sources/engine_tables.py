@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators import intervals
 from tessella.sources.tables import table
 
 
@@ -29,11 +30,19 @@ LINE = "line AS (SELECT file, unnest(generate_series(1, len(b)))::INT AS ln, unn
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """One chunk a document."""
-    return files(spark, d).select("file", "repo", "doc_id", F.lit(1).alias("line_start"), F.size(F.split("text", "\n")).alias("line_end"), F.col("text").alias("content"))
-
-
-CHUNK = "chunk AS (SELECT file, repo, doc_id, 1 AS line_start, len(string_split(text, chr(10)))::INT AS line_end, text AS content FROM file)"
+    """(file, repo, doc_id, line_start, line_end, content): whole lines of each file, packed to the budget of a chunk."""
+    split = files(spark, d).select("file", "repo", "doc_id", F.split("text", "\n").alias("b"))
+    packed = split.select("*", F.explode(intervals.packed_lines(F.col("b"))).alias("c"))
+    content = F.array_join(F.slice("b", F.col("c.line_start"), F.col("c.line_end") - F.col("c.line_start") + 1), "\n")
+    return packed.select("file", "repo", "doc_id", "c.line_start", "c.line_end", content.alias("content"))
+
+
+#: Needs WITH RECURSIVE, FILE and LINE.
+CHUNK = r"""z AS (SELECT file, ln, length(regexp_replace(body, '\s+', '', 'g')) AS n FROM line),
+    fold AS (SELECT file, ln, ln AS first, n AS size FROM z WHERE ln = 1
+        UNION ALL SELECT z.file, z.ln, CASE WHEN fold.size + z.n > 1500 THEN z.ln ELSE fold.first END, CASE WHEN fold.size + z.n > 1500 THEN z.n ELSE fold.size + z.n END FROM fold JOIN z ON z.file = fold.file AND z.ln = fold.ln + 1),
+    packed AS (SELECT file, first::INT AS line_start, max(ln)::INT AS line_end, max(size)::INT AS size FROM fold GROUP BY file, first HAVING max(size) > 0),
+    chunk AS (SELECT file, repo, doc_id, line_start, line_end, array_to_string(string_split(text, chr(10))[line_start:line_end], chr(10)) AS content FROM packed JOIN file USING (file))"""
 
 
 def _span(key: str, width: Column) -> list[Column]:

@@ -4,9 +4,10 @@ A feed has rows (repo, path, kind, ts). Batch and stream share each plan, so the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -38,15 +39,36 @@ def windowed(changes: DataFrame, width: str, slide: str | None = None) -> DataFr
     return out.select(F.col("w.start").alias("opened"), "kind", "changes")
 
 
+def _runs(settle: int, run: int):
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repo = starts = floor = n = None
+        rearmed = False
+        for frame in frames:
+            out = []
+            for r, closed in zip(frame["repo"], frame["closed"]):
+                if repo is not None and r == repo and closed < starts:  # the run has yet to start: it waits for this burst too
+                    starts, n = max(floor, closed + settle), n + 1
+                    continue
+                if repo is not None:
+                    out.append((repo, starts, rearmed, n))
+                floor = starts + run if r == repo else closed
+                repo, rearmed, n = r, r == repo and closed < floor, 1
+                starts = max(floor, closed + settle)
+            yield pd.DataFrame(out, columns=["repo", "starts", "rearmed", "bursts"])
+        if repo is not None:
+            yield pd.DataFrame([(repo, starts, rearmed, n)], columns=["repo", "starts", "rearmed", "bursts"])
+
+    return fold
+
+
 def recomputes(bursts: DataFrame, settle: int = SETTLE, run: int = RUN) -> DataFrame:
-    """(repo, starts, rearmed): a run starts so many seconds after a burst has closed; it is a trailing one if the burst
-    opened while the run before was under way, which takes so many seconds at most. One run of a repo at a time."""
-    order = Window.partitionBy("repo").orderBy("closed")
-    starts = F.unix_micros("closed") + settle * 1_000_000
-    rows = bursts.withColumn("starts", starts)
-    before = F.lag("starts").over(order)
-    rearmed = F.coalesce(F.unix_micros("opened") < before + run * 1_000_000, F.lit(False))
-    return rows.select("repo", F.when(rearmed, F.greatest("starts", before + run * 1_000_000)).otherwise(F.col("starts")).alias("starts"), rearmed.alias("rearmed"))
+    """(repo, starts, rearmed, bursts): the runs that take the bursts up, and how many each does.
+
+    A run waits for so many quiet seconds after the last burst, and for the run before, which takes so many seconds. Bursts
+    that close while a run is under way make one trailing run, which takes them all. One run of a repo at a time. Each
+    repo's bursts stream by in order, and no more than the run that is to come is held."""
+    rows = bursts.select(F.col("repo").cast("long").alias("repo"), F.unix_micros("closed").alias("closed"))
+    return rows.repartition("repo").sortWithinPartitions("repo", "closed").mapInPandas(_runs(settle * 1_000_000, run * 1_000_000), "repo long, starts long, rearmed boolean, bursts long")
 
 
 def latest(changes: DataFrame) -> DataFrame:

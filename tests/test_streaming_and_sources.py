@@ -40,6 +40,8 @@ def test_bursts_and_trailing_runs(spark):
     assert sorted(r.changes for r in bursts.collect()) == [1, 1, 2]
     runs = sorted((r.starts // 1_000_000, r.rearmed) for r in changes.recomputes(bursts).collect())
     assert runs == [(9, False), (39, True), (207, False)]
+    closed = spark.createDataFrame([(2, float(c)) for c in (3, 13, 23, 53)], "repo long, s double").select("repo", at(F.col("s")).alias("closed"))
+    assert sorted((r.starts // 1_000_000, r.rearmed, r.bursts) for r in changes.recomputes(closed).collect()) == [(7, False, 1), (37, True, 2), (67, True, 1)]
     assert {(r.path, r.kind) for r in changes.latest(feed).collect()} == {("a", "modified"), ("b", "deleted"), ("c", "added")}
 
 

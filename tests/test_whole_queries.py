@@ -1,4 +1,4 @@
-"""Queries that do the whole job beside ones that their SQL limits, against brute force over the smallest tables."""
+"""Queries over the whole graph, against brute force over the smallest tables."""
 
 from collections import Counter
 from pathlib import Path
@@ -26,10 +26,10 @@ def test_components_of_the_whole_graph(spark):
         a, b = find(a), find(b)
         up[max(a, b)] = min(a, b)
     want = {x: find(x) for x in up}
-    got = registry.queries()["connected_components_whole"](spark, str(SF)).collect()
+    got = registry.queries()["connected_components"](spark, str(SF)).collect()
     assert len(got) == len(want) and {r.fqn: r.component for r in got} == want
     assert {"r:0", "n:0", "c:1", "s:1"} <= set(want)
-    areas = {(r.component, r.file): r.n for r in registry.queries()["area_files_whole"](spark, str(SF)).collect()}
+    areas = {(r.component, r.file): r.n for r in registry.queries()["area_files"](spark, str(SF)).collect()}
     assert areas == Counter((want[x], f) for x, f in files.items())
 
 
