@@ -164,19 +164,58 @@ def recall(vectors: DataFrame, probes: DataFrame, dim: int) -> DataFrame:
     return best.groupBy("probe_id").agg(*hits, F.avg(ten).alias("drift_mean"), F.max(ten).alias("drift_max"))
 
 
-def batches(texts: DataFrame, order: list[str], rows: int, size: int) -> DataFrame:
-    """Texts in order, in batches of at most so many rows and bytes; a larger text travels alone. Each task batches its own rows."""
+#: Texts and bytes of one batch for an embedder.
+BATCH_TEXTS, BATCH_BYTES = 128, 1_500_000
+
+
+def batches(texts: DataFrame, group: str, order: list[str], rows: int = BATCH_TEXTS, size: int = BATCH_BYTES) -> DataFrame:
+    """texts (group, bytes, ..) with batch, numbered from 0 within each group: in order, at most so many rows and bytes; a
+    larger text travels alone. A group's rows stream by, so no group is held."""
 
     def run(pdfs):
-        batch = n = total = 0
+        own = batch = n = total = None
         for pdf in pdfs:
             out = []
-            for b in pdf["bytes"]:
-                if n and (n >= rows or total + b > size):
+            for g, b in zip(pdf[group], pdf["bytes"]):
+                if g != own:
+                    own, batch, n, total = g, 0, 0, 0
+                elif n and (n >= rows or total + b > size):
                     batch, n, total = batch + 1, 0, 0
                 n, total = n + 1, total + b
                 out.append(batch)
             yield pdf.assign(batch=out)
 
-    source = texts.sortWithinPartitions(*order)
-    return source.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema) + ", batch long")
+    source = texts.where(F.col(group).isNotNull()).repartition(group).sortWithinPartitions(group, *order)
+    return source.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", batch long")
+
+
+def _bytes(batches):
+    for batch in batches:
+        values = [None if v is None else np.asarray(v, "<f4").tobytes() for v in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["vec_id", "packed"])
+
+
+def packed(vectors: DataFrame) -> DataFrame:
+    """(vec_id, packed): each vector's floats as little-endian bytes of four."""
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_bytes, "vec_id long, packed binary")
+
+
+def _floats(batches):
+    for batch in batches:
+        values = [None if b is None or len(b) % 4 else np.frombuffer(b, "<f4") for b in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float32()))], ["vec_id", "embedding"])
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """(vec_id, embedding) from packed bytes; bytes that aren't whole floats give null."""
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), "packed").mapInArrow(_floats, "vec_id long, embedding array<float>")
+
+
+def without(vectors: DataFrame, gone: DataFrame, by: list[str]) -> DataFrame:
+    """Vectors but for those of files or repos that are gone."""
+    return vectors.join(gone.select(*by).distinct(), by, "left_anti")
+
+
+def replaced(vectors: DataFrame, fresh: DataFrame, touched: DataFrame, dim: int, by: list[str]) -> DataFrame:
+    """An increment: what belongs to the touched files goes, and their fresh vectors of the index's dimension come."""
+    return without(vectors, touched, by).unionByName(of_dimension(fresh, dim))
