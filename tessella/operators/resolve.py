@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.paths import is_generated, language, parent, slashed
 
-#: By language, what an import may end in, in order.
+#: By language, what an import may end in, in order.
 PROBES = {
     "typescript": (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", ""),
     "python": (".py", "/__init__.py", ""),
@@ -87,6 +87,51 @@ def _suffix_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
     return slashed_.unionByName(bare.join(endings, "suffix").select("suffix", "file")).groupBy("suffix").agg(F.min("file").alias("file"))
 
 
+def _above(file: Column) -> Column:
+    """The folders that a file lies in, the root as ''."""
+    parts = F.split(file, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+
+
+def _below(folder: Column, path: Column) -> Column:
+    return normal_path(F.concat_ws("/", F.when(folder != "", folder), path))
+
+
+def go_files(imports: DataFrame, files: DataFrame, modules: DataFrame) -> DataFrame:
+    """imports (import_id, import_path, from_file) of Go with file: the first one of the folder that the path names below the
+    module (folder, module) of the nearest go.mod above the importing file."""
+    own = imports.where((language(F.col("from_file")) == "go") & F.col("import_path").isNotNull())
+    near = own.select("*", F.explode(_above(F.col("from_file"))).alias("folder")).join(modules, "folder").groupBy(*imports.columns).agg(F.max_by(F.struct("folder", "module"), F.length("folder")).alias("m"))
+    path, module = F.col("import_path"), F.col("m.module")
+    inside = near.where((path == module) | path.startswith(F.concat(module, F.lit("/"))))
+    wanted = inside.withColumn("dir_", _below(F.col("m.folder"), F.substring(path, F.length(module) + 2, F.length(path)))).drop("m")
+    first = files.where(F.endswith("file", F.lit(".go"))).groupBy(parent(F.col("file")).alias("dir_")).agg(F.min("file").alias("file"))
+    return wanted.join(first, "dir_").select(*imports.columns, "file")
+
+
+def alias_files(imports: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
+    """imports (import_id, import_path, from_file) with file, by aliases (folder, n, pattern, target) in order of n, as `@/*` and
+    `src/*`, of the nearest configuration above the importing file. Relative and absolute paths have none."""
+    lang, path = language(F.col("from_file")), F.col("import_path")
+    own = imports.where(lang.isin("typescript", "tsx", "javascript") & ~path.rlike(r"^[./]"))
+    every = aliases.groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("n", "pattern", "target"))).alias("aliases"))  # one configuration's entries
+    near = own.select("*", F.explode(_above(F.col("from_file"))).alias("folder")).join(every, "folder").groupBy(*imports.columns).agg(F.max_by(F.struct("folder", "aliases"), F.length("folder")).alias("m"))
+    one = near.select("*", F.explode("m.aliases").alias("a"))
+    prefix, base = F.regexp_replace("a.pattern", r"\*$", ""), F.regexp_replace("a.target", r"\*$", "")
+    met = one.where(F.endswith("a.pattern", F.lit("*")) & path.startswith(prefix))
+    rest = F.substring(path, F.length(prefix) + 1, F.length(path))
+    tried = met.select(*imports.columns, F.col("a.n").alias("n"), _below(F.col("m.folder"), F.concat(base, rest)).alias("base_")).select("*", F.posexplode(F.array(*map(F.lit, PROBES["typescript"]))).alias("rank", "end_"))
+    placed = tried.withColumn("found_", F.concat("base_", "end_")).join(files.select(F.col("file").alias("found_")).distinct(), "found_")
+    return placed.groupBy(*imports.columns).agg(F.min_by("found_", F.struct("n", "rank")).alias("file"))
+
+
+def projected(edges: DataFrame) -> DataFrame:
+    """Edges (what, to_name, ..) as they are stored: calls and flows only, both of kind `calls`, flows with their type."""
+    flow = F.when(F.startswith("to_name", F.lit("taint:source:")), "taint_source").when(F.startswith("to_name", F.lit("taint:sink:")), "taint_sink").otherwise("data_flows_to")
+    return edges.where("what IN ('call', 'flow')").withColumns({"kind": F.lit("calls"), "flow_type": F.when(F.col("what") == "flow", flow)}).drop("what")
+
+
+#: Fixed value: names of files that hand on what their neighbours define.
 BARREL = r"/(index\.[jt]sx?|__init__\.py|mod\.rs)$"
 
 

@@ -46,16 +46,17 @@ def test_bursts_and_trailing_runs(spark):
 
 
 def test_a_tree_becomes_files_symbols_and_resolved_calls(spark, tmp_path):
-    for name, body in {"a.py": b"class A:\n    def run(self):\n        return helper(1)\n\ndef helper(x):\n    return x\n", "bad.py": b"def (:\n", "bin.py": b"x\0y", "latin.py": "é".encode("latin-1"),
+    for name, body in {".gitignore": b"# rules\nout/\n*.log.py\n!keep.log.py\n/top.py\n", "out/x.py": b"x = 1\n", "deep/out/y.py": b"y = 1\n", "a.log.py": b"z = 1\n", "sub/keep.log.py": b"k = 1\n", "top.py": b"t = 1\n", "sub/top.py": b"t = 2\n", "big.py": b"#" * (repository.MOST_BYTES + 1),
+                       "sub/.gitignore": b"/d.py\n", "sub/d.py": b"d = 1\n", "a.py": b"class A:\n    def run(self):\n        return helper(1)\n\ndef helper(x):\n    return x\n", "bad.py": b"def (:\n", "bin.py": b"x\0y", "latin.py": "é".encode("latin-1"),
                        ".hidden/h.py": b"def h(): pass\n", "node_modules/m.py": b"def m(): pass\n", "sub/b.py": b"from a import helper\nhelper(2)\n", "sub/c.txt0": b"none"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(body)
     files = repository.walk(spark, str(tmp_path), ignored=("none",)).persist()
-    assert {(r.file, r.reason) for r in files.collect()} == {("a.py", None), ("bad.py", None), ("bin.py", "binary"), ("latin.py", "not UTF-8"), ("sub/b.py", None)}
-    rows = repository.python_rows(files).persist()
+    assert {(r.file, r.reason) for r in files.collect()} == {("a.py", None), ("bad.py", None), ("bin.py", "binary"), ("latin.py", "not UTF-8"), ("sub/b.py", None), ("sub/keep.log.py", None), ("sub/top.py", None), ("big.py", "too large")}
+    rows = repository.extracted(files).persist()
     found = {(r.fqn, r.kind, r.line_start, r.line_end) for r in repository.symbols(rows).collect()}
     assert found == {("a.py::A", "class", 1, 3), ("a.py::A::run", "method", 2, 3), ("a.py::helper", "function", 5, 6)}
-    got = {(r.edge_id.split(":")[0], r.out_name) for r in resolve.resolved(repository.references(rows), repository.symbols(rows)).collect()}
+    got = {(r.edge_id.split(":")[1], r.out_name) for r in resolve.resolved(repository.references(rows), repository.symbols(rows)).collect()}
     assert got == {("a.py", "a.py::helper"), ("sub/b.py", "a.py::helper")}
 
 
