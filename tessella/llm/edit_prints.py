@@ -6,11 +6,15 @@ distance bounds the Hamming distance of what the walks read. A fingerprint sampl
 scales: that of the text's length, rounded up to a power of two, and the next. Each sample keeps four bits, 0 after the
 text's end. Likeness is the share of equal samples, where not both texts have ended, less what agrees by chance.
 
-`near_texts` bands the samples, joins band keys, and verifies by likeness.
+`near_texts` samples bands: each takes the first PICKS samples, in a shuffled order of its own, at which the text has not
+ended. Texts that share a band's samples meet the smallest id among them, and likeness verifies. Where one is unlike that, all
+texts of the key are compared, in blocks, so that no link is lost to an unlike smallest id. `grouped` names the groups that
+links make by their smallest id.
 
 Defined cases: null is the empty text, whose fingerprint equals that of all empty texts; a null id comes last in
-descending order; rows that repeat an id follow each other in order of their text; a single row is its own next; an empty
-table gives no rows; further columns are not looked at.
+descending order and is near nothing; rows that repeat an id follow each other in an order that their texts alone give, and are one
+text with the links of all; a single row is its own next; an empty table gives no rows; a very long text is walked alone, in memory of
+its own size; further columns, also of the result's names, are not looked at.
 """
 
 from __future__ import annotations
@@ -19,12 +23,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm._arrow import pieces
+from tessella.llm.components import components
+from tessella.llm.storage import written
 
 SAMPLES = 256
 #: Steps after which the walk's bits repeat.
@@ -150,43 +156,51 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_id long"
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (bucket, tail, id, text) in descending order of id within each bucket, the tail last."""
+    """From rows (bucket, tail, id, place, text, near_id) in descending order of id within each bucket, the tail last.
 
-    def out(run: list[tuple[int, str]], following: list[str]) -> pa.RecordBatch:
-        own = [t for _, t in run]
+    A row without a text, before those of its id, has the id's near_id."""
+
+    def out(run: list[tuple[int, str, int | None]], following: list[str]) -> pa.RecordBatch:
+        own = [t for _, t, _ in run]
         changed = [edited(t, f) for t, f in zip(own, following)]
         every = prints([*own, *changed, *following])
         n = len(run)
         mine, theirs, after = every[:n], every[n : 2 * n], every[2 * n :]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([None if i == NONE else i for i, _ in run], pa.int64()),
+                pa.array([None if i == NONE else i for i, *_ in run], pa.int64()),
                 pa.array(map(len, own), pa.int64()),
                 pa.array([hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed]),
                 pa.array(mine),
                 pa.array(theirs),
                 pa.array(map(likeness, mine, theirs), pa.float64()),
                 pa.array(map(likeness, mine, after), pa.float64()),
+                pa.array([x for *_, x in run], pa.int64()),
             ],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id"],
         )
 
-    run: list[tuple[int, str]] = []
+    run: list[tuple[int, str, int | None]] = []
     following: list[str] = []
     size, last, bucket = 0, None, None
+    near: tuple[int, int] | None = None
     for batch in pieces(batches, 1024, 4 << 20):
-        for b, tail, i, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for b, tail, i, data, other in zip(*(c.to_pylist() for c in batch.columns)):
+            if data is None:
+                near = i, other
+                continue
+            text = _UNPACK.decompress(data).decode("utf-8", "surrogatepass")
             if b != bucket:
                 bucket, last = b, None
             if last is not None:
                 run.append(last)
                 following.append(text)
                 size += len(last[1])
-            last = None if tail else (i, text)
+            last = None if tail else (i, text, near[1] if near and near[0] == i else None)
             if size >= CROWD:
                 yield out(run, following)
                 run, following, size = [], [], 0
@@ -194,80 +208,175 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(run, following)
 
 
-def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+_UNPACK = zstandard.ZstdDecompressor()
+_ROWS = "bucket int, tail boolean, id long, data binary, near_id long"
+
+
+def _placed(cuts: np.ndarray):
+    """Rows (id, text) or (id, near_id), with text compressed, by the range of their id; a range's last cut also ends the one before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in pieces(batches, 4096, 4 << 20):
+            ids = batch.column(0).to_numpy()
+            at = np.searchsorted(cuts, ids).astype(np.int32)
+            whole = pa.types.is_string(batch.column(1).type) or pa.types.is_large_string(batch.column(1).type)
+            if whole:
+                data, near = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.nulls(len(ids), pa.int64())
+                also = np.flatnonzero(cuts[at] == ids)
+            else:
+                data, near, also = [None] * len(ids), batch.column(1), np.zeros(0, np.int64)
+            rows = pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(ids), bool)), pa.array(ids), pa.array(data, pa.binary()), near], ["bucket", "tail", "id", "data", "near_id"])
+            yield rows
+            if len(also):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((at[also] + 1) % len(cuts), pa.int32()), pa.array(np.ones(len(also), bool)), pa.array(ids[also]), pa.array([data[k] for k in also], pa.binary()), pa.nulls(len(also), pa.int64())], rows.schema.names
+                )
+
+    return run
+
+
+def fingerprints(docs: DataFrame, buckets: int | None = None, near: DataFrame | None = None) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document in descending order of id.
 
     Ids are cut into ranges at ids that occur. A range's first document also goes to the range before, as its tail, so that
-    each range is worked on alone; texts travel once."""
+    each range is worked on alone; texts travel once, compressed. near: (id, near_id), to be handed on with their documents."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = buckets or 4 * parts
     marks = docs.agg(F.percentile_approx("id", F.lit([float(k / n) for k in range(1, n + 1)]), 20_000).alias("m"), F.max("id").alias("top")).first()
     cuts = np.array(sorted({*(marks["m"] or []), *([marks["top"]] if marks["top"] is not None else [])}), dtype=np.int64)
-
-    @F.pandas_udf("bucket int, also int")
-    def placed(ids: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(cuts, ids.to_numpy()).astype(np.int32)
-        first = cuts[at] == ids.to_numpy()
-        return pd.DataFrame({"bucket": at, "also": np.where(first, (at + 1) % len(cuts), -1).astype(np.int32)})
-
-    dealt = docs.withColumn("p", placed("id"))
-    goes = F.array(F.struct(F.col("p.bucket").alias("bucket"), F.lit(False).alias("tail")))
-    both = F.array(F.struct(F.col("p.bucket").alias("bucket"), F.lit(False).alias("tail")), F.struct(F.col("p.also").alias("bucket"), F.lit(True).alias("tail")))
-    rows = dealt.select("id", "text", F.explode(F.when(F.col("p.also") >= 0, both).otherwise(goes)).alias("g")).select("g.bucket", "g.tail", "id", "text")
-    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.desc("id"), "text").mapInArrow(_printed, _RESULT)
-
-
-#: Samples that make a band, and bands of each of the two scales.
-BAND, BANDS = 8, SAMPLES // 8
+    rows = docs.mapInArrow(_placed(cuts), _ROWS)
+    if near is not None:
+        rows = rows.unionByName(near.select("id", "near_id").mapInArrow(_placed(cuts), _ROWS))
+    order = ["bucket", "tail", F.desc("id"), F.asc_nulls_first("data")]
+    return rows.repartition(parts, "bucket").sortWithinPartitions(*order).mapInArrow(_printed, _RESULT)
 
 
+#: Bands of each of the two scales, and samples that make one.
+BANDS, PICKS = 12, 12
 #: Texts of a band key that a task compares with each other, or with as many others.
 BLOCK = 1024
-
-
-class _Key:
-    """The texts of one key and pair of blocks, in order of id; each is compared with all before it."""
-
-    def __init__(self, rows: list[tuple[int, int, str]]) -> None:
-        parts = [r[2].split(":") for r in rows]
-        self.ids, self.own = [r[0] for r in rows], np.array([r[1] for r in rows])
-        self.level = np.array([int(p[0]) for p in parts])
-        self.here, self.above = (np.frombuffer("".join(p[k] for p in parts).encode(), np.uint8).reshape(len(rows), SAMPLES) for k in (1, 2))
-
-    def like(self, k: int) -> np.ndarray:
-        gap = self.level[:k] - self.level[k]
-        theirs = np.where((gap < 0)[:, None], self.above[:k], self.here[:k])
-        mine = np.where((gap > 0)[:, None], self.above[k], self.here[k])
-        told = (theirs != 48) | (mine != 48)
-        n = told.sum(axis=1)
-        share = ((theirs == mine) & told).sum(axis=1) / np.maximum(n, 1)
-        return np.where((np.abs(gap) > 1) | (n == 0), 0.0, np.maximum(0.0, (share - CHANCE) / (1 - CHANCE)))
-
-    def links(self, least: float) -> list[tuple[int, int, float]]:
-        """A link from each text to the first that is like it in each group that links have made so far: no group is split."""
-        groups, out = np.arange(len(self.ids)), []
-        across = self.own.min() != self.own.max()
-        for k in range(1, len(self.ids)):
-            found = self.like(k)
-            near = np.flatnonzero((found >= least) & ((self.own[:k] != self.own[k]) | (not across)))
-            for g in np.unique(groups[near]):
-                x = near[groups[near] == g][0]
-                out.append((self.ids[k], self.ids[x], float(found[x])))
-            if len(near):
-                groups[np.isin(groups, groups[near])] = groups[k] = groups[near].min()
-        return out
+_picks = np.random.default_rng(31_337)
+_ORDER = np.array([_picks.permutation(SAMPLES) for _ in range(BANDS)])
+_WORTH = _picks.integers(0, 2**64, (BANDS, SAMPLES, 16), dtype=np.uint64)
+
+
+def _symbols(prints_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Levels, and the samples of both scales, of packed fingerprints."""
+    raw = np.frombuffer(b"".join(prints_), np.uint8).reshape(len(prints_), 1 + SAMPLES)
+    halves = raw[:, 1:].reshape(len(prints_), 2, SAMPLES // 2)
+    return raw[:, 0].astype(np.int64), np.stack([halves >> 4, halves & 15], axis=3).reshape(len(prints_), 2, SAMPLES)
+
+
+def packed(fingerprint: str) -> bytes:
+    level_, here, above = fingerprint.split(":")
+    return bytes([int(level_)]) + bytes.fromhex(here + above)
+
+
+def band_keys(prints_: list[bytes]) -> np.ndarray:
+    """A row of 2 x BANDS keys for each packed fingerprint. A scale's keys are the same for texts of the level and the next."""
+    levels, samples = _symbols(prints_)
+    out = np.empty((len(prints_), 2, BANDS), np.uint64)
+    for scale in (0, 1):
+        worth = levels + scale
+        for band in range(BANDS):
+            order = _ORDER[band]
+            own = samples[:, scale][:, order]
+            live = own > 0
+            taken = live & (np.cumsum(live, axis=1) <= PICKS)
+            out[:, scale, band] = np.where(taken, _WORTH[band, order, own], 0).sum(axis=1, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15) * (worth * BANDS + band + 1).astype(np.uint64)
+    return out.reshape(len(prints_), -1).view(np.int64)
+
+
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, print) from rows (id, text)."""
+    for batch in pieces(batches, 2048, 4 << 20):
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(packed, prints(batch.column(1).to_pylist())), pa.binary())], ["id", "print"])
+
+
+def _firsts(batch: pa.RecordBatch) -> dict[bytes, list[int]]:
+    """The ids of each fingerprint of a batch (id, print), the smallest first."""
+    by: dict[bytes, list[int]] = {}
+    for i, p in sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        by.setdefault(p, []).append(i)
+    return by
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id): the band keys of each fingerprint of a batch, for the smallest of its ids."""
+    for batch in pieces(batches, 8192, 4 << 20):
+        if by := _firsts(batch):
+            keys, ids = band_keys(list(by)), np.array([own[0] for own in by.values()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, keys.shape[1]))], ["key", "id"])
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, pivot): ids of a batch beside the smallest of the same fingerprint."""
+    for batch in pieces(batches, 8192, 4 << 20):
+        found = [(i, own[0]) for own in _firsts(batch).values() for i in own[1:] if i != own[0]]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([p for _, p in found], pa.int64())], ["id", "pivot"])
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, id) in that order: those of keys of several ids, with the smallest."""
+    key = pivot = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.concatenate([[keys[0] != key], keys[1:] != keys[:-1]])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
+        pivots = np.where(start >= 0, ids[np.maximum(start, 0)], pivot if pivot is not None else 0)
+        key, pivot = keys[-1], pivots[-1]
+        at = np.flatnonzero(ids != pivots)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(ids[at]), pa.array(pivots[at])], ["key", "id", "pivot"])
+
+
+def _compared(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The likeness of pairs of packed fingerprints."""
+    (la, sa), (lb, sb) = _symbols(a), _symbols(b)
+    gap, rows = lb - la, np.arange(len(a))
+    mine, theirs = sa[rows, np.clip(gap, 0, 1)], sb[rows, np.clip(-gap, 0, 1)]
+    told = (mine > 0) | (theirs > 0)
+    n = told.sum(axis=1)
+    share = ((mine == theirs) & told).sum(axis=1) / np.maximum(n, 1)
+    out = np.where((np.abs(gap) > 1) | (n == 0), 0.0, np.maximum(0.0, (share - CHANCE) / (1 - CHANCE)))
+    return np.where([x == y for x, y in zip(a, b)], 1.0, out)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, 4096, 4 << 20):
+        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_compared(a, b) if a else [], pa.float64())], ["doc_id", "near_id", "likeness"])
+
+
+def _links(ids: list[int], own: np.ndarray, prints_: list[bytes], least: float) -> list[tuple[int, int, float]]:
+    """A link from each text, in order of id, to the first that is like it in each group that links have made so far: no group is split.
+
+    own: the side of each; if there are two, only texts of different sides are compared."""
+    groups, out = np.arange(len(ids)), []
+    across = own.min() != own.max()
+    for k in range(1, len(ids)):
+        found = _compared(prints_[:k], [prints_[k]] * k)
+        near = np.flatnonzero((found >= least) & ((own[:k] != own[k]) | (not across)))
+        for g in np.unique(groups[near]):
+            x = near[groups[near] == g][0]
+            out.append((ids[k], ids[x], float(found[x])))
+        if len(near):
+            groups[np.isin(groups, groups[near])] = groups[k] = groups[near].min()
+    return out
 
 
 def _linked(least: float):
-    """From rows (scale, band, key, i, j, own, doc_id, fingerprint) in order of the first five and doc_id."""
+    """From rows (key, i, j, own, id, print) in order of the first three and id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def out() -> Iterator[pa.RecordBatch]:
-            found = _Key(rows).links(least) if len(rows) > 1 else []
+            found = _links([r[1] for r in rows], np.array([r[0] for r in rows]), [r[2] for r in rows], least) if len(rows) > 1 else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "near_id", "likeness"])
 
@@ -276,39 +385,48 @@ def _linked(least: float):
                 if k != key:
                     yield from out()
                     key, rows = k, []
-                rows.append((i, own, p))
+                rows.append((own, i, p))
         yield from out()
 
     return run
 
 
-def near_texts(printed: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, near_id, likeness): links between texts that share a band, verified by likeness.
-
-    Equal fingerprints link to their smallest id, which stands for them. The others of a band key are all compared, in blocks
-    whose pairs are dealt out; links that join no new texts within a block are left out, so that components are those of all
-    pairs. Bands in which a text has ended do not count. Comparisons grow with the square of a key's different fingerprints."""
-    printed = printed.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint")
-    first = printed.groupBy("fingerprint").agg(F.min("doc_id").alias("near_id"))
-    same = printed.join(first, "fingerprint").where("doc_id > near_id").select("doc_id", "near_id", F.lit(1.0).alias("likeness")).distinct()
-    scales = F.array(*[F.struct((F.substring("fingerprint", 1, 2).cast("int") + g).alias("scale"), F.element_at(F.split("fingerprint", ":"), 2 + g).alias("s")) for g in (0, 1)])
-    bands = (
-        first.select(F.col("near_id").alias("doc_id"), "fingerprint", F.explode(scales).alias("x"))
-        .select("doc_id", "fingerprint", "x.scale", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring(F.col("x.s"), k * BAND + 1, F.lit(BAND)))).alias("band", "key"))
-        .where(~F.col("key").contains("0"))
-    )
-    by = ["scale", "band", "key"]
-    sizes = bands.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    dealt = bands.join(sizes, by).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select(*by, F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "doc_id", "fingerprint")
-    group = [*by, "i", "j"]
-    found = pairs.repartition(*group).sortWithinPartitions(*group, "doc_id").mapInArrow(_linked(least), "doc_id long, near_id long, likeness double")
-    return same.unionByName(found.distinct())
+def printed(docs: DataFrame) -> DataFrame:
+    """(id, print): the packed fingerprint of each text that has an id."""
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_own, "id long, print binary")
+
+
+def near_texts(prints_: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, near_id, likeness): links between texts (id, print), a written table, that share a band, verified by likeness.
+
+    Links that join no new texts are left out. A task combines what it reads: of equal fingerprints only one id has bands.
+    First each text of a key meets the smallest id; where that fails for any, all of the key are compared, in blocks whose
+    pairs are dealt out: components are those of all pairs. Those comparisons grow with the square of such a key's texts."""
+    same = prints_.mapInArrow(_copies, "id long, pivot long").select(F.col("id").alias("doc_id"), F.col("pivot").alias("near_id"), F.lit(1.0).alias("likeness"))
+    members = written(prints_.mapInArrow(_banded, "key long, id long").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_paired, "key long, id long, pivot long"), "members")
+    pairs = members.select("id", "pivot").distinct()
+    both = pairs.join(prints_, "id").join(prints_.select(F.col("id").alias("pivot"), F.col("print").alias("other")), "pivot").select("id", "pivot", "print", "other")
+    verified = written(both.mapInArrow(_verified, "doc_id long, near_id long, likeness double").groupBy("doc_id", "near_id").agg(F.max("likeness").alias("likeness")), "verified")
+    links = verified.where(F.col("likeness") >= least)
+    failed = verified.where(F.col("likeness") < least).select(F.col("doc_id").alias("id"), F.col("near_id").alias("pivot"))
+    open_ = members.join(failed, ["id", "pivot"]).groupBy("key").agg(F.first("pivot").alias("pivot"))
+    rest = members.join(open_.select("key"), "key").select("key", "id").unionByName(open_.select("key", F.col("pivot").alias("id")))
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = dealt.join(prints_, "id").select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "id", "print")
+    found = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(_linked(least), "doc_id long, near_id long, likeness double")
+    return same.unionByName(links).unionByName(found).where("doc_id <> near_id").distinct()
+
+
+def grouped(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(id, near_id) of each text that is near another: the smallest id that links lead to, itself included."""
+    links = near_texts(written(printed(docs), "prints"), least)
+    return components(links.select(F.col("doc_id").alias("u"), F.col("near_id").alias("v"))).select("id", F.col("component").alias("near_id"))
 
 
 def op3_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return fingerprints(docs, near=grouped(docs))
 
 
 QUERIES = {"op3_edit_embedding": op3_edit_embedding}

@@ -215,9 +215,12 @@ def test_few_edits_keep_prints_near(spark):
     like, unlike = [edit_prints.likeness(x, y) for x, y in zip(a, b)], [edit_prints.likeness(x, y) for x, y in zip(a, a[1:])]
     # a walk takes a number of steps with a heavy tail to fall into step again, so single texts may lie lower
     assert np.median(like) > 0.6 and min(like) > max(unlike)
-    frame = spark.createDataFrame([(i, p) for i, p in enumerate([*a, *b])], "doc_id long, fingerprint string")
-    links = {(r.doc_id, r.near_id) for r in edit_prints.near_texts(frame, 0.5).collect()}
-    assert {(20 + i, i) for i in range(20) if like[i] >= 0.6} <= links and all(x - y == 20 for x, y in links)
+    links = {(r.doc_id, r.near_id) for r in edit_prints.near_texts(_print_table(spark, [*a, *b]), 0.5).collect()}
+    assert {(20 + i, i) for i in range(20) if like[i] >= 0.7} <= links and all(x - y == 20 for x, y in links)
+
+
+def _print_table(spark, prints):
+    return spark.createDataFrame([(i, bytearray(edit_prints.packed(p))) for i, p in enumerate(prints)], "id long, print binary")
 
 
 def _components_of(links):
@@ -247,13 +250,60 @@ def test_near_texts_lose_no_link_to_a_hub(spark, monkeypatch, block):
             texts.append(t[:k] + "q" + t[k + 1 :])
     texts.append(texts[3])
     prints = edit_prints.prints(texts)
-    bands = [{(int(lv) + g, b, s[b * 8 : b * 8 + 8]) for lv, *two in [p.split(":")] for g, s in enumerate(two) for b in range(32) if "0" not in s[b * 8 : b * 8 + 8]} for p in prints]
-    want = [(i, j) for i in range(len(prints)) for j in range(i) if (bands[i] & bands[j] or prints[i] == prints[j]) and edit_prints.likeness(prints[i], prints[j]) >= 0.6]
-    got = edit_prints.near_texts(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string"), 0.6).collect()
+    keys = [set(k) for k in edit_prints.band_keys([edit_prints.packed(p) for p in prints]).tolist()]
+    want = [(i, j) for i in range(len(prints)) for j in range(i) if (keys[i] & keys[j] or prints[i] == prints[j]) and edit_prints.likeness(prints[i], prints[j]) >= 0.6]
+    got = edit_prints.near_texts(_print_table(spark, prints), 0.6).collect()
     assert len(want) > 8 and _components_of(want) == _components_of([(r.doc_id, r.near_id) for r in got])
     assert all(abs(edit_prints.likeness(prints[r.doc_id], prints[r.near_id]) - r.likeness) < 1e-9 and r.likeness >= 0.6 for r in got)
 
 
+def test_a_text_is_found_past_an_unlike_smallest_id(spark):
+    """Texts 1 and 2 are alike; text 0 is unlike both, but shares one of their bands."""
+    rng = random.Random(2)
+    a, b = prose(rng, EN, 200), prose(rng, DE, 200)
+    p = [edit_prints.packed(x) for x in edit_prints.prints([b, a, a[: len(a) * 19 // 20] + "!"])]
+    like = edit_prints._compared(p[1:2], p[2:])[0]
+    assert 0.8 < like < 1 and edit_prints._compared(p[:1], p[1:2])[0] < 0.5
+    keys = edit_prints.band_keys(p)
+    shared = int(next(k for k in keys[1] if k in keys[2]))
+    real = edit_prints.band_keys
+    try:
+        edit_prints.band_keys = lambda prints_: np.array([[shared]] * len(prints_))
+        import pyarrow as pa
+
+        rows = pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int64()), pa.array(p, pa.binary())], ["id", "print"])
+        members = [r for x in edit_prints._paired(edit_prints._banded(iter([rows]))) for r in x.to_pylist()]
+    finally:
+        edit_prints.band_keys = real
+    assert [(m["id"], m["pivot"]) for m in members] == [(1, 0), (2, 0)]
+    assert edit_prints._links([0, 1, 2], np.array([0, 0, 0]), p, 0.8) == [(2, 1, like)]
+
+
+def test_near_ids_of_the_query(docs, rows):
+    """The groups that near texts make, against all pairs."""
+    texts = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            texts[i] = t or ""
+    ids, prints = list(texts), edit_prints.prints(list(texts.values()))
+    packed = [edit_prints.packed(p) for p in prints]
+    want = [(ids[k], ids[j]) for k in range(len(ids)) for j in np.flatnonzero(edit_prints._compared(packed[:k], [packed[k]] * k) >= 0.8)] if len(ids) else []
+    groups = _components_of(want)
+    got = {r.id: r.near_id for r in edit_prints.grouped(docs).collect()}
+    found = sum(got.get(a) is not None and got.get(a) == got.get(b) for a, b in want)
+    assert len(want) > 100 and found >= 0.95 * len(want) and all(groups[i] <= n for i, n in got.items())
+    out = {r.doc_id: r.near_id for r in edit_prints.fingerprints(docs, 7, edit_prints.grouped(docs)).collect()}
+    assert {i: n for i, n in out.items() if n is not None} == got
+
+
+@pytest.mark.parametrize("prints_", [["", "a", "ab", "a" * 3000, "é" * 10]])
+def test_packed_likeness_is_likeness(prints_):
+    own = edit_prints.prints(prints_)
+    for a in own:
+        for b in own:
+            assert abs(edit_prints.likeness(a, b) - edit_prints._compared([edit_prints.packed(a)], [edit_prints.packed(b)])[0]) < 1e-12
+
+
 def test_language(docs, rows, empty):
     got = language.identify(docs).collect()
     assert len(got) == len(rows)
