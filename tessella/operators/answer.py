@@ -87,8 +87,6 @@ def merged(candidates: DataFrame) -> DataFrame:
 
 
 def within(blocks: DataFrame, group: str, order: list[Column], size: Column, budget: int) -> DataFrame:
-    """blocks with `whole`: in order, blocks are whole while they fit together; after the first that doesn't, none is.
-
-    Only the sizes are put in order. What a group's earlier parts take is summed first, so no task holds a group's texts."""
+    """An answer's blocks with `whole`: in order, blocks are whole while they fit together; after the first that doesn't, none is."""
     by = Window.partitionBy(group).orderBy(*order)
     return blocks.withColumn("whole", F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, 0)) <= budget)

@@ -63,9 +63,11 @@ def nearest_rank(rows: DataFrame, keys: list[str], value: str, parts: tuple[floa
 
 
 def within_budget(blocks: DataFrame, by: str, order: str, size: Column, budget: int) -> DataFrame:
-    """blocks with `whole`: in order, blocks are whole while they fit together; after the first that doesn't, none is."""
+    """blocks with `whole`: in order, which no two blocks of a group share, blocks are whole while they fit together; after the
+    first that doesn't, none is. Only the sizes are put in order, so no task holds a group's texts."""
     so_far = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("whole", F.sum(size).over(so_far) <= budget)
+    placed = blocks.select(by, order, size.alias("size_")).select(by, order, (F.sum("size_").over(so_far) <= budget).alias("whole"))
+    return blocks.join(placed, [by, order])
 
 
 def ranking(reply: str) -> list[int]:

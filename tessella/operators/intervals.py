@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,23 +12,32 @@ CHUNK_BUDGET, MERGE_GAP, MERGE_LINES = 1500, 2, 60
 BUCKET = 64
 
 
+def _packed(budget: int):
+    @F.pandas_udf("array<struct<line_start:int,line_end:int,size:int>>")
+    def pack(sizes: pd.Series) -> pd.Series:
+        def one(own: np.ndarray | None) -> list[dict] | None:
+            if own is None:
+                return None
+            out, first, total = [], 1, 0
+            for at, n in enumerate(own.tolist(), 1):
+                if at > first and total + n > budget:
+                    out.append((first, at - 1, total))
+                    first, total = at, 0
+                total += n
+            out.append((first, len(own), total))
+            return [{"line_start": a, "line_end": b, "size": n} for a, b, n in out if n > 0]
+
+        return sizes.map(one)
+
+    return pack
+
+
 def packed_lines(lines: Column, budget: int = CHUNK_BUDGET) -> Column:
     """array<struct(line_start, line_end, size)> of an array of lines: whole lines packed greedily up to a number of
-    characters that are no space; a longer line stands alone; chunks of nothing are dropped."""
-    sizes = F.transform(lines, lambda x: F.length(F.regexp_replace(x, r"\s+", "")))
-    none = F.array().cast("array<struct<line_start:int,line_end:int,size:int>>")
-    chunk = lambda a, b, n: F.struct(a.cast("int").alias("line_start"), b.cast("int").alias("line_end"), n.cast("int").alias("size"))
-    start = F.struct(F.lit(1).alias("first"), F.lit(0).alias("at"), F.lit(0).alias("size"), none.alias("out"))
-
-    def step(s: Column, n: Column) -> Column:
-        full = (s["at"] >= s["first"]) & (s["size"] + n > budget)
-        closed = F.concat(s["out"], F.array(chunk(s["first"], s["at"], s["size"])))
-        return F.struct(
-            F.when(full, s["at"] + 1).otherwise(s["first"]).alias("first"), (s["at"] + 1).alias("at"), F.when(full, n).otherwise(s["size"] + n).alias("size"), F.when(full, closed).otherwise(s["out"]).alias("out")
-        )
-
-    done = F.aggregate(sizes, start, step, lambda s: F.concat(s["out"], F.array(chunk(s["first"], s["at"], s["size"]))))
-    return F.filter(done, lambda c: c["size"] > 0)
+    characters that are no space; a longer line stands alone; chunks of nothing are dropped.
+
+    Only the lines' sizes go to Python, where a file is packed in one pass; built-in folds copy their result at each step."""
+    return _packed(budget)(F.transform(lines, lambda x: F.length(F.regexp_replace(x, r"\s+", ""))))
 
 
 def _buckets(rows: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """References to symbols: the ranked join of raw edges with symbols by leaf name, import paths, taint.
 
-A hot name is never joined with all its symbols: the best candidate is aggregated for each key that a level needs, and
-edges join those."""
+A hot name is never joined with all its symbols: the best candidate is aggregated for each key that a level needs, and what
+the edges ask for, each once, joins those."""
 
 from __future__ import annotations
 
@@ -58,12 +58,23 @@ def _tails(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "/"))
 
 
-def ending_with(wanted: DataFrame, places: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of wanted (by, suffix) beside those of places (by, file) whose file ends with the suffix, at any letter.
+def best_ending(wanted: DataFrame, places: DataFrame, order: Column) -> DataFrame:
+    """Rows of wanted (name, suffix, whole) with c: the least by `order` of the places (name, file, ..) of that name whose file
+    ends with the suffix, or, if whole, is it.
 
-    Equal last components are joined by value; only suffixes without a slash meet all files of their `by`."""
-    keyed = places.select("*", F.explode(F.array_distinct(F.concat(_tails(F.col("file")), F.array(F.lit(""))))).alias("tail_"))
-    return wanted.withColumn("tail_", F.coalesce(_tail(F.col("suffix")), F.lit(""))).join(keyed, [*by, "tail_"]).where(F.endswith("file", F.col("suffix"))).drop("tail_")
+    A suffix with a slash is joined by what must equal the last components of a path. One without meets the best place of
+    each base name: a name that is everywhere has as many rows there as its files have different names, not as it has places."""
+    far = wanted.where(F.contains("suffix", F.lit("/"))).withColumn("tail_", _tail(F.col("suffix")))
+    keyed = places.select("*", F.explode(F.array_distinct(_tails(F.col("file")))).alias("tail_"))
+    met = far.join(keyed, ["name", "tail_"]).where(F.when(F.col("whole"), F.col("file") == F.col("suffix")).otherwise(F.endswith("file", F.col("suffix"))))
+    by_far = met.groupBy("name", "suffix", "whole").agg(F.min(order).alias("c"))
+    near = wanted.where(~F.contains("suffix", F.lit("/")))
+    base, whole = F.substring_index("file", "/", -1), ~F.contains("file", F.lit("/"))
+    bases = places.groupBy("name", base.alias("base_")).agg(F.min(order).alias("c"), F.min(F.when(whole, order)).alias("own"))
+    endings = F.transform(F.sequence(F.lit(1), F.length("base_")), lambda i: F.substring(F.col("base_"), i, F.length("base_")))
+    ends = bases.select("name", "base_", "c", "own", F.explode(endings).alias("suffix"))
+    by_near = near.join(ends, ["name", "suffix"]).withColumn("c", F.when(~F.col("whole"), F.col("c")).when(F.col("suffix") == F.col("base_"), F.col("own"))).groupBy("name", "suffix", "whole").agg(F.min("c").alias("c"))
+    return by_far.unionByName(by_near).where("c is not null")
 
 
 def import_files(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -154,31 +165,36 @@ def resolved(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges whose name is known, with the level by which the symbol was chosen, its fqn and file.
 
     Levels: 0 the import's file, 1 a path ending in the import, 2 the same folder, 3 the same file, 4 any. At each but 3 a
-    file that no tool wrote goes first; then the first by file and lines. Tainted edges pass through with no file."""
+    file that no tool wrote goes first; then the first by file and lines. Tainted edges pass through with no file.
+
+    What is alike in name, importing file and import path is resolved once."""
     s = symbols.select("name", "fqn", "file", "line_start", "line_end", is_generated(F.col("file")).cast("int").alias("made"), parent(F.col("file")).alias("folder"))
     by_place, by_hand = F.struct("file", "line_start", "line_end", "fqn"), F.struct("made", "file", "line_start", "line_end", "fqn")
     taint = F.startswith("to_name", F.lit("taint:"))
     plain = edges.where(~taint)
-    e = plain.select("edge_id", "to_name", "from_file", "import_path", F.contains("import_path", F.lit("/")).alias("slash"))
+    asked = ["to_name", "from_file", "import_path"]
+    e = plain.select(*asked).distinct().select(F.col("to_name").alias("name"), "from_file", "import_path", F.contains("import_path", F.lit("/")).alias("slash"))
     level4 = s.groupBy("name").agg(F.min(by_hand).alias("c4"))
     level3 = s.groupBy("name", F.col("file").alias("from_file")).agg(F.min(by_place).alias("c3"))
     level2 = s.groupBy("name", "folder").agg(F.min(by_hand).alias("c2"))
-    tried = tries(e.withColumn("name", F.col("to_name")), ["edge_id", "name"])
-    wanted = tried.select("name", "suffix", "whole").distinct()
-    found0 = ending_with(wanted, s, ["name"]).where("not whole or file = suffix").groupBy("name", "suffix", "whole").agg(F.min(by_place).alias("c"))
-    level0 = tried.join(found0, ["name", "suffix", "whole"]).groupBy("edge_id").agg(F.min_by("c", "rank").alias("c0"))
-    ends = e.where("slash").select(F.col("to_name").alias("name"), F.col("import_path").alias("suffix")).distinct()
-    level1 = ending_with(ends, s, ["name"]).groupBy("name", "suffix").agg(F.min(by_hand).alias("c1"))
+    key = ["name", "from_file", "import_path"]
+    tried = tries(e.withColumn("import_", F.col("import_path")), ["name", "from_file", "import_"])
+    found0 = best_ending(tried.select("name", "suffix", "whole").distinct(), s, by_place)
+    level0 = tried.join(found0, ["name", "suffix", "whole"]).groupBy("name", "from_file", F.col("import_").alias("import_path")).agg(F.min_by("c", "rank").alias("c0"))
+    ends = e.where("slash").select("name", F.col("import_path").alias("suffix"), F.lit(False).alias("whole")).distinct()
+    level1 = best_ending(ends, s, by_hand).select("name", "suffix", F.col("c").alias("c1"))
     joined = (
-        e.withColumn("name", F.col("to_name")).join(level4, "name")
+        e.join(level4, "name")
         .join(level3, ["name", "from_file"], "left")
         .withColumn("folder", F.when(~F.col("slash"), parent(F.col("from_file")))).join(level2, ["name", "folder"], "left")
         .withColumn("suffix", F.when(F.col("slash"), F.col("import_path"))).join(level1, ["name", "suffix"], "left")
-        .join(level0, "edge_id", "left")
+        .join(level0, key, "left")
     )
     levels = F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"c{i}.fqn").alias("fqn"), F.col(f"c{i}.file").alias("file")) for i in range(5)])
     chosen = F.element_at(F.filter(levels, lambda x: x["fqn"].isNotNull()), 1)
-    done = joined.select("edge_id", chosen.alias("x")).select("edge_id", "x.level", F.col("x.fqn").alias("out_name"), F.col("x.file").alias("out_file"))
+    told = joined.select(*[F.col(k).alias(f"{k}_") for k in key], chosen.alias("x"))
+    same = (F.col("to_name") == F.col("name_")) & F.col("from_file").eqNullSafe(F.col("from_file_")) & F.col("import_path").eqNullSafe(F.col("import_path_"))
+    done = plain.select("edge_id", *asked).join(told, same).select("edge_id", "x.level", F.col("x.fqn").alias("out_name"), F.col("x.file").alias("out_file"))
     tainted = edges.where(taint).select("edge_id", F.lit(-1).alias("level"), F.col("to_name").alias("out_name"), F.lit("").alias("out_file"))
     return done.unionByName(tainted)
 

@@ -43,9 +43,20 @@ def topk(vectors: DataFrame, probe: DataFrame, key: str, k: int) -> DataFrame:
     )
 
 
+#: Probes that are sent to all tasks.
+PROBES = 4096
+
+
+def stated(probes: DataFrame) -> DataFrame:
+    """A query set that is sent to all tasks; an error if it has more than PROBES rows, for which `recall` compares in blocks."""
+    if probes.limit(PROBES + 1).count() > PROBES:
+        raise ValueError(f"more than {PROBES} probes")
+    return F.broadcast(probes)
+
+
 def scored(vectors: DataFrame, probes: DataFrame) -> DataFrame:
-    """Each vector against each probe of a stated, small set: columns of vectors, probe_id, score."""
-    q = F.broadcast(probes.select("probe_id", F.col("embedding").alias("probe")))
+    """Each vector against each probe of a stated set of PROBES at most: columns of vectors, probe_id, score."""
+    q = stated(probes.select("probe_id", F.col("embedding").alias("probe")))
     return vectors.where(F.col("embedding").isNotNull()).join(q).withColumn("score", F.round(cosine(F.col("embedding"), F.col("probe")), 6)).drop("embedding", "probe")
 
 

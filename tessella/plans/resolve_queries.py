@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from tessella.functions.text import non_space
 from tessella.operators import incremental, resolve
 from tessella.plans.registry import query
 from tessella.sources import engine_tables as t
+from tessella.sources.shared import written
 from tessella.sources.tables import table
 
 _MADE = r"regexp_matches(s.file, '(_pb2|_pb2_grpc|_generated)\.py$')"
@@ -33,7 +33,7 @@ _R = t.with_tables(t.SYMBOL, t.RAW_EDGE)[:-1] + ", " + _resolve_sql()
 
 def _kept(df: DataFrame) -> DataFrame:
     """A derived table that a query reads several times: an engine would have it stored."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return written(df, "derived")
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:

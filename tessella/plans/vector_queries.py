@@ -78,7 +78,7 @@ _APPROX = f"""q8 AS (SELECT vec_id, {_Q8.format(v="embedding::DOUBLE[]")} AS q F
 
 def _approximate(vectors: DataFrame, n: int) -> DataFrame:
     q = vectors.select("vec_id", vector.quantised(F.col("embedding")).alias("q"))
-    probes = F.broadcast(q.where(F.col("vec_id") < n).select(F.col("vec_id").alias("probe_id"), F.col("q").alias("p")))
+    probes = vector.stated(q.where(F.col("vec_id") < n).select(F.col("vec_id").alias("probe_id"), F.col("q").alias("p")))
     return q.join(probes).select("vec_id", "probe_id", vector.dot_quantised(F.col("q"), F.col("p")).alias("score"))
 
 

@@ -21,8 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_LEAVING: set[str] = set()
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    """A path of its own in the application's part of the shared folder, which goes when the driver's JVM ends."""
+    own = f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}"
+    if own not in _LEAVING:
+        _LEAVING.add(own)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)  # only what is there can be marked
+        files.deleteOnExit(path)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
 
 
 #: Bytes that a task should read at least, and tasks that each core should get, whatever there is to read.
