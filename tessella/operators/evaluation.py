@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,15 +47,41 @@ def retrieval(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     return best.agg(F.count("*").alias("queries"), *at, F.avg(F.coalesce("iou", F.lit(0.0))).alias("mean_iou"))
 
 
+def word_recall(queries: DataFrame, documents: DataFrame, least: int = 6, head: int = 60) -> DataFrame:
+    """One row: recall at 1, 5 and 10 of documents (doc_id, text) ranked by the words they share with queries (item_id, text).
+
+    A stated query set, of 65,536 at most, meets all documents by their words; right is each document that holds the query's
+    first characters."""
+    if queries.limit((1 << 16) + 1).count() > 1 << 16:
+        raise ValueError("more queries than are sent to all tasks")
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) >= least))
+    asked = queries.select("item_id", F.explode(words("text")).alias("w"))
+    shared = documents.select("doc_id", F.explode(words("text")).alias("w")).join(asked, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id"))
+    ranked = shared.withColumn("rank", rank)
+    begins = queries.select("item_id", F.lower(F.substring(F.trim("text"), 1, head)).alias("head"))
+    gold = documents.select("doc_id", F.lower("text").alias("t")).join(F.broadcast(begins), F.contains("t", F.col("head"))).select("item_id", "doc_id")
+    best = gold.join(ranked, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.min("rank").alias("first"))
+    at = [F.round(F.coalesce(F.avg(F.coalesce(F.col("first") <= k, F.lit(False)).cast("double")), F.lit(0.0)), 6).alias(f"recall_{k}") for k in (1, 5, 10)]
+    return best.agg(F.count("*").alias("queries"), *at)
+
+
 def deltas(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: each number of report b less that of report a. Both are one row."""
     return a.select(F.struct("*").alias("a")).join(F.broadcast(b.select(F.struct("*").alias("b")))).select(*[(F.col(f"b.{c}") - F.col(f"a.{c}")).alias(c) for c in a.columns])
 
 
-def legacy_windows(files: DataFrame, lines: int = LEGACY_LINES, step: int = LEGACY_STEP) -> DataFrame:
-    """(file, line_start, line_end): sliding windows over files (file, n_lines); the last one ends with the file."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n_lines") - (lines - step)), F.lit(step))
-    return files.where("n_lines > 0").select("file", "n_lines", F.explode(starts).alias("line_start")).select("file", F.col("line_start").cast("int").alias("line_start"), F.least(F.col("line_start") + (lines - 1), F.col("n_lines")).cast("int").alias("line_end"))
+def legacy_windows(files: DataFrame, symbols: DataFrame, lines: int = LEGACY_LINES, step: int = LEGACY_STEP) -> DataFrame:
+    """(file, line_start, line_end): each symbol's lines, and sliding windows over runs of lines of files (file, n_lines) that no
+    symbol covers; a run's last window ends with it."""
+    own = symbols.join(files, "file").where("line_start <= n_lines").select("file", "line_start", F.least("line_end", "n_lines").alias("line_end"))
+    edges = files.where("n_lines > 0").select("file", F.explode(F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")), F.struct((F.col("n_lines") + 1).alias("a"), (F.col("n_lines") + 1).alias("b")))).alias("e"))
+    every = intervals.islands(own, 1).unionByName(edges.select("file", F.col("e.a").alias("line_start"), F.col("e.b").alias("line_end")))
+    last = F.lag("line_end").over(Window.partitionBy("file").orderBy("line_start", "line_end"))
+    gaps = every.withColumn("a_", last + 1).withColumn("b_", F.col("line_start") - 1).where("a_ <= b_")
+    starts = F.sequence(F.col("a_"), F.greatest(F.col("a_"), F.col("b_") - (lines - step)), F.lit(step))
+    windows = gaps.select("file", "b_", F.explode(starts).alias("s")).select("file", F.col("s").cast("int").alias("line_start"), F.least(F.col("s") + (lines - 1), F.col("b_")).cast("int").alias("line_end"))
+    return own.select("file", F.col("line_start").cast("int").alias("line_start"), F.col("line_end").cast("int").alias("line_end")).unionByName(windows)
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, parts: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
@@ -70,25 +97,63 @@ def within_budget(blocks: DataFrame, by: str, order: str, size: Column, budget:
     return blocks.join(placed, [by, order])
 
 
-def ranking(reply: str) -> list[int]:
-    """The indexes of a reranker's reply: a JSON array, alone or under `ranking`, of integers or of objects with `index`."""
+#: Lines around a range that a reply selects, and lines of a chunk that is never cut to ranges.
+RANGE_PAD, LEAST_PRUNED = 2, 16
+_TAGGED = re.compile(r"<ranked_indices>(.*?)</ranked_indices>", re.S)
+
+
+def selections(reply: str) -> list[tuple[int, list[tuple[int, int]]]] | None:
+    """What a reranker's reply names: (index, ranges of lines), each index once; None if the reply can't be read.
+
+    A reply is a JSON array, alone, between tags, or under `ranked_indices`, of integers or of objects with `index` and
+    `ranges`. What is neither is passed over, and so is a range that is no pair of lines in order."""
+    tagged = _TAGGED.search(reply)
     try:
-        found = json.loads(reply)
+        found = json.loads(tagged[1] if tagged else reply)
     except ValueError:
-        return []
-    found = found.get("ranking", []) if isinstance(found, dict) else found
-    out = [x.get("index") if isinstance(x, dict) else x for x in (found if isinstance(found, list) else [])]
-    return list(dict.fromkeys(x for x in out if isinstance(x, int) and not isinstance(x, bool) and x >= 0))
+        return None
+    if isinstance(found, dict):
+        found = found.get("ranked_indices")
+    if not isinstance(found, list):
+        return None
+    whole = lambda x: isinstance(x, int) and not isinstance(x, bool) and x >= 0
+    out: dict[int, list[tuple[int, int]]] = {}
+    for x in found:
+        index, ranges = (x.get("index"), x.get("ranges") or []) if isinstance(x, dict) else (x, [])
+        if whole(index) and index not in out:
+            out[index] = [(a, b) for r in (ranges if isinstance(ranges, list) else []) if isinstance(r, list) and len(r) == 2 for a, b in [r] if whole(a) and whole(b) and 1 <= a <= b]
+    return list(out.items())
 
 
 def reranked(candidates: DataFrame, reply: str) -> DataFrame:
-    """Candidates (place, ..), place from 0, that a reply names, with their new place; without a reply that can be read, all in
-    their order and `fallback`. An empty list is a reply."""
-    order = ranking(reply)
-    if not order and reply.strip() != "[]":
-        return candidates.withColumns({"new_place": F.col("place"), "fallback": F.lit(True)})
-    at = F.array_position(F.lit(order) if order else F.array().cast("array<int>"), F.col("place").cast("int"))
-    return candidates.withColumn("new_place", at - 1).where("new_place >= 0").withColumn("fallback", F.lit(False))
+    """Candidates (place, line_start, line_end, ..), place from 0, that a reply names, with their new place from 0, ranges, and
+    fallback. A reply that can't be read leaves all in their order, with fallback; an empty list is a reply.
+
+    ranges: of chunks of LEAST_PRUNED lines and more the selected lines, padded and cut to the chunk; null for the whole chunk."""
+    found = selections(reply)
+    none = F.lit(None).cast("array<struct<a:int,b:int>>")
+    if found is None:
+        return candidates.withColumns({"new_place": F.col("place"), "ranges": none, "fallback": F.lit(True)})
+    named = candidates.sparkSession.createDataFrame([(i, n, r) for n, (i, r) in enumerate(found)], "place int, order_ int, named_ array<struct<a:int,b:int>>")
+    # as many rows as the reply names
+    met = candidates.join(F.broadcast(named), "place")
+    a, b = F.col("line_start"), F.col("line_end")
+    cut = F.transform("named_", lambda r: F.struct(F.greatest(r["a"] - RANGE_PAD, a).cast("int").alias("a"), F.least(r["b"] + RANGE_PAD, b).cast("int").alias("b")))
+    inside = F.array_sort(F.filter(cut, lambda r: r["a"] <= r["b"]))
+    pruned = (b - a + 1 >= LEAST_PRUNED) & (F.size(inside) > 0)
+    new = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("order_")) - 1  # of as many rows
+    return met.withColumns({"new_place": new, "ranges": F.when(pruned, inside), "fallback": F.lit(False)}).drop("order_", "named_")
+
+
+def added(held: DataFrame, more: DataFrame, size: Column, budget: int) -> DataFrame:
+    """Chunks (file, line_start, line_end, at, ..) that an answer holds, and further ones in order of `at` that are new and fit
+    what is left of a budget of characters. What doesn't fit ends the list."""
+    key = ["file", "line_start", "line_end"]
+    new = more.join(held.select(*key), key, "left_anti")
+    first = new.withColumn("n_", F.row_number().over(Window.partitionBy(*key).orderBy("at"))).where("n_ = 1").drop("n_")
+    used = F.broadcast(held.agg(F.coalesce(F.sum(size), F.lit(0)).alias("used_")))  # one row
+    placed = first.join(used).withColumn("so_far_", F.sum(size).over(Window.partitionBy(F.lit(0)).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    return held.unionByName(placed.where(F.col("used_") + F.col("so_far_") <= budget).select(*held.columns))
 
 
 def readiness(status: DataFrame, now: Column, stale_seconds: int = 86_400) -> DataFrame:

@@ -61,6 +61,11 @@ def parse(query: str) -> tuple[str, Filters]:
     return " ".join(_FILTER.sub(take, query).split()), found
 
 
+def augmented(query: str, kinds: tuple[str, ...] = (), langs: tuple[str, ...] = (), path: str = "") -> str:
+    """The query with filters given apart, written as inline ones before it."""
+    return " ".join([*(f"kind:{k}" for k in kinds), *(f"lang:{v}" for v in langs), *([f"path:{path}"] if path else []), query])
+
+
 def bounded_distance(a: Column, b: Column, most: int) -> Column:
     """Edit distance without case; most + 1 if it is larger."""
     d = F.levenshtein(F.lower(a), F.lower(b), most)

@@ -192,3 +192,33 @@ def reached(calls: DataFrame, seeds: DataFrame, depth: int, direction: str = "ca
     """(fqn, depth) of what reaches any of the seeds (fqn) within so many hops, without the seeds."""
     edges = written(_turned(calls, direction).select("node", "other").distinct(), "edges")
     return _hops(edges, seeds, [], depth, budget)
+
+
+#: Fixed value: endpoints in other repositories that an answer asks for.
+REMOTE = 24
+
+
+def remote_ends(calls: DataFrame, own: DataFrame, foreign: DataFrame, most: int = REMOTE) -> DataFrame:
+    """(fqn, repo, file): names that calls lead to and only another repository has, the first so many by name.
+
+    own: (fqn); foreign: (fqn, repo, file). A name in several repositories is taken from the first."""
+    out = calls.select(F.col("out_name").alias("fqn")).distinct().join(own.select("fqn"), "fqn", "left_anti")
+    first = foreign.groupBy("fqn").agg(F.min(F.struct("repo", "file")).alias("f"))
+    return out.join(first, "fqn").select("fqn", "f.repo", "f.file").orderBy("fqn").limit(most)
+
+
+def as_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, line): an export as lines of JSON, a node or an edge each."""
+    line = lambda part, df: df.select(F.lit(part).alias("part"), F.to_json(F.struct(*df.columns)).alias("line"))
+    return line("node", nodes).unionByName(line("edge", edges))
+
+
+def area_markdown(areas: DataFrame, most: int = 5) -> DataFrame:
+    """(component, text): a section for each area (component, file, n), its files by count, the first so many."""
+    order = Window.partitionBy("component").orderBy(F.desc("n"), "file")
+    total = areas.groupBy("component").agg(F.sum("n").alias("symbols"), F.count("*").alias("files"))
+    top = areas.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    item = F.concat(F.lit("- "), "file", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+    listed = top.groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", item.alias("x")))), lambda y: y["x"]), "\n").alias("list"))
+    head = F.concat(F.lit("## "), "component", F.lit("\n"), F.col("symbols").cast("string"), F.lit(" symbols in "), F.col("files").cast("string"), F.lit(" files\n"))
+    return listed.join(total, "component").select("component", F.concat(head, F.col("list")).alias("text"))

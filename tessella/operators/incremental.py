@@ -77,3 +77,21 @@ def widened(changed: DataFrame, files: DataFrame, manifests: dict[str, tuple[str
     touched = changed.select(F.explode(ends[name]).alias("ending")).distinct()
     every = files.select("file", F.regexp_extract("file", r"\.([^./]+)$", 1).alias("ending")).join(touched, "ending", "left_semi").select("file")
     return changed.select("file").unionByName(every).distinct()
+
+
+def refreshed(rows: DataFrame, touched: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Rows (file, ..) of which those of touched files are replaced by fresh ones."""
+    return without_files(rows, touched).unionByName(fresh)
+
+
+def foreign(sidecars: DataFrame, own: str, version: int) -> DataFrame:
+    """The symbols of all other repositories' sidecars (repo, version, fqn, ..): those of another version or without an fqn are passed over."""
+    return sidecars.where((F.col("repo") != own) & (F.col("version") == version) & F.col("fqn").isNotNull())
+
+
+def remembered(sessions: DataFrame, most: int = 8192) -> DataFrame:
+    """Of sessions (session, used_at, ..) those that were used last, at most so many; of a session its last state.
+
+    The last ones are taken without an order of all: each task keeps as many at most."""
+    last = sessions.withColumn("n_", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("used_at")))).where("n_ = 1").drop("n_")
+    return last.orderBy(F.desc("used_at"), "session").limit(most)

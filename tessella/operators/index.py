@@ -82,11 +82,9 @@ class Index:
         return new
 
 
-def recovery(last_generation: int, resolved: bool, raw_edges: int, files: int) -> str:
+def recovery(committed: Column, resolved: Column, raw_edges: Column, files: Column) -> Column:
     """What a start must do for an index where nothing has changed: resolve again, build anew, or nothing."""
-    if last_generation and resolved:
-        return "nothing"
-    return "resolve" if raw_edges else "rebuild" if files else "nothing"
+    return F.when(committed & resolved, "nothing").when(raw_edges > 0, "resolve").when(files > 0, "rebuild").otherwise("nothing")
 
 
 def identity_key(provider: str, model: str, dimensions: int | None) -> str:

@@ -110,6 +110,26 @@ def without_contained(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reach_", F.max("line_end").over(earlier)).where(F.col("reach_").isNull() | (F.col("line_end") > F.col("reach_"))).drop("reach_")
 
 
+def read_page(lines: DataFrame, first: int, most: int, size: int) -> DataFrame:
+    """(file, lines, next_line) of a page of each file's lines (file, ln, body): from a line on at most so many lines and bytes,
+    and the line to go on from, null at the file's end."""
+    by = Window.partitionBy("file")
+    sized = lines.where(F.col("ln") >= first).select("file", "ln", (F.octet_length("body") + 1).alias("n"))
+    placed = sized.withColumn("upto", F.sum("n").over(by.orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)))
+    fits = (F.col("upto") <= size) & (F.col("ln") < first + most)
+    last = F.max(F.when(fits, F.col("ln")))
+    return placed.groupBy("file").agg(F.count_if(fits).alias("lines"), F.when(F.max("ln") > last, last + 1).cast("int").alias("next_line"))
+
+
+def lines_at(lines: DataFrame, step: int, most: int) -> DataFrame:
+    """(file, at, ln): of the bytes 0, step, 2 step, .. of each file, at most so many, the lines (file, ln, body) that they lie in."""
+    sized = lines.select("file", "ln", (F.octet_length("body") + 1).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("file").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0))
+    placed = sized.withColumn("upto", upto)
+    a, b = F.ceil((F.col("upto") - F.col("n")) / step), F.least(F.ceil(F.col("upto") / step), F.lit(most)) - 1
+    return placed.where(a <= b).select("file", F.explode(F.sequence(a, b)).alias("k"), "ln").select("file", (F.col("k") * step).alias("at"), "ln")
+
+
 def added_runs(diff: DataFrame) -> DataFrame:
     """(diff, file, line_start, line_end): runs of added lines of the new files, from rows (diff, n, body) of unified diffs.
 

@@ -10,7 +10,7 @@ from tessella.plans.registry import query
 from tessella.sources import engine_tables as t
 from tessella.sources.tables import table
 
-_C = t.with_tables(t.CALLS)
+C = t.with_tables(t.CALLS)
 CS = t.with_tables(t.CALLS, t.SYMBOL)
 _W = "coalesce(confidence, 1.0)"
 
@@ -20,7 +20,7 @@ def _ends(at: str, to: str, file: str) -> str:
 
 
 def _neighbours(at: str, to: str, file: str) -> str:
-    return f"""{_C} SELECT node, other, file, CASE WHEN w < 1.0 THEN w END AS confidence, w < 1.0 AS inferred
+    return f"""{C} SELECT node, other, file, CASE WHEN w < 1.0 THEN w END AS confidence, w < 1.0 AS inferred
         FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY other, file) AS r FROM ({_ends(at, to, file)})) WHERE r <= 32"""
 
 
@@ -34,7 +34,7 @@ def neighbors_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbours(t.calls(spark, sf_dir), "callees")
 
 
-@query("strongest_edge", f"{_C} SELECT in_name, out_name, CASE WHEN max({_W}) < 1.0 THEN max({_W}) END AS confidence FROM calls GROUP BY 1, 2")
+@query("strongest_edge", f"{C} SELECT in_name, out_name, CASE WHEN max({_W}) < 1.0 THEN max({_W}) END AS confidence FROM calls GROUP BY 1, 2")
 def strongest_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.strongest(t.calls(spark, sf_dir)).select("in_name", "out_name", "confidence")
 
@@ -87,7 +87,7 @@ EXPANDED = f"""f AS (SELECT node, other, w * 0.6 AS x FROM ({_ends("out_name", "
     h1 AS (SELECT other AS fqn, max(score * x) AS score FROM s JOIN f ON f.node = s.fqn WHERE score * x >= 0.15 AND other NOT IN (SELECT fqn FROM s) GROUP BY 1),
     h2 AS (SELECT other AS fqn, max(score * x) AS score FROM h1 JOIN f ON f.node = h1.fqn WHERE score * x >= 0.15 AND other NOT IN (SELECT fqn FROM s) GROUP BY 1),
     bonus AS (SELECT fqn, max(score) AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY fqn ORDER BY round(max(score), 9) DESC, fqn LIMIT 30)"""
-_EXPAND = f"{_C[:-1]}, s AS (SELECT 'p:' || k AS fqn, 1.0 - k / 40.0 AS score FROM range(0, 20) t(k)), {EXPANDED} SELECT fqn, round(score, 6) AS score FROM bonus"
+_EXPAND = f"{C[:-1]}, s AS (SELECT 'p:' || k AS fqn, 1.0 - k / 40.0 AS score FROM range(0, 20) t(k)), {EXPANDED} SELECT fqn, round(score, 6) AS score FROM bonus"
 
 
 @query("graph_expand_scored", _EXPAND)
@@ -96,16 +96,16 @@ def graph_expand_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.expand(t.calls(spark, sf_dir), base).select("fqn", F.round("score", 6).alias("score"))
 
 
-_HUBS = f"""hub AS (SELECT fqn, sum(degree)::BIGINT AS degree FROM ((SELECT out_name AS fqn, count(*) AS degree FROM calls GROUP BY 1 ORDER BY degree DESC, fqn LIMIT 1000)
+HUBS = f"""hub AS (SELECT fqn, sum(degree)::BIGINT AS degree FROM ((SELECT out_name AS fqn, count(*) AS degree FROM calls GROUP BY 1 ORDER BY degree DESC, fqn LIMIT 1000)
     UNION ALL (SELECT in_name AS fqn, count(*) AS degree FROM calls GROUP BY 1 ORDER BY degree DESC, fqn LIMIT 1000)) GROUP BY fqn ORDER BY degree DESC, fqn LIMIT 250)"""
 
 
-@query("hub_subgraph_nodes", f"{_C[:-1]}, {_HUBS} SELECT fqn, degree FROM hub")
+@query("hub_subgraph_nodes", f"{C[:-1]}, {HUBS} SELECT fqn, degree FROM hub")
 def hub_subgraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hubs(t.calls(spark, sf_dir))
 
 
-@query("hub_subgraph_edges", f"{_C[:-1]}, {_HUBS} SELECT DISTINCT in_name, out_name FROM calls WHERE in_name IN (SELECT fqn FROM hub) AND out_name IN (SELECT fqn FROM hub) ORDER BY 1, 2 LIMIT 600")
+@query("hub_subgraph_edges", f"{C[:-1]}, {HUBS} SELECT DISTINCT in_name, out_name FROM calls WHERE in_name IN (SELECT fqn FROM hub) AND out_name IN (SELECT fqn FROM hub) ORDER BY 1, 2 LIMIT 600")
 def hub_subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = t.calls(spark, sf_dir)
     return graph.hub_edges(calls, graph.hubs(calls))
@@ -113,27 +113,27 @@ def hub_subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Symbols that the export's edges may name but that are not there.
 _GONE = "fqn LIKE 'p:%7'"
-_EXPORT = f"""{CS[:-1]}, known AS (SELECT * FROM symbol WHERE NOT ({_GONE})), best AS (SELECT in_name, out_name, max({_W}) AS w FROM calls GROUP BY 1, 2),
+EXPORT = f"""{CS[:-1]}, known AS (SELECT * FROM symbol WHERE NOT ({_GONE})), best AS (SELECT in_name, out_name, max({_W}) AS w FROM calls GROUP BY 1, 2),
     m AS (SELECT *, in_name IN (SELECT fqn FROM known) AND out_name IN (SELECT fqn FROM known) AS whole FROM best), kept AS (SELECT * FROM m WHERE whole ORDER BY w DESC, in_name, out_name LIMIT 100000)"""
 
 
-def _export(spark: SparkSession, d: str):
+def export(spark: SparkSession, d: str):
     return graph.export(t.calls(spark, d), t.symbols(spark, d).where(f"NOT ({_GONE})"))
 
 
-@query("graph_export_nodes", f"{_EXPORT} SELECT fqn, name, kind, file FROM known WHERE fqn IN (SELECT in_name FROM kept UNION SELECT out_name FROM kept)")
+@query("graph_export_nodes", f"{EXPORT} SELECT fqn, name, kind, file FROM known WHERE fqn IN (SELECT in_name FROM kept UNION SELECT out_name FROM kept)")
 def graph_export_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _export(spark, sf_dir)[0].select("fqn", "name", "kind", "file")
+    return export(spark, sf_dir)[0].select("fqn", "name", "kind", "file")
 
 
-@query("graph_export_edges", f"{_EXPORT} SELECT in_name, out_name, CASE WHEN w < 1.0 THEN w END AS confidence FROM kept")
+@query("graph_export_edges", f"{EXPORT} SELECT in_name, out_name, CASE WHEN w < 1.0 THEN w END AS confidence FROM kept")
 def graph_export_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _export(spark, sf_dir)[1]
+    return export(spark, sf_dir)[1]
 
 
-@query("export_dangling", f"{_EXPORT} SELECT least(count(*) FILTER (whole), 100000)::BIGINT AS edges, count(*) FILTER (whole) > 100000 AS truncated, count(*) FILTER (NOT whole) AS dangling FROM m")
+@query("export_dangling", f"{EXPORT} SELECT least(count(*) FILTER (whole), 100000)::BIGINT AS edges, count(*) FILTER (whole) > 100000 AS truncated, count(*) FILTER (NOT whole) AS dangling FROM m")
 def export_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _export(spark, sf_dir)[2]
+    return export(spark, sf_dir)[2]
 
 
 _NODE = lambda c: f"replace({c}, ':', '_') || '[\"' || {c} || '\"]'"
@@ -142,7 +142,7 @@ _ARROW = f"CASE WHEN max({_W}) < 1.0 THEN ' -.-> ' ELSE ' --> ' END"
 
 @query(
     "graph_mermaid",
-    f"""{_C[:-1]}, {_HUBS}, he AS (SELECT in_name, out_name, '  ' || {_NODE("in_name")} || {_ARROW} || {_NODE("out_name")} AS line FROM calls
+    f"""{C[:-1]}, {HUBS}, he AS (SELECT in_name, out_name, '  ' || {_NODE("in_name")} || {_ARROW} || {_NODE("out_name")} AS line FROM calls
             WHERE in_name IN (SELECT fqn FROM hub) AND out_name IN (SELECT fqn FROM hub) GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 600)
         SELECT 'flowchart LR' || chr(10) || string_agg(line, chr(10) ORDER BY in_name, out_name) AS text FROM he""",
 )
@@ -153,7 +153,7 @@ def graph_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.mermaid(graph.strongest(calls.join(inside, ["in_name", "out_name"], "left_semi")))
 
 
-@query("graph_mermaid_lines", f"""{_C} SELECT '' AS in_name, '' AS out_name, 'flowchart LR' AS line UNION ALL
+@query("graph_mermaid_lines", f"""{C} SELECT '' AS in_name, '' AS out_name, 'flowchart LR' AS line UNION ALL
     SELECT in_name, out_name, '  ' || {_NODE("in_name")} || {_ARROW} || {_NODE("out_name")} FROM calls GROUP BY in_name, out_name""")
 def graph_mermaid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole strongest-edge graph as a chart's lines, to be read by in_name and out_name."""
@@ -162,12 +162,12 @@ def graph_mermaid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: By propagation of the least name over all edges, in more rounds than any name of the input tables is away from it.
-_COMPONENTS = f"""WITH RECURSIVE {t.CALLS}, {t.SYMBOL}, e AS (SELECT DISTINCT in_name AS a, out_name AS b FROM calls), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+COMPONENTS = f"""WITH RECURSIVE {t.CALLS}, {t.SYMBOL}, e AS (SELECT DISTINCT in_name AS a, out_name AS b FROM calls), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
     r AS (SELECT 0 AS k, a AS fqn, a AS l FROM b GROUP BY a UNION ALL SELECT max(r.k) + 1, b.a, least(min(r.l), b.a) FROM r JOIN b ON b.b = r.fqn WHERE r.k < 16 GROUP BY b.a),
     names AS (SELECT fqn FROM symbol UNION SELECT a FROM b), comp AS (SELECT fqn, coalesce(min(l), fqn) AS component FROM names LEFT JOIN r USING (fqn) GROUP BY fqn)"""
 
 
-def _components(spark: SparkSession, d: str) -> DataFrame:
+def components(spark: SparkSession, d: str) -> DataFrame:
     """Components over all call sites and symbols; a name without an edge to another is a component of its own."""
     calls, symbols = t.calls(spark, d), t.symbols(spark, d)
     found = graph.components(calls.select(F.col("in_name").alias("a"), F.col("out_name").alias("b")))
@@ -175,14 +175,14 @@ def _components(spark: SparkSession, d: str) -> DataFrame:
     return names.join(found, "fqn", "left").select("fqn", F.coalesce("component", "fqn").alias("component"))
 
 
-@query("connected_components", f"{_COMPONENTS} SELECT fqn, component FROM comp")
-def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _components(spark, sf_dir)
+@query("connected_components", f"{COMPONENTS} SELECT fqn, component FROM comp")
+def connectedcomponents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(spark, sf_dir)
 
 
-@query("area_files", f"{_COMPONENTS} SELECT component, file, count(*) AS n FROM comp JOIN symbol USING (fqn) GROUP BY ALL")
+@query("area_files", f"{COMPONENTS} SELECT component, file, count(*) AS n FROM comp JOIN symbol USING (fqn) GROUP BY ALL")
 def area_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _components(spark, sf_dir).join(t.symbols(spark, sf_dir), "fqn").groupBy("component", "file").agg(F.count("*").alias("n"))
+    return components(spark, sf_dir).join(t.symbols(spark, sf_dir), "fqn").groupBy("component", "file").agg(F.count("*").alias("n"))
 
 
 def _side(at: str, file: str, p: str) -> str:
@@ -191,7 +191,7 @@ def _side(at: str, file: str, p: str) -> str:
 
 @query(
     "caller_callee_stats",
-    f"""{_C} SELECT fqn, coalesce(caller_sites, 0) AS caller_sites, coalesce(caller_files, 0) AS caller_files, coalesce(caller_inferred, false) AS caller_inferred,
+    f"""{C} SELECT fqn, coalesce(caller_sites, 0) AS caller_sites, coalesce(caller_files, 0) AS caller_files, coalesce(caller_inferred, false) AS caller_inferred,
         coalesce(callee_sites, 0) AS callee_sites, coalesce(callee_files, 0) AS callee_files, coalesce(callee_inferred, false) AS callee_inferred
         FROM ({_side("out_name", "in_file", "caller")}) FULL JOIN ({_side("in_name", "out_file", "callee")}) USING (fqn)""",
 )

@@ -70,9 +70,20 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.retrieval(ranked, s.withColumnRenamed("fqn", "query"))
 
 
-@query("legacy_windows", f"{t.with_tables(t.FILE)} SELECT file, s::INT AS line_start, least(s + 49, n)::INT AS line_end FROM (SELECT file, n, unnest(generate_series(1, greatest(1, n - 25), 25)) AS s FROM (SELECT file, len(string_split(text, chr(10))) AS n FROM file))")
+#: Of a file's lines the first of each sixty to the twentieth lie in a symbol.
+_HELD = "held AS (SELECT file, n, unnest(generate_series(1, n, 60))::INT AS a FROM (SELECT file, len(string_split(text, chr(10))) AS n FROM file)), sy AS (SELECT file, n, a, least(a + 19, n)::INT AS b FROM held)"
+
+
+@query(
+    "legacy_windows",
+    f"""{t.with_tables(t.FILE)[:-1]}, {_HELD}, gap AS (SELECT file, b + 1 AS a, least(coalesce(lead(a) OVER (PARTITION BY file ORDER BY a), n + 1) - 1, n) AS b FROM sy)
+        SELECT file, a AS line_start, b AS line_end FROM sy UNION ALL SELECT file, s::INT, least(s + 49, b)::INT FROM (SELECT file, b, unnest(generate_series(a, greatest(a, b - 25), 25)) AS s FROM gap WHERE a <= b)""",
+)
 def legacy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.legacy_windows(t.files(spark, sf_dir).select("file", F.size(F.split("text", "\n")).alias("n_lines")))
+    """Symbols as they are, and windows of fifty lines over what they leave uncovered."""
+    files = t.files(spark, sf_dir).select("file", F.size(F.split("text", "\n")).alias("n_lines"))
+    held = files.select("file", F.explode(F.sequence(F.lit(1), F.col("n_lines"), F.lit(60))).alias("line_start")).withColumn("line_end", F.col("line_start") + 19)
+    return evaluation.legacy_windows(files, held)
 
 
 @query("latency_percentile", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
@@ -98,17 +109,27 @@ def stable_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.symbols(spark, sf_dir).where("kind = 'function'").select("fqn", "name", F.row_number().over(order).alias("place"))
 
 
-_REPLY = '{"ranking": [4, {"index": 2, "ranges": [[1, 9]]}, 99, 4, 0]}'
+_REPLY = '<ranked_indices>[4, {"index": 2, "ranges": [[1000000, 1000001], [3, 4]]}, 99, 4, {"index": 0, "ranges": [[1, 3], [9, 2]]}, "x", {"index": 7, "ranges": [[1, 900]]}]</ranked_indices>'
+#: As the reply says: place, order, and ranges that can be used.
+_NAMED = "(4, 0, []), (2, 1, [[1000000, 1000001], [3, 4]]), (0, 2, [[1, 3]]), (7, 3, [[1, 900]])"
 
 
-@query("rerank_apply", "SELECT vec_id, [2, NULL, 1, NULL, 0][r]::INT AS new_place, false AS fallback FROM (SELECT vec_id, row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id) AS r FROM embeddings) WHERE r IN (1, 3, 5)")
+@query(
+    "rerank_apply",
+    f"""WITH c AS (SELECT vec_id, row_number() OVER (ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) DESC, vec_id) - 1 AS place, 1 + vec_id % 3 AS a, 1 + vec_id % 3 + vec_id % 40 AS b FROM embeddings QUALIFY place < 10),
+        m AS (SELECT *, list_filter(list_transform(r, lambda x: [greatest(x[1] - 2, a), least(x[2] + 2, b)]), lambda x: x[1] <= x[2]) AS cut FROM c JOIN (VALUES {_NAMED}) v(p, o, r) ON place = p)
+        SELECT vec_id, (row_number() OVER (ORDER BY o))::INT - 1 AS new_place, CASE WHEN b - a + 1 >= 16 AND len(cut) > 0 THEN array_to_string(list_transform(list_sort(cut), lambda x: x[1] || '-' || x[2]), ',') END AS ranges, false AS fallback FROM m""",
+)
 def rerank_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest chunks in a reply's order, cut to the lines that it selects where they are long enough."""
     vectors = table(spark, sf_dir, "embeddings")
     top = vector.topk(vectors, vectors.where("vec_id = 0"), "vec_id", 10)
     # ten rows
     placed = top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "vec_id")) - 1)
-    found = evaluation.reranked(placed, _REPLY).select("vec_id", "new_place", "fallback")
-    return found.withColumn("new_place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("new_place")) - 1)
+    start = F.col("vec_id") % 3 + 1
+    found = evaluation.reranked(placed.withColumns({"line_start": start, "line_end": start + F.col("vec_id") % 40}), _REPLY)
+    shown = F.array_join(F.transform("ranges", lambda r: F.concat_ws("-", r["a"].cast("string"), r["b"].cast("string"))), ",")
+    return found.select("vec_id", "new_place", shown.alias("ranges"), "fallback")
 
 
 @query(

@@ -61,8 +61,19 @@ def test_a_tree_becomes_files_symbols_and_resolved_calls(spark, tmp_path):
 
 
 def test_rerank_replies(spark):
-    assert evaluation.ranking('[3, {"index": 1}, 3, -1, true, "x"]') == [3, 1]
-    rows = spark.createDataFrame([(i, f"c{i}") for i in range(4)], "place int, name string")
+    assert evaluation.selections('[3, {"index": 1, "ranges": [[2, 1], [4, 9], 5]}, 3, -1, true, "x"]') == [(3, []), (1, [(4, 9)])]
+    assert evaluation.selections('{"ranked_indices": [1]}') == [(1, [])] and evaluation.selections("so: <ranked_indices>[2]</ranked_indices>.") == [(2, [])]
+    rows = spark.createDataFrame([(i, f"c{i}", 1, 10 + 10 * i) for i in range(4)], "place int, name string, line_start int, line_end int")
     assert [r.name for r in evaluation.reranked(rows, "[2, 0, 9]").orderBy("new_place").collect()] == ["c2", "c0"]
     assert evaluation.reranked(rows, "[]").count() == 0
     assert all(r.fallback for r in evaluation.reranked(rows, "no list").collect())
+    cut = {r.name: r.ranges and [tuple(x) for x in r.ranges] for r in evaluation.reranked(rows, '[{"index": 0, "ranges": [[3, 4]]}, {"index": 3, "ranges": [[3, 4], [39, 99], [50, 60]]}, 1]').collect()}
+    assert cut == {"c0": None, "c3": [(1, 6), (37, 40)], "c1": None}
+
+
+def test_chunks_are_added_while_they_fit(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "file string, line_start int, line_end int, at int, content string")
+    held = rows(("a", 1, 5, 0, "x" * 10))
+    more = rows(("a", 1, 5, 1, "x" * 10), ("b", 1, 5, 2, "y" * 20), ("b", 1, 5, 3, "y" * 20), ("c", 1, 5, 4, "z" * 30), ("d", 1, 5, 5, "w"))
+    assert sorted(r.file for r in evaluation.added(held, more, F.length("content"), 45).collect()) == ["a", "b"]
+    assert sorted(r.file for r in evaluation.added(held, more, F.length("content"), 61).collect()) == ["a", "b", "c", "d"]
