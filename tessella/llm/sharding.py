@@ -5,7 +5,7 @@ A shard that joins only competes for itself, so it takes rows from all others an
 expected share is its weight over the sum of weights.
 
 Defined cases: a null key hashes as the text 'null'; rows that repeat a key share its shard, with slots of their own; a
-null text has no bytes, so size 16 and CRC 0; an empty table gives no rows. Input columns whose names clash with the
+null text has no bytes, so size 16 and CRC 0; an empty table gives no rows; a very long text counts with all its bytes. Input columns whose names clash with the
 output's are not carried along.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.prefix import bucket_offsets
+from tessella.llm.storage import written
 
 #: 2^31 - 1: a product of two numbers below it fits in a long.
 PRIME = 2_147_483_647
@@ -61,15 +62,14 @@ def owners(rows: DataFrame, key: str, weights: tuple[float, ...], more: tuple[fl
 def shard(docs: DataFrame, weights: tuple[float, ...], more: tuple[float, ...] = (), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's key, size, CRC, shard, slot within the shard from 0, and shard after more shards have joined."""
     crc = F.coalesce(F.crc32(F.encode(F.col(text), "UTF-8")), F.lit(0)).cast("long")
-    rows = owners(
-        docs.select(F.col(key), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long").alias("size"), crc.alias("text_crc32")), key, weights, more
-    ).withColumn("range_", F.shiftright("hi_", 20))
-    keys = owners(docs.select(F.col(key)), key, weights).select("shard", F.shiftright("hi_", 20).alias("range_"))
+    rows = docs.select(F.col(key), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long").alias("size"), crc.alias("text_crc32"))
+    # owners are found once; what is read again is some 50 bytes a row
+    placed = written(owners(rows, key, weights, more).withColumn("range_", F.shiftright("hi_", 20)), "owners")
     # at most shards x RANGES rows
-    offsets = F.broadcast(bucket_offsets(keys, ["shard"], "range_", F.lit(1)))
+    offsets = F.broadcast(bucket_offsets(placed, ["shard"], "range_", F.lit(1)))
     within = Window.partitionBy("shard", "range_").orderBy("hi_", "lo_", key, "text_crc32")
     return (
-        rows.withColumn("at_", F.row_number().over(within) - 1)
+        placed.withColumn("at_", F.row_number().over(within) - 1)
         .join(offsets, ["shard", "range_"])
         .select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset_") + F.col("at_")).cast("long").alias("slot"), "grown_shard")
     )
