@@ -1,55 +1,5 @@
 """Tables that outlive an executor, in the folder that the cluster shares."""
 
-from __future__ import annotations
+from tessella.sources.shared import new_path, purge, shared_dir, sized, written
 
-import math
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or the session's checkpoint folder. One of its own is made only where all runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-
-
-#: Bytes that a task should read at least, and tasks that each core should get, whatever there is to read.
-TASK_BYTES, WAVES = 32 << 20, 4
-
-
-def sized(df: DataFrame) -> DataFrame:
-    """df in no more tasks than its input's bytes call for, so that small tables are not written as many tiny files.
-
-    Partitions are put together without a shuffle; a plan with fewer tasks stays as it is."""
-    leaves, read = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
-    for k in range(leaves.size()):
-        read += int(str(leaves.apply(k).stats().sizeInBytes()))
-    # where Spark knows no size it says 2^63 bytes, and the plan's own tasks stay
-    return df.coalesce(min(2**31 - 1, max(WAVES * df.sparkSession.sparkContext.defaultParallelism, math.ceil(read / TASK_BYTES))))
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as Parquet in the shared folder, read again: its lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    sized(df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def purge(spark: SparkSession) -> None:
-    """Removes what this application has written to the shared folder; its results can't be read afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["new_path", "purge", "shared_dir", "sized", "written"]
