@@ -12,7 +12,9 @@ few such texts are learned from, as in tiny tables, the median is theirs, whatev
 Words are runs of letters (Unicode), lower-cased, with one boundary between two; the same for the text's ends.
 
 Defined cases: null text, and text without a letter, is `und` with score 0, as is all text if nothing could be learned;
-ties go to the language that sorts first; rows that repeat are each predicted alike; an empty table gives no rows.
+ties go to the language that sorts first; rows that repeat are each predicted alike; an empty table gives no rows; a very
+long text is read in slices; further columns, also of the result's names, are not looked at. The driver gets DIM numbers for
+each distinct label, so labels are meant to be languages, some hundreds at most.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ subtree can use. Each leaf then takes whole epochs, and of one more epoch the lo
 Tokens of a text are estimated as its UTF-8 bytes over four, rounded up, one at least.
 
 Defined cases: null text has one token; null domain, language or source is `none`; a node without a weight gets the weight
-`other`; weights of 0 or less get nothing; rows that repeat are counted and copied each; no tokens, no rows; further
-columns are not looked at.
+`other`; weights of 0 or less get nothing; rows that repeat are counted and copied each; no tokens, no rows; a very long text
+is measured, and taken or left as a whole; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -73,17 +73,20 @@ def _filled(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     return levels.withColumn("level_", level).withColumn("budget", F.when(F.col("full_"), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level_") * F.col("w")))).drop("used_", "left_", "share_", "full_", "level_")
 
 
-def budgets(leaves: DataFrame, part: float, epochs: int, weights: dict[str, dict[str, float]]) -> DataFrame:
-    """Per leaf its supply and its budget in tokens; the root's budget is that part of all tokens."""
+def budgets(leaves: DataFrame, part: float, epochs: int, weights: dict[str, dict[str, float]] | float) -> DataFrame:
+    """Per leaf its supply and its budget in tokens; the root's budget is that part of all tokens.
+
+    weights: by level and name, or one power: a node then weighs its tokens to that power."""
     supply = leaves.groupBy(*TREE).agg(F.sum("tokens").alias("supply"))
     usable = F.lit(True)
-    for level in TREE:
+    for level in TREE if isinstance(weights, dict) else ():
         usable = usable & (_weight(level, weights) > 0)
     supply = supply.withColumn("cap", F.when(usable, (F.col("supply") * epochs).cast("double")).otherwise(0.0))
     above = supply.agg(F.least(F.sum("supply") * part, F.sum("cap")).alias("budget"))
     for depth, level in enumerate(TREE):
         path, parents = list(TREE[: depth + 1]), list(TREE[:depth])
-        nodes = supply.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(level, weights))
+        own = _weight(level, weights) if isinstance(weights, dict) else F.pow(F.col("tokens"), F.lit(weights))
+        nodes = supply.groupBy(*path).agg(F.sum("cap").alias("cap"), F.sum("supply").cast("double").alias("tokens")).withColumn("w", own).drop("tokens")
         parent = above.select(*parents, F.col("budget").alias("parent_budget"))
         # the root is one row
         nodes = nodes.join(parent, parents) if parents else nodes.join(F.broadcast(parent))
@@ -91,7 +94,7 @@ def budgets(leaves: DataFrame, part: float, epochs: int, weights: dict[str, dict
     return supply.select(*TREE, "supply").join(above.select(*TREE, "budget"), list(TREE)).select(*TREE, "supply", F.floor(F.col("budget") + 1e-6).cast("long").alias("leaf_budget"))
 
 
-def mix(docs: DataFrame, part: float = 1.0, epochs: int = EPOCHS, seed: int = SEED, weights: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def mix(docs: DataFrame, part: float = 1.0, epochs: int = EPOCHS, seed: int = SEED, weights: dict[str, dict[str, float]] | float | None = None) -> DataFrame:
     """Each document's leaf, tokens, its leaf's budget, and copies: how often the mix has it."""
     leaves = written(leaves_of(docs), "leaves")
     planned = budgets(leaves, part, epochs, weights or WEIGHTS)
@@ -109,7 +112,7 @@ def mix(docs: DataFrame, part: float = 1.0, epochs: int = EPOCHS, seed: int = SE
     )
 
 
-def mixed(docs: DataFrame, part: float, weights: dict[str, dict[str, float]] | None = None, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, part: float, weights: dict[str, dict[str, float]] | float | None = None, seed: int = SEED) -> DataFrame:
     """The documents, all columns, that one epoch's mix has, once each."""
     chosen = mix(docs, part, 1, seed, weights).where("copies > 0").select(F.col("doc_id").alias("tessella_id_")).distinct()
     return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("tessella_id_")), "left_semi")

@@ -2,11 +2,11 @@
 
 A document's ids and an end id form one item, or, if longer than a sequence, full pieces after a shorter first one. Each
 task packs its own items best-fit decreasing and settles bins that are nearly full. Underfull bins go on as items of their
-own to ever fewer tasks and are packed again, until one task's worth is left or a round no longer helps. Only lengths
-travel; a task gets at most a bounded number of items, whatever the input's size.
+own to ever fewer tasks and are packed again, until one task's worth is left or a round saves less than `saving` of its bins
+(0: none at all). Only lengths travel; a task gets at most a bounded number of items, whatever the input's size.
 
 Defined cases: null text is empty, hence one piece of the end id; rows that repeat an id are packed each; an empty table
-gives no rows; further columns are not looked at.
+gives no rows; a very long text is encoded in parts, and its ids are held once; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ def _merged(size: int):
     return run
 
 
-def pack(docs: DataFrame, size: int = SEQUENCE, end: int = 0, path: str = tokens.RANKS) -> DataFrame:
+def pack(docs: DataFrame, size: int = SEQUENCE, end: int = 0, path: str = tokens.RANKS, saving: float = 0.05) -> DataFrame:
     """The pieces of every document, with the sequence and the offset in it that each is given."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     placed = written(source.mapInArrow(_tokenised(size, end, path), _PIECES), "pieces")
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, size: int = SEQUENCE, end: int = 0, path: str = tokens
             moved = moved.join(after, "root", "left").select("bin", F.coalesce("root2", "root").alias("root"), (F.col("base") + F.coalesce("base2", F.lit(0))).alias("base"))
         left = step.where((F.col("base") == 0) & (F.col("fill") < size - SLACK)).select(F.col("root").alias("bin"), "fill")
         before, n = n, left.count()
-        if parts == 1 or n > 0.95 * before:
+        if parts == 1 or n == before or n > (1 - saving) * before:
             break
     if moved is not None:
         placed = placed.join(moved, "bin", "left")

@@ -11,7 +11,8 @@ The samples are `SAMPLES` strings of each label, made from hashes of their numbe
 68 x 68 ratios, whatever the input.
 
 Defined cases: null text is empty and has no spans; rows that repeat are scanned each; an empty table gives no rows;
-positions count code points, ends are exclusive; further columns are not looked at.
+positions count code points, ends are exclusive; a very long text is scanned whole, as the one value that it is; further
+columns are not looked at.
 """
 
 from __future__ import annotations

@@ -313,6 +313,9 @@ def test_language(docs, rows, empty):
     assert {r.doc_id for r in got if r.lang_pred == "und"} == {300, 301, 302, 303}
     held = [r for r in got if r.held_out and r.lang_pred != "und" and truth[r.doc_id] and r.doc_id < 260]
     assert np.mean([truth[r.doc_id] == r.lang_pred for r in held]) > 0.95
+    clashing = docs.withColumnsRenamed({"n_chars": "lang_pred", "digest": "held_out"})
+    assert sorted(map(str, language.identify(clashing).collect())) == sorted(map(str, got))
+    assert language.accepted(clashing).columns == clashing.columns
     kept = language.accepted(docs)
     assert kept.columns == docs.columns and not {300, 301, 302, 303} & {r.doc_id for r in kept.collect()}
     assert language.identify(empty).count() == 0
@@ -460,16 +463,16 @@ def test_long_texts_are_encoded_alike_in_parts(monkeypatch):
     assert len(tokens.parts(text, 50)) > 10 and np.concatenate([tokens.ids(p) for p in tokens.parts(text, 50)]).tolist() == whole
 
 
-@pytest.mark.parametrize(("part", "epochs"), [(1.0, 4), (0.5, 1), (2.5, 3)])
-def test_mixing(docs, empty, part, epochs):
-    got = mixing.mix(docs, part, epochs).collect()
+@pytest.mark.parametrize(("part", "epochs", "weights"), [(1.0, 4, None), (0.5, 1, None), (2.5, 3, None), (0.9, 1, 0.7), (2.0, 4, 0.3)])
+def test_mixing(docs, empty, part, epochs, weights):
+    got = mixing.mix(docs, part, epochs, weights=weights).collect()
     leaves, used, budget = Counter(), Counter(), {}
     for r in got:
         leaf = r.domain, r.lang, r.source
         leaves[leaf] += r.tokens
         used[leaf] += r.tokens * r.copies
         budget[leaf] = r.leaf_budget
-    want = budgets(leaves, part, epochs, mixing.WEIGHTS)
+    want = budgets(leaves, part, epochs, weights or mixing.WEIGHTS)
     for leaf, n in leaves.items():
         assert abs(budget[leaf] - want[leaf]) <= 1.01
         largest = max(r.tokens for r in got if (r.domain, r.lang, r.source) == leaf)

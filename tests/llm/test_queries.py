@@ -77,7 +77,7 @@ def test_pipeline(spark, sf):
     supply = Counter()
     for r in rows:
         supply[leaf(r)] += size(r)
-    want, room = set(), {k: int(v + 1e-6) for k, v in budgets(supply, corpus_pipeline.MIX_PART, 1, corpus_pipeline.MIX_WEIGHTS).items()}
+    want, room = set(), {k: int(v + 1e-6) for k, v in budgets(supply, corpus_pipeline.MIX_PART, 1, corpus_pipeline.MIX_POWER).items()}
     through = Counter()
     for r in sorted(rows, key=lambda r: hashlib.md5(f"{mixing.SEED}:{int(room[leaf(r)] // supply[leaf(r)])}:{r[0]}".encode()).hexdigest()[:12]):
         through[leaf(r)] += size(r)

@@ -36,14 +36,17 @@ def near(rows, width):
 
 
 def budgets(leaves, part, epochs, weights):
-    """Water-filling by bisection, node by node."""
-    def weight(level, name):
-        return max(0.0, weights[level].get(name, weights[level].get("other", 0.0)))
+    """Water-filling by bisection, node by node. weights: by level and name, or a power of a node's tokens."""
+    def tokens(node):
+        return sum(map(tokens, node.values())) if isinstance(node, dict) else node
 
-    def cap(node):
-        return sum(node.values()) * epochs if all(not isinstance(v, dict) for v in node.values()) else sum(map(cap, node.values()))
+    def weight(level, name, node):
+        if not isinstance(weights, dict):
+            return tokens(node) ** weights
+        return max(0.0, weights[level].get(name, weights[level].get("other", 0.0)))
 
-    def fill(budget, caps, ws):
+    def fill(budget, nodes, level):
+        caps, ws = [tokens(n) * epochs for n in nodes.values()], [weight(level, k, n) for k, n in nodes.items()]
         lo, hi = 0.0, 1e15
         for _ in range(200):
             mid = (lo + hi) / 2
@@ -54,8 +57,8 @@ def budgets(leaves, part, epochs, weights):
     for (d, g, s), n in leaves.items():
         tree.setdefault(d, {}).setdefault(g, {})[s] = n
     total = sum(leaves.values())
-    for d, b in zip(tree, fill(min(part * total, total * epochs), [cap(x) for x in tree.values()], [weight("domain", d) for d in tree])):
-        for g, bg in zip(tree[d], fill(b, [cap(x) for x in tree[d].values()], [weight("lang", g) for g in tree[d]])):
-            for s, bs in zip(tree[d][g], fill(bg, [n * epochs for n in tree[d][g].values()], [weight("source", s) for s in tree[d][g]])):
+    for d, b in zip(tree, fill(min(part * total, total * epochs), tree, "domain")):
+        for g, bg in zip(tree[d], fill(b, tree[d], "lang")):
+            for s, bs in zip(tree[d][g], fill(bg, tree[d][g], "source")):
                 out[d, g, s] = bs
     return out
