@@ -10,14 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm import exact_dedup, language, minhash, mixing, packing
 from tessella.llm.storage import sized, written
 
-#: Of all tokens that reach the mix, the part that it is given.
-MIX_PART = 0.9
-#: The mix of this corpus: half-way between even shares and what there is, so that no clean source is starved.
-MIX_WEIGHTS = {
-    "domain": {"web": 0.4, "books": 0.2, "code": 0.2, "forum": 0.2, "other": 0.2},
-    "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15, "other": 0.15},
-    "source": {"other": 1.0},
-}
+#: Of all tokens that reach the mix, the part that it is given, and the power of their tokens by which domains, languages and
+#: sources are weighed: below 1 it takes from the large for the small.
+MIX_PART, MIX_POWER = 0.9, 0.7
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sized(mixing.mixed(docs, MIX_PART, MIX_WEIGHTS))
+    return sized(mixing.mixed(docs, MIX_PART, MIX_POWER))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

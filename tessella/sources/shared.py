@@ -37,7 +37,7 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 
 #: Bytes that a task should read at least, and tasks that each core should get, whatever there is to read.
-TASK_BYTES, WAVES = 32 << 20, 4
+TASK_BYTES, WAVES = 8 << 20, 4
 
 
 def sized(df: DataFrame) -> DataFrame:
