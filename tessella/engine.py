@@ -5,6 +5,7 @@ commit. Embedders and rerankers are given by the user: anything that has the met
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text
 from tessella.operators import answer, evaluation, filters, graph, incremental, intervals, lexical, resolve, vector
-from tessella.operators.index import Index
+from tessella.operators.index import Bus, Index
 from tessella.sources import frameworks, repository
 
 CHUNKER = 1
@@ -54,7 +55,8 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, index_root: str, embedder: Embedder | None = None, reranker: Reranker | None = None) -> None:
         self.spark, self.root = spark, root
         self.embedder, self.reranker = embedder or HashedWords(), reranker
-        self.index = Index(spark, index_root)
+        self.events = Bus()
+        self.index = Index(spark, index_root, self.events)
 
     # building
 
@@ -75,7 +77,7 @@ class Engine:
         }
 
     def _listed(self) -> DataFrame:
-        return repository.walk(self.spark, self.root)
+        return repository.walk(self.spark, self.root, ignored=tuple(self.ignored()))
 
     def build(self, run: str = "build") -> int:
         """Commits all of the tree. The files' meta data are written with the rest; the commit comes last."""
@@ -109,6 +111,28 @@ class Engine:
         found = resolve.resolved(edges, self.symbols())
         return edges.join(found, "edge_id").select(F.col("from_fqn").alias("in_name"), "out_name", F.col("from_file").alias("in_file"), "out_file", "line", "confidence")
 
+    def ignored(self, files: list[str] | None = None) -> list[str]:
+        """The paths that a user has left out; with a list, sets them."""
+        if files is not None:
+            self.index.put("ignored", json.dumps(files))
+        return json.loads(self.index.get("ignored") or "[]")
+
+    def status(self, mutating: bool = False, stale_seconds: int = 7 * 86_400) -> str:
+        """What a search may do just now: wait, serve, or serve and index again."""
+        last, _ = self.index.last()
+        chunks = self.index.read("chunk").count() if last else 0
+        at = self.spark.read.format("binaryFile").load(f"{self.index.root}/commit/*.parquet").agg(F.max("modificationTime").alias("t")).first()["t"] if last else None
+        row = self.spark.createDataFrame([(mutating, chunks, False, at)], "mutating boolean, chunks long, resolving boolean, indexed_at timestamp")
+        return evaluation.readiness(row, F.current_timestamp(), stale_seconds).first()["state"]
+
+    def counted(self) -> dict[str, int]:
+        """The four numbers of stats, counted once for each commit."""
+        key = f"stats:{self.index.last()[0]}"
+        if not (found := self.index.get(key)):
+            found = json.dumps(self.stats().first().asDict())
+            self.index.put(key, found)
+        return json.loads(found)
+
     def stats(self) -> DataFrame:
         """One row: files, chunks, symbols, edges."""
         counts = [self.index.read(t).agg(F.count("*").alias(n)) for t, n in (("file_meta", "files"), ("chunk", "chunks"), ("symbol", "symbols"), ("raw_edge", "edges"))]

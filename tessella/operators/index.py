@@ -6,6 +6,7 @@ committed generation that touched it, so what a crashed run left behind is never
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,8 +20,9 @@ TWO_64 = 1 << 64
 class Index:
     """Tables by name under a root that all executors share."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, listener: Callable[[dict], None] | None = None) -> None:
+        """listener: is told what a run does, as dicts with `run` and `stage`."""
+        self.spark, self.root, self.listener = spark, root.rstrip("/"), listener or (lambda event: None)
 
     def _there(self, path: str) -> bool:
         jvm = self.spark.sparkContext._jvm
@@ -62,13 +64,28 @@ class Index:
         for name, rows in tables.items():
             path = f"{self.root}/table={name}/generation={n}"
             rows.join(touched.where("NOT deleted").select("file"), "file", "left_semi").write.mode("overwrite").parquet(path)
-            total += self.spark.read.parquet(path).count()
+            rows_n = self.spark.read.parquet(path).count()
+            total += rows_n
+            self.listener({"run": run, "stage": name, "rows": rows_n})
         touched.select("file", "deleted").write.mode("overwrite").parquet(f"{self.root}/touched/generation={n}")
         if before_commit:
             before_commit()
         self.spark.createDataFrame([(n, run, identity, total)], "generation long, run string, identity string, rows long").coalesce(1).write.mode("append").parquet(f"{self.root}/commit")
+        self.listener({"run": run, "stage": "commit", "rows": total})
         return n
 
+    def put(self, key: str, value: str) -> None:
+        """Sets a key's value; the last one set holds."""
+        row = self.spark.range(1).select(F.lit(key).alias("key"), F.lit(value).alias("value"), F.current_timestamp().alias("at"))
+        row.write.mode("append").parquet(f"{self.root}/kv")
+
+    def get(self, key: str) -> str | None:
+        path = f"{self.root}/kv"
+        if not self._there(path):
+            return None
+        rows = self.spark.read.schema("key string, value string, at timestamp").parquet(path).where(F.col("key") == key)
+        return rows.agg(F.max_by("value", "at").alias("v")).first()["v"]
+
     def compacted(self, root: str, names: list[str], run: str) -> Index:
         """The same tables in one generation under another root."""
         _, identity = self.last()
@@ -82,6 +99,22 @@ class Index:
         return new
 
 
+class Bus:
+    """Hands events on to whoever listens; one that doesn't keep up loses its oldest, and the others nothing."""
+
+    def __init__(self, most: int = 256) -> None:
+        self.most, self.queues = most, []
+
+    def subscribe(self) -> deque:
+        queue: deque = deque(maxlen=self.most)
+        self.queues.append(queue)
+        return queue
+
+    def __call__(self, event: dict) -> None:
+        for queue in self.queues:
+            queue.append(event)
+
+
 def recovery(committed: Column, resolved: Column, raw_edges: Column, files: Column) -> Column:
     """What a start must do for an index where nothing has changed: resolve again, build anew, or nothing."""
     return F.when(committed & resolved, "nothing").when(raw_edges > 0, "resolve").when(files > 0, "rebuild").otherwise("nothing")

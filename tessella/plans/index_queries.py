@@ -66,6 +66,26 @@ def shard_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.shard_states(shards, counts.select("repo", "chunks"), _KEY)
 
 
+@query(
+    "scoped_search",
+    """WITH s AS (SELECT label, CASE WHEN label % 4 = 0 THEN 'cold' WHEN label % 4 IN (1, 2) THEN 'mismatch' ELSE 'warm' END AS state FROM (SELECT DISTINCT label FROM embeddings)),
+        r AS (SELECT e.label, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings e JOIN s USING (label) WHERE state = 'warm'),
+        k AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS n FROM r QUALIFY n <= 15)
+       SELECT 'hit' AS state, label, vec_id, score FROM k UNION ALL SELECT state, label, NULL, NULL FROM s WHERE state <> 'warm'""",
+)
+def scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over the repos whose shards can be used, and a row for each of those that can't, which says why."""
+    v = table(spark, sf_dir, "embeddings")
+    counts = v.groupBy(F.col("label").alias("repo")).agg(F.count("*").alias("chunks"))
+    k = F.col("repo") % 4
+    shards = counts.where(k != 0).select("repo", index.content_stamp(F.col("chunks") + F.when(k == 1, 1).otherwise(0), F.when(k == 2, index.identity_key("hosted", "other", 8)).otherwise(_KEY)).alias("stamp"))
+    states = index.shard_states(shards, counts, _KEY)
+    probe = v.where("vec_id = 0").select(F.lit(0).alias("query_id"), "embedding")
+    warm = v.join(states.where("state = 'warm'").select(F.col("repo").alias("label")), "label", "left_semi")
+    hits = vector.topk(warm, probe, "vec_id", 15).select(F.lit("hit").alias("state"), "label", "vec_id", "score")
+    return hits.unionByName(states.where("state <> 'warm'").select("state", F.col("repo").alias("label"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("double").alias("score")))
+
+
 @query("shard_eviction", """WITH s AS (SELECT source AS repo, sum(n_chars)::BIGINT AS bytes, max(doc_id) AS used_at, bool_or(doc_id % 97 = 0) AS active FROM documents GROUP BY source),
     h AS (SELECT *, sum(bytes) OVER (ORDER BY active DESC, used_at DESC, repo ROWS UNBOUNDED PRECEDING) AS held FROM s) SELECT repo, bytes, active FROM h WHERE active OR held <= (SELECT sum(bytes) / 2 FROM s)""")
 def shard_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:

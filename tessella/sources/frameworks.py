@@ -90,13 +90,13 @@ RULES = (
 )
 
 
-def detected(files: DataFrame) -> DataFrame:
+def detected(files: DataFrame, signs: tuple[Sign, ...] = SIGNS) -> DataFrame:
     """(repo, framework) of files (repo, file, text): one pass, a row of flags for each repository."""
-    names = sorted({s.framework for s in SIGNS})
+    names = sorted({s.framework for s in signs})
     flags = []
     for name in names:
         there = F.lit(False)
-        for s in SIGNS:
+        for s in signs:
             if s.framework == name:
                 there = there | (F.col("file").rlike(s.path) & (F.coalesce(F.col("text").rlike(s.content), F.lit(False)) if s.content else F.lit(True)))
         flags.append(F.bool_or(there & ~F.col("file").rlike(r"(?:^|/)node_modules/")).alias(name))
@@ -120,10 +120,10 @@ def _camel(word: str) -> str:
     return "".join(p[:1].upper() + p[1:] for p in word.split("_"))
 
 
-def edges_of(file: str, text: str, active: set[str]) -> list[tuple]:
+def edges_of(file: str, text: str, active: set[str], rules: tuple[Rule, ...] = RULES) -> list[tuple]:
     """(framework, from_fqn, to_name, line, confidence) of one file."""
     out, symbols = [], None
-    for rule in RULES:
+    for rule in rules:
         if rule.framework not in active or not re.search(rule.path, file):
             continue
         for m in re.finditer(rule.pattern, text):
@@ -142,19 +142,22 @@ def edges_of(file: str, text: str, active: set[str]) -> list[tuple]:
 _ROWS = "file string, framework string, from_fqn string, to_name string, line int, confidence double"
 
 
-def _found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = [(file, *e) for file, text, active in zip(frame["file"], frame["text"], frame["active"]) for e in edges_of(file, text, set(active))]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ROWS.split(", ")])
+def _found(rules: tuple[Rule, ...]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(file, *e) for file, text, active in zip(frame["file"], frame["text"], frame["active"]) for e in edges_of(file, text, set(active), rules)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ROWS.split(", ")])
 
+    return run
 
-def framework_edges(files: DataFrame) -> DataFrame:
+
+def framework_edges(files: DataFrame, signs: tuple[Sign, ...] = SIGNS, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(file, framework, from_fqn, to_name, line, confidence) of files (repo, file, text), by the rules of the frameworks of
-    each repository; Next.js files call their routes."""
-    active = detected(files)
+    each repository; Next.js files call their routes. A user's own frameworks are further signs and rules."""
+    active = detected(files, signs)
     by_repo = active.groupBy("repo").agg(F.collect_set("framework").alias("active"))  # as many entries as there are frameworks
     used = files.where("text is not null").join(by_repo, "repo")
-    found = used.select("file", "text", "active").mapInPandas(_found, _ROWS)
+    found = used.select("file", "text", "active").mapInPandas(_found(rules), _ROWS)
     route = next_route(F.col("file"))
     routes = used.where(F.array_contains("active", "nextjs") & route.isNotNull()).select("file", F.lit("nextjs").alias("framework"), F.col("file").alias("from_fqn"), route.alias("to_name"), F.lit(1).alias("line"), F.lit(None).cast("double").alias("confidence"))
     return found.unionByName(routes)

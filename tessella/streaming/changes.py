@@ -88,3 +88,16 @@ def maintain(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkp
     with its number, as it is after a crash."""
     writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: apply(latest(batch), n))
     return writer.trigger(**({"availableNow": True} if once else {"processingTime": every})).start()
+
+
+def poll(spark: SparkSession, update: Callable[[str], object], checkpoint: str, every: str = "30 seconds", once: bool = False) -> StreamingQuery:
+    """Calls `update` with a name for each batch, again and again, one at a time: what a watcher missed is found by the next full
+    look. update must do nothing new for a name that it has had."""
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    writer = ticks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: update(f"poll-{n}"))
+    return writer.trigger(**({"once": True} if once else {"processingTime": every})).start()
+
+
+def progress(query: StreamingQuery) -> list[tuple[int, int, int]]:
+    """(batch, rows, milliseconds) of a stream's last batches."""
+    return [(p["batchId"], p["numInputRows"], p["durationMs"].get("triggerExecution", 0)) for p in query.recentProgress]

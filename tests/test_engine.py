@@ -3,6 +3,7 @@
 import pytest
 
 from tessella.engine import Budgets, Engine, explore
+from tessella.streaming import changes
 
 FILES = {
     "shop/cart.py": "from shop.price import total_price\n\n\nclass Cart:\n    def checkout(self, items):\n        amount = total_price(items)\n        return charge_card(amount)\n\n\ndef charge_card(amount):\n    token = 'abcdefgh12345678'\n    return amount\n",
@@ -31,6 +32,20 @@ def test_build_resolves_calls(engine):
     calls = {(r.in_name.split("::", 1)[-1], r.out_name) for r in engine.calls().where("confidence is null").collect()}
     assert {("Cart::checkout", "shop/price.py::total_price"), ("Cart::checkout", "shop/cart.py::charge_card"), ("total_price", "shop/price.py::unit_price"), ("start", "web/view.ts::render")} <= calls
     assert not [r for r in engine.changes().collect()]
+    assert engine.counted() == engine.counted() == stats.asDict() and engine.status() == "serve" and engine.status(mutating=True) == "wait"
+
+
+def test_events_keys_and_polls(engine, spark, tmp_path):
+    own = Engine(spark, engine.root, str(tmp_path / "i"))
+    heard, deaf = own.events.subscribe(), own.events.subscribe()
+    assert own.status() == "wait" and own.ignored() == [] and own.ignored(["web"]) == ["web"]
+    own.build("first")
+    assert [e["stage"] for e in heard][-1] == "commit" and {e["stage"] for e in heard} > {"chunk", "symbol"} and len(deaf) == len(heard)
+    assert {r.file.split("/")[0] for r in own.index.read("file_meta").collect()} == {"shop", "notes.md"}
+    runs = []
+    query = changes.poll(spark, runs.append, str(tmp_path / "polls"), once=True)
+    query.awaitTermination()
+    assert runs == ["poll-0"] and changes.progress(query)
 
 
 def test_verbs(engine):
