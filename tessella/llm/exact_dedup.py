@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +41,16 @@ def _digest(text: memoryview, null: bool) -> bytes:
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    uid = (TaskContext.get().partitionId() << 33) - 1
     for batch in pieces(batches, 4096, 8 << 20):
         data, at, nulls = strings(batch.column(1))
         digests = [_digest(data[a:b], n) for a, b, n in zip(at, at[1:], nulls)]
-        uids = pa.array(range(uid + 1, uid + 1 + len(digests)), pa.int64())
-        uid += len(digests)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), uids, pa.array(digests, pa.binary())], ["doc_id", "uid", "digest"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary())], ["doc_id", "uid", "digest"])
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, a number that no other row has, and the digest of the normalised text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digested, "doc_id long, uid long, digest binary")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("uid"))
+    return own.mapInArrow(_digested, "doc_id long, uid long, digest binary")
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +59,7 @@ def best_fit(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray, np.
 
 def _tokenised(size: int, end: int, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        next_bin = TaskContext.get().partitionId() << 40
+        next_bin: int | None = None  # from the first row's number, which no other partition has
         rows: list[tuple] = []
 
         def packed() -> pa.RecordBatch:
@@ -74,6 +73,8 @@ def _tokenised(size: int, end: int, path: str):
             return pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(out, kinds)], names)
 
         for batch in pieces(batches, 1024, 4 << 20):
+            if next_bin is None and batch.num_rows:
+                next_bin = batch.column(2)[0].as_py()
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(tokens.ids(text or "", path), np.uint32(end)).astype("<u4")
                 start, cut = 0, len(ids) % size or size
@@ -117,7 +118,7 @@ def _merged(size: int):
 
 def pack(docs: DataFrame, size: int = SEQUENCE, end: int = 0, path: str = tokens.RANKS, saving: float = 0.05) -> DataFrame:
     """The pieces of every document, with the sequence and the offset in it that each is given."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
     placed = written(source.mapInArrow(_tokenised(size, end, path), _PIECES), "pieces")
     left = placed.where((F.col("at") == 0) & (F.col("fill") < size - SLACK)).select("bin", "fill")
     n, parts, moved = left.count(), 0, None

@@ -92,6 +92,25 @@ def test_exact_dedup_hands_on_every_group(monkeypatch):
     assert {r["digest"]: (r["keep_id"], r["group_size"]) for r in got} == {d: (50 + i, 2) for i, d in enumerate(digests)} and len(got) == 50
 
 
+def test_partitions_that_are_put_together_keep_apart(spark, docs, rows, monkeypatch):
+    """Where several partitions are written by one task, rows and bins of each still have numbers of their own."""
+    from tessella.sources import shared
+
+    monkeypatch.setattr(shared, "sized", lambda df: df.coalesce(1))
+    many = docs.repartition(23)
+    kept = exact_dedup.dedup(many).where("kept").collect()
+    assert Counter(r.text_sha256 for r in kept) == Counter(_groups(rows).keys())
+    by = defaultdict(list)
+    for r in packing.pack(many, 256).collect():
+        by[r.sequence_id].append((r.offset, r.length))
+    for v in by.values():
+        at = 0
+        for offset, length in sorted(v):
+            assert offset == at
+            at += length
+        assert at <= 256
+
+
 def test_cuckoo_index_forgets_nothing_and_deletes():
     index, rng = CuckooIndex(8), random.Random(1)
     keys = [rng.randbytes(32) for _ in range(3000)]
