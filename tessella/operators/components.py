@@ -63,11 +63,11 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for the ends of edges (u, v): component is the smallest id that can be reached.
 
-    Edges point to the smaller end. A round lets each edge jump to the least parent of its end (large star), links all
+    Edges are contracted where they are read, and point to the smaller end. A round lets each edge jump to the least parent of its end (large star), links all
     ends of a vertex to the least of them (small star), and contracts what lies together. Each round is written, so a lost
     executor repeats one round. Least parents are written too, so that a hub's edges meet them in a join that can be split;
     after the first contraction a vertex has at most as many parents as there are blocks."""
-    now, state = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"), None
+    now, state = written(edges.where("u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).mapInArrow(_contracted, "u long, v long").distinct(), "edges"), None
     while True:
         parents = written(now.groupBy(F.col("u").alias("p")).agg(F.min("v").alias("m")), "parents")
         jumped = now.join(parents, F.col("v") == F.col("p"), "left").select("u", F.coalesce("m", "v").alias("v"))

@@ -31,16 +31,41 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (scale == 0), F.lit(0.0)).otherwise(dot(a, b) / scale)
 
 
+def _near(probe: np.ndarray, k: int, at: int):
+    """Batches of rows with their cosine with the probe, of each batch those that may be among the k best."""
+    length = np.linalg.norm(probe)
+    unit = probe / length if length > 0 else probe
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(batch.column(at).is_valid())
+            n = batch.num_rows
+            if not n:
+                continue
+            own = batch.column(at)
+            sizes, flat = np.asarray(own.value_lengths()), own.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            same = sizes == len(probe)
+            rows = flat.reshape(n, -1) if same.all() else flat[np.repeat(same, sizes)].reshape(same.sum(), len(probe))
+            norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+            scores = np.zeros(n)
+            scores[same] = np.round(np.divide(rows @ unit, norms, out=np.zeros(len(rows)), where=norms > 0), 6)
+            keep = np.flatnonzero(scores >= np.partition(scores, n - k)[n - k]) if n > k else np.arange(n)
+            others = [batch.column(c).take(pa.array(keep)) for c in range(batch.num_columns) if c != at]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(scores[keep])], [*(x for c, x in enumerate(batch.schema.names) if c != at), "score"])
+
+    return run
+
+
 def topk(vectors: DataFrame, probe: DataFrame, key: str, k: int) -> DataFrame:
-    """The k nearest rows to a probe of one row, ties by key."""
-    q = probe.select(F.col("embedding").alias("probe")).limit(1)
-    return (
-        vectors.where(F.col("embedding").isNotNull())
-        .join(F.broadcast(q))
-        .select(*[c for c in vectors.columns if c != "embedding"], F.round(cosine(F.col("embedding"), F.col("probe")), 6).alias("score"))
-        .orderBy(F.desc("score"), key)
-        .limit(k)
-    )
+    """The k nearest rows to a probe of one row, ties by key, with score; vectors of another length or without direction have 0.
+
+    Batches are multiplied as matrices, and each hands on its own k best, so what is put in order grows with the batches."""
+    one = probe.select("embedding").first()
+    if one is None or one["embedding"] is None:
+        return vectors.limit(0).withColumn("score", F.lit(0.0)).drop("embedding")
+    q = np.array(one["embedding"], dtype=np.float64)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema if f.name != "embedding")
+    return vectors.mapInArrow(_near(q, k, vectors.columns.index("embedding")), f"{kinds}, score double").orderBy(F.desc("score"), key).limit(k)
 
 
 #: Probes that are sent to all tasks.

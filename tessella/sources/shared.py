@@ -36,8 +36,9 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{own}/{what}-{uuid.uuid4().hex}"
 
 
-#: Bytes that a task should read at least, and tasks that each core should get, whatever there is to read.
-TASK_BYTES, WAVES = 8 << 20, 4
+#: Bytes of its input that a task should have where there is enough for all cores, and tasks that each core should get if
+#: each has so many bytes at least.
+TASK_BYTES, WAVES, LEAST_BYTES = 8 << 20, 4, 128 << 10
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -47,8 +48,9 @@ def sized(df: DataFrame) -> DataFrame:
     leaves, read = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
     for k in range(leaves.size()):
         read += int(str(leaves.apply(k).stats().sizeInBytes()))
+    cores = WAVES * df.sparkSession.sparkContext.defaultParallelism
     # where Spark knows no size it says 2^63 bytes, and the plan's own tasks stay
-    return df.coalesce(min(2**31 - 1, max(WAVES * df.sparkSession.sparkContext.defaultParallelism, math.ceil(read / TASK_BYTES))))
+    return df.coalesce(min(2**31 - 1, max(1, math.ceil(read / TASK_BYTES), min(cores, math.ceil(read / LEAST_BYTES)))))
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
