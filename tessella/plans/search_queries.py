@@ -22,7 +22,7 @@ _DF = "df AS (SELECT term, count(*) AS df FROM pool GROUP BY term), mx AS (SELEC
 _TOK = r"regexp_split_to_array(body, '[^\p{L}\p{N}_]+')"
 _SCORED = rf"""rows AS (SELECT DISTINCT file, line_start, line_end, content, symbol, lower(content) || chr(10) || coalesce(lower(symbol), '') AS body, lower(file) AS path FROM pool),
     w AS (SELECT r.file, r.line_start, sum(CASE WHEN contains(body, term) THEN x ELSE x * 0.5 END) AS s FROM rows r,
-        (SELECT term, 1.0 - 0.5 * ln(1.0 + df) / greatest(ln(1.0 + m), 1.0) AS x FROM df, mx) WHERE contains(body, term) OR contains(path, term) GROUP BY ALL),
+        (SELECT term, 1.0 - 0.5 * ln(1.0 + coalesce(df, 1)) / greatest(ln(1.0 + m), 1.0) AS x FROM (SELECT unnest({_LIST}) AS term) LEFT JOIN df USING (term), mx) WHERE contains(body, term) OR contains(path, term) GROUP BY ALL),
     run AS (SELECT file, line_start, list_max(list_transform({_TOK}, lambda k: list_sum(list_transform({_LIST}, lambda t: CASE WHEN contains(k, t) THEN 1 ELSE 0 END)))) AS n,
         list_bool_or(list_transform({_TOK}, lambda k: regexp_replace(k, '[^\p{{L}}\p{{N}}]', '', 'g') = '{"".join(TERMS)}'))
             OR coalesce(regexp_replace(lower(regexp_extract(symbol, '[^:]*$')), '[^\p{{L}}\p{{N}}]', '', 'g') = '{"".join(TERMS)}', false) AS witness FROM rows),
