@@ -1,10 +1,11 @@
 """Fingerprints by randomised edit embedding.
 
-A random walk, shared by all texts, reads a character at each step and moves on or stays by a bit that depends on the step
-and the character (Chakraborty, Goldenberg and Koucky, 2016). Texts a few edits apart fall back into step, so their edit
-distance bounds the Hamming distance of what the walks read. A fingerprint samples the walk at 256 shared steps on two
-scales: that of the text's length, rounded up to a power of two, and the next. Each sample keeps four bits, 0 after the
-text's end. Likeness is the share of equal samples, where not both texts have ended, less what agrees by chance.
+Random walks, shared by all texts, read a character at each step and move on or stay by a bit that depends on the step and the
+character (Chakraborty, Goldenberg and Koucky, 2016). Texts a few edits apart fall back into step, so their edit distance
+bounds the Hamming distance of what a walk reads. A fingerprint samples each of WALKS walks at 256 shared steps on two scales:
+that of the text's length, rounded up to a power of two, and the next. Each sample keeps four bits, 0 after the text's end.
+Likeness is the share of equal samples, where not both texts have ended, less what agrees by chance, of the walk by which the
+texts are most alike: a single walk takes long to fall into step now and then.
 
 `near_texts` samples bands: each takes the first PICKS samples, in a shuffled order of its own, at which the text has not
 ended. Texts that share a band's samples meet the smallest id among them, and likeness verifies. Where one is unlike that, all
@@ -42,9 +43,10 @@ TOGETHER = 32
 #: Characters of texts that walk at once.
 CROWD = 8 << 20
 NONE = -(2**63)
+WALKS = 2
 _rng = np.random.default_rng(424_242)
-_MOVES = _rng.integers(0, 2, (PERIOD, 256), dtype=np.int32)
-_MOVES[:, 0] = 0
+_MOVES = _rng.integers(0, 2, (WALKS, PERIOD, 256), dtype=np.int32)
+_MOVES[:, :, 0] = 0
 _SYMBOL = np.concatenate([[0], _rng.integers(1, 16, 255)]).astype(np.uint8)
 
 
@@ -78,13 +80,14 @@ def _walk_alone(text: np.ndarray, wanted: np.ndarray, at: int, begin: int, out:
             todo += 1
 
 
-_BYTES: list[bytes] = []
+_BYTES: list[list[bytes]] = []
 
 
-def _walked(texts: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
-    """The classes that each text's walk reads at the wanted (sorted) steps, 0 after its end."""
+def _walked(texts: list[np.ndarray], wanted: np.ndarray, walk: int) -> np.ndarray:
+    """The classes that a walk over each text reads at the wanted (sorted) steps, 0 after its end."""
     if not _BYTES:
-        _BYTES.extend(row.astype(np.uint8).tobytes() for row in _MOVES)
+        _BYTES.extend([row.astype(np.uint8).tobytes() for row in own] for own in _MOVES)
+    moves = _MOVES[walk]
     out = np.zeros((len(texts), len(wanted)), np.uint8)
     flat = np.concatenate(texts)
     sizes = np.array([len(t) for t in texts])
@@ -97,7 +100,7 @@ def _walked(texts: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
             read, move = np.empty(len(live), np.uint8), np.empty(len(live), np.int32)
             for j in range(step, stop):
                 np.take(flat, at, out=read, mode="clip")
-                np.take(_MOVES[j % PERIOD], read, out=move, mode="clip")
+                np.take(moves[j % PERIOD], read, out=move, mode="clip")
                 np.add(at, move, out=at)
             step = stop
             ended = at >= last[live]
@@ -105,14 +108,14 @@ def _walked(texts: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
                 live, at = live[~ended], at[~ended]
         if len(live) < TOGETHER:
             for x, p in zip(live.tolist(), at.tolist()):
-                _walk_alone(texts[x], wanted, p - int(first[x]), step, out[x], _BYTES)
+                _walk_alone(texts[x], wanted, p - int(first[x]), step, out[x], _BYTES[walk])
             break
         out[live, k] = flat[at]
     return out
 
 
 def prints(texts: list[str]) -> list[str]:
-    """The fingerprint of each text: its level, and the samples of the level and the next, in hex."""
+    """The fingerprint of each text: its level, and of each walk the samples of the level and the next, in hex."""
     found: dict[str, str] = {}
     by: dict[int, list[str]] = {}
     for t in dict.fromkeys(texts):
@@ -126,11 +129,12 @@ def prints(texts: list[str]) -> list[str]:
             size += len(t)
             if size >= CROWD or i == len(own) - 1:
                 part = own[begin : i + 1]
-                symbols = _SYMBOL[_walked([classes(x) for x in part], wanted)][:, pick]
-                packed = symbols[:, ::2] << 4 | symbols[:, 1::2]
-                for x, row in zip(part, packed):
+                read = [classes(x) for x in part]
+                symbols = np.concatenate([_SYMBOL[_walked(read, wanted, w)][:, pick] for w in range(WALKS)], axis=1)
+                halves = symbols[:, ::2] << 4 | symbols[:, 1::2]
+                for x, row in zip(part, halves):
                     h = row.tobytes().hex()
-                    found[x] = f"{at:02d}:{h[:SAMPLES]}:{h[SAMPLES:]}"
+                    found[x] = ":".join([f"{at:02d}", *(h[k : k + SAMPLES] for k in range(0, len(h), SAMPLES))])
                 size, begin = 0, i + 1
     return [found[t] for t in texts]
 
@@ -143,11 +147,13 @@ def likeness(a: str, b: str) -> float:
     gap = int(high[0]) - int(low[0])
     if gap > 1:
         return 0.0
-    p, q = (np.frombuffer(s.encode(), np.uint8) for s in (low[1 + gap], high[1]))
-    told = (p != 48) | (q != 48)
-    if not told.any():
-        return 0.0
-    return float(max(0.0, ((p == q)[told].mean() - CHANCE) / (1 - CHANCE)))
+    out = 0.0
+    for w in range(WALKS):
+        p, q = (np.frombuffer(s.encode(), np.uint8) for s in (low[1 + 2 * w + gap], high[1 + 2 * w]))
+        told = (p != 48) | (q != 48)
+        if told.any():
+            out = max(out, float(((p == q)[told].mean() - CHANCE) / (1 - CHANCE)))
+    return out
 
 
 def edited(text: str, following: str) -> str:
@@ -254,45 +260,45 @@ def fingerprints(docs: DataFrame, buckets: int | None = None, near: DataFrame |
     return rows.repartition(parts, "bucket").sortWithinPartitions(*order).mapInArrow(_printed, _RESULT)
 
 
-#: Bands of each of the two scales, and samples that make one.
-BANDS, PICKS = 12, 12
+#: Bands of each scale of each walk, and samples that make one.
+BANDS, PICKS = 8, 12
 #: Texts of a band key that a task compares with each other, or with as many others.
 BLOCK = 1024
 _picks = np.random.default_rng(31_337)
 _ORDER = np.array([_picks.permutation(SAMPLES) for _ in range(BANDS)])
-_WORTH = _picks.integers(0, 2**64, (BANDS, SAMPLES, 16), dtype=np.uint64)
+_WORTH = _picks.integers(0, 2**64, (WALKS, BANDS, SAMPLES, 16), dtype=np.uint64)
 
 
 def _symbols(prints_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Levels, and the samples of both scales, of packed fingerprints."""
-    raw = np.frombuffer(b"".join(prints_), np.uint8).reshape(len(prints_), 1 + SAMPLES)
-    halves = raw[:, 1:].reshape(len(prints_), 2, SAMPLES // 2)
-    return raw[:, 0].astype(np.int64), np.stack([halves >> 4, halves & 15], axis=3).reshape(len(prints_), 2, SAMPLES)
+    """Levels, and the samples by walk and scale, of packed fingerprints."""
+    raw = np.frombuffer(b"".join(prints_), np.uint8).reshape(len(prints_), 1 + WALKS * SAMPLES)
+    halves = raw[:, 1:].reshape(len(prints_), WALKS, 2, SAMPLES // 2)
+    return raw[:, 0].astype(np.int64), np.stack([halves >> 4, halves & 15], axis=4).reshape(len(prints_), WALKS, 2, SAMPLES)
 
 
 def packed(fingerprint: str) -> bytes:
-    level_, here, above = fingerprint.split(":")
-    return bytes([int(level_)]) + bytes.fromhex(here + above)
+    level_, *samples = fingerprint.split(":")
+    return bytes([int(level_)]) + bytes.fromhex("".join(samples))
 
 
 def band_keys(prints_: list[bytes]) -> np.ndarray:
-    """A row of 2 x BANDS keys for each packed fingerprint. A scale's keys are the same for texts of the level and the next."""
+    """A row of WALKS x 2 x BANDS keys for each packed fingerprint. A scale's keys are the same for texts of the level and the next."""
     levels, samples = _symbols(prints_)
-    out = np.empty((len(prints_), 2, BANDS), np.uint64)
-    for scale in (0, 1):
-        worth = levels + scale
-        for band in range(BANDS):
-            order = _ORDER[band]
-            own = samples[:, scale][:, order]
-            live = own > 0
-            taken = live & (np.cumsum(live, axis=1) <= PICKS)
-            out[:, scale, band] = np.where(taken, _WORTH[band, order, own], 0).sum(axis=1, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15) * (worth * BANDS + band + 1).astype(np.uint64)
+    out = np.empty((len(prints_), WALKS, 2, BANDS), np.uint64)
+    for walk in range(WALKS):
+        for scale in (0, 1):
+            for band, order in enumerate(_ORDER):
+                own = samples[:, walk, scale][:, order]
+                live = own > 0
+                taken = live & (np.cumsum(live, axis=1) <= PICKS)
+                place = ((levels + scale) * WALKS + walk) * BANDS + band + 1
+                out[:, walk, scale, band] = np.where(taken, _WORTH[walk, band, order, own], 0).sum(axis=1, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15) * place.astype(np.uint64)
     return out.reshape(len(prints_), -1).view(np.int64)
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, print) from rows (id, text)."""
-    for batch in pieces(batches, 2048, 4 << 20):
+    """(id, print) from rows (id, text). Many texts walk together."""
+    for batch in pieces(batches, 1 << 14, CROWD):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(packed, prints(batch.column(1).to_pylist())), pa.binary())], ["id", "print"])
 
 
@@ -338,11 +344,12 @@ def _compared(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """The likeness of pairs of packed fingerprints."""
     (la, sa), (lb, sb) = _symbols(a), _symbols(b)
     gap, rows = lb - la, np.arange(len(a))
-    mine, theirs = sa[rows, np.clip(gap, 0, 1)], sb[rows, np.clip(-gap, 0, 1)]
+    mine, theirs = sa[rows, :, np.clip(gap, 0, 1)], sb[rows, :, np.clip(-gap, 0, 1)]  # by walk
     told = (mine > 0) | (theirs > 0)
-    n = told.sum(axis=1)
-    share = ((mine == theirs) & told).sum(axis=1) / np.maximum(n, 1)
-    out = np.where((np.abs(gap) > 1) | (n == 0), 0.0, np.maximum(0.0, (share - CHANCE) / (1 - CHANCE)))
+    n = told.sum(axis=2)
+    share = ((mine == theirs) & told).sum(axis=2) / np.maximum(n, 1)
+    best = np.where(n == 0, 0.0, np.maximum(0.0, (share - CHANCE) / (1 - CHANCE))).max(axis=1)
+    out = np.where(np.abs(gap) > 1, 0.0, best)
     return np.where([x == y for x, y in zip(a, b)], 1.0, out)
 
 
