@@ -221,9 +221,9 @@ class Engine:
         seeds = self.spark.createDataFrame([(self._one(reference),)], "seed string")
         return graph.impact(self.calls(), seeds, min(depth, 8), budget=graph.IMPACT_NODES)
 
-    def changes_impact(self, diff: DataFrame, depth: int = 2, most_files: int | None = 64) -> DataFrame:
-        """What reaches the symbols that a diff (diff, n, body) touches; of its files the first so many, or all for None."""
-        runs = intervals.added_runs(diff)
+    def changes_impact(self, diff: str, depth: int = 2, most_files: int | None = 64) -> DataFrame:
+        """What reaches the symbols that a unified diff touches; of its files the first so many, or all for None."""
+        runs = intervals.added_runs(repository.diff_lines(self.spark.createDataFrame([(0, diff)], "diff int, text string")))
         if most_files is not None:
             runs = runs.join(runs.select("file").distinct().orderBy("file").limit(most_files), "file", "left_semi")
         changed = intervals.changed_symbols(runs, self.symbols()).select("fqn").distinct()

@@ -222,3 +222,12 @@ def area_markdown(areas: DataFrame, most: int = 5) -> DataFrame:
     listed = top.groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", item.alias("x")))), lambda y: y["x"]), "\n").alias("list"))
     head = F.concat(F.lit("## "), "component", F.lit("\n"), F.col("symbols").cast("string"), F.lit(" symbols in "), F.col("files").cast("string"), F.lit(" files\n"))
     return listed.join(total, "component").select("component", F.concat(head, F.col("list")).alias("text"))
+
+
+def listed(rows: DataFrame, group: str, name: str, most: int) -> DataFrame:
+    """(group, names): the first so many names of each group, and how many more there are."""
+    by = Window.partitionBy(group)
+    told = rows.withColumn("r_", F.row_number().over(by.orderBy(name)))
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r_") <= most, F.struct("r_", F.col(name).alias("n"))))), lambda x: x["n"]), ", ")
+    left = F.count("*") - most
+    return told.groupBy(group).agg(F.concat(shown, F.when(left > 0, F.concat(F.lit(" +"), left.cast("string"), F.lit(" more"))).otherwise("")).alias("names"))

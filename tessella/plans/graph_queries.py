@@ -39,19 +39,19 @@ def strongest_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.strongest(t.calls(spark, sf_dir)).select("in_name", "out_name", "confidence")
 
 
-def _levels(seeds: str, depth: int) -> str:
+def levels(seeds: str, depth: int) -> str:
     return f"""WITH RECURSIVE {t.CALLS}, e AS (SELECT DISTINCT in_name, out_name FROM calls), seed AS ({seeds}),
         r AS (SELECT seed, seed AS fqn, 0 AS depth FROM seed UNION SELECT r.seed, e.in_name, r.depth + 1 FROM r JOIN e ON e.out_name = r.fqn WHERE r.depth < {depth}),
         lv AS (SELECT seed, fqn, min(depth)::INT AS depth FROM r GROUP BY 1, 2 HAVING min(depth) > 0)"""
 
 
-@query("impact_levels", _levels("SELECT 'p:1' AS seed", 3) + " SELECT fqn, depth FROM lv")
-def impact_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("impact_levels", levels("SELECT 'p:1' AS seed", 3) + " SELECT fqn, depth FROM lv")
+def impactlevels(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.createDataFrame([("p:1",)], "seed string")
     return graph.impact(t.calls(spark, sf_dir), seeds).select("fqn", "depth")
 
 
-@query("impact_budget", _levels("SELECT 'p:1' AS seed UNION ALL SELECT 'p:2'", 3) + " SELECT seed, fqn, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, fqn) AS r FROM lv) WHERE r <= 60")
+@query("impact_budget", levels("SELECT 'p:1' AS seed UNION ALL SELECT 'p:2'", 3) + " SELECT seed, fqn, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, fqn) AS r FROM lv) WHERE r <= 60")
 def impact_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sixty nearest of what reaches each of two parts; a report shows 512."""
     return graph.impact(t.calls(spark, sf_dir), spark.createDataFrame([("p:1",), ("p:2",)], "seed string"), budget=60)
@@ -60,12 +60,12 @@ def impact_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEEDS = [f"p:{i}" for i in range(1, 9)]
 
 
-@query("impact_multi_seed", _levels("SELECT unnest([" + ", ".join(f"'{s}'" for s in _SEEDS) + "]) AS seed", 2) + " SELECT seed, fqn, depth FROM lv")
+@query("impact_multi_seed", levels("SELECT unnest([" + ", ".join(f"'{s}'" for s in _SEEDS) + "]) AS seed", 2) + " SELECT seed, fqn, depth FROM lv")
 def impact_multi_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.impact(t.calls(spark, sf_dir), spark.createDataFrame([(s,) for s in _SEEDS], "seed string"), 2)
 
 
-@query("impact_top_files", _levels("SELECT 'p:1' AS seed", 3) + f", {t.SYMBOL} SELECT file, count(*) AS n FROM lv JOIN symbol USING (fqn) GROUP BY file ORDER BY n DESC, file LIMIT 5")
+@query("impact_top_files", levels("SELECT 'p:1' AS seed", 3) + f", {t.SYMBOL} SELECT file, count(*) AS n FROM lv JOIN symbol USING (fqn) GROUP BY file ORDER BY n DESC, file LIMIT 5")
 def impact_top_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.impact(t.calls(spark, sf_dir), spark.createDataFrame([("p:1",)], "seed string"))
     return found.join(t.symbols(spark, sf_dir), "fqn").groupBy("file").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "file").limit(5)

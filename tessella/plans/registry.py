@@ -36,4 +36,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tessella.plans import answer_queries, extract_queries, graph_queries, index_queries, interval_queries, resolve_queries, search_queries, serving_queries, stream_queries, upkeep_queries, vector_queries  # noqa: F401
+    from tessella.plans import answer_queries, case_queries, extract_queries, graph_queries, index_queries, interval_queries, resolve_queries, search_queries, serving_queries, stream_queries, upkeep_queries, vector_queries  # noqa: F401

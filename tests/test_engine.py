@@ -60,6 +60,8 @@ def test_verbs(engine):
     assert short and not any(r.whole for r in short) and all("\n" not in r.body for r in short)
     assert [r.path for r in engine.trace("checkout", "unit_price").collect()] == ["shop/cart.py::Cart::checkout > shop/price.py::total_price > shop/price.py::unit_price"]
     assert {r.fqn: r.depth for r in engine.impact("unit_price").collect()} == {"shop/price.py::total_price": 1, "shop/cart.py::Cart::checkout": 2}
+    diff = "--- a/shop/price.py\n+++ b/shop/price.py\n@@ -5,2 +5,2 @@ def unit_price(item):\n def unit_price(item):\n-    return item.cost\n+    return item.price\n"
+    assert {r.fqn for r in engine.changes_impact(diff).collect()} == {"shop/price.py::total_price", "shop/cart.py::Cart::checkout"}
     text = engine.context("charge_card").first().text
     assert "shop/cart.py:10-12" in text and "[callers: checkout" in text
     with pytest.raises(LookupError, match="no symbol"):
