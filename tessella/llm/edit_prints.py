@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,8 @@ WALKS = 2
 _rng = np.random.default_rng(424_242)
 _MOVES = _rng.integers(0, 2, (WALKS, PERIOD, 256), dtype=np.int32)
 _MOVES[:, :, 0] = 0
+#: The moves of all walks at each step, one walk's behind the other's.
+_ALL = np.ascontiguousarray(_MOVES.transpose(1, 0, 2).reshape(PERIOD, -1))
 _SYMBOL = np.concatenate([[0], _rng.integers(1, 16, 255)]).astype(np.uint8)
 
 
@@ -83,24 +86,26 @@ def _walk_alone(text: np.ndarray, wanted: np.ndarray, at: int, begin: int, out:
 _BYTES: list[list[bytes]] = []
 
 
-def _walked(texts: list[np.ndarray], wanted: np.ndarray, walk: int) -> np.ndarray:
-    """The classes that a walk over each text reads at the wanted (sorted) steps, 0 after its end."""
+def _walked(texts: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """The classes that each walk over each text reads at the wanted (sorted) steps, 0 after its end, by walk and text.
+
+    The walks of all texts go on together: the texts lie behind each other once for each walk, where a class is larger by 256."""
     if not _BYTES:
         _BYTES.extend([row.astype(np.uint8).tobytes() for row in own] for own in _MOVES)
-    moves = _MOVES[walk]
-    out = np.zeros((len(texts), len(wanted)), np.uint8)
-    flat = np.concatenate(texts)
-    sizes = np.array([len(t) for t in texts])
+    n, once = len(texts), np.concatenate(texts).astype(np.uint16)
+    out = np.zeros((WALKS * n, len(wanted)), np.uint8)
+    flat = np.concatenate([once + np.uint16(256 * w) for w in range(WALKS)])
+    sizes = np.tile([len(t) for t in texts], WALKS)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     last = first + sizes - 1
-    live, at, step = np.arange(len(texts)), first.astype(np.int32), 0
+    live, at, step = np.arange(WALKS * n), first.astype(np.int32), 0
     for k, to in enumerate(wanted.tolist()):
         while step < to and len(live) >= TOGETHER:
             stop = min(to, step + 128)
-            read, move = np.empty(len(live), np.uint8), np.empty(len(live), np.int32)
+            read, move = np.empty(len(live), np.uint16), np.empty(len(live), np.int32)
             for j in range(step, stop):
                 np.take(flat, at, out=read, mode="clip")
-                np.take(moves[j % PERIOD], read, out=move, mode="clip")
+                np.take(_ALL[j % PERIOD], read, out=move, mode="clip")
                 np.add(at, move, out=at)
             step = stop
             ended = at >= last[live]
@@ -108,10 +113,10 @@ def _walked(texts: list[np.ndarray], wanted: np.ndarray, walk: int) -> np.ndarra
                 live, at = live[~ended], at[~ended]
         if len(live) < TOGETHER:
             for x, p in zip(live.tolist(), at.tolist()):
-                _walk_alone(texts[x], wanted, p - int(first[x]), step, out[x], _BYTES[walk])
+                _walk_alone(texts[x % n], wanted, p - int(first[x]), step, out[x], _BYTES[x // n])
             break
-        out[live, k] = flat[at]
-    return out
+        out[live, k] = flat[at] & 255
+    return out.reshape(WALKS, n, -1)
 
 
 def prints(texts: list[str]) -> list[str]:
@@ -130,7 +135,7 @@ def prints(texts: list[str]) -> list[str]:
             if size >= CROWD or i == len(own) - 1:
                 part = own[begin : i + 1]
                 read = [classes(x) for x in part]
-                symbols = np.concatenate([_SYMBOL[_walked(read, wanted, w)][:, pick] for w in range(WALKS)], axis=1)
+                symbols = np.concatenate([_SYMBOL[own][:, pick] for own in _walked(read, wanted)], axis=1)
                 halves = symbols[:, ::2] << 4 | symbols[:, 1::2]
                 for x, row in zip(part, halves):
                     h = row.tobytes().hex()
@@ -166,16 +171,21 @@ _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (bucket, tail, id, place, text, near_id) in descending order of id within each bucket, the tail last.
-
-    A row without a text, before those of its id, has the id's near_id."""
-
-    def out(run: list[tuple[int, str, int | None]], following: list[str]) -> pa.RecordBatch:
-        own = [t for _, t, _ in run]
-        changed = [edited(t, f) for t, f in zip(own, following)]
-        every = prints([*own, *changed, *following])
-        n = len(run)
-        mine, theirs, after = every[:n], every[n : 2 * n], every[2 * n :]
+    """From rows (bucket, tail, id, data, near_id, mark, print) in descending order of id within each bucket, the tail last.
+
+    Rows without data, before those of their id, have its near_id, or the fingerprint of its text of that mark."""
+    run: list[tuple[int, str, int | None, str | None]] = []
+    following: list[tuple[str, str | None]] = []
+
+    def out() -> pa.RecordBatch:
+        own, n = [t for _, t, *_ in run], len(run)
+        changed = [edited(t, f) for t, (f, _) in zip(own, following)]
+        wanted = [*((t, p) for _, t, _, p in run), *following]
+        unknown = [t for t, p in wanted if p is None]
+        made = prints([*changed, *unknown])
+        theirs, rest = made[:n], iter(made[n:])
+        every = [p or next(rest) for _, p in wanted]
+        mine, after = every[:n], every[n:]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([None if i == NONE else i for i, *_ in run], pa.int64()),
@@ -185,68 +195,80 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(theirs),
                 pa.array(map(likeness, mine, theirs), pa.float64()),
                 pa.array(map(likeness, mine, after), pa.float64()),
-                pa.array([x for *_, x in run], pa.int64()),
+                pa.array([x for _, _, x, _ in run], pa.int64()),
             ],
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id"],
         )
 
-    run: list[tuple[int, str, int | None]] = []
-    following: list[str] = []
     size, last, bucket = 0, None, None
-    near: tuple[int, int] | None = None
+    told, near, known = None, None, {}
     for batch in pieces(batches, 1024, 4 << 20):
-        for b, tail, i, data, other in zip(*(c.to_pylist() for c in batch.columns)):
+        for b, tail, i, data, other, mark, print_ in zip(*(c.to_pylist() for c in batch.columns)):
+            if i != told:
+                told, near, known = i, None, {}
             if data is None:
-                near = i, other
+                if print_ is None:
+                    near = other
+                else:
+                    known[mark] = unpacked(print_)
                 continue
-            text = _UNPACK.decompress(data).decode("utf-8", "surrogatepass")
+            raw = _UNPACK.decompress(data)
+            text, print_ = raw.decode("utf-8", "surrogatepass"), known.get(_mark(raw)) if known else None
             if b != bucket:
                 bucket, last = b, None
             if last is not None:
                 run.append(last)
-                following.append(text)
+                following.append((text, print_))
                 size += len(last[1])
-            last = None if tail else (i, text, near[1] if near and near[0] == i else None)
+            last = None if tail else (i, text, near, print_)
             if size >= CROWD:
-                yield out(run, following)
-                run, following, size = [], [], 0
+                yield out()
+                run.clear()
+                following.clear()
+                size = 0
     if run:
-        yield out(run, following)
+        yield out()
 
 
 _UNPACK = zstandard.ZstdDecompressor()
-_ROWS = "bucket int, tail boolean, id long, data binary, near_id long"
+_ROWS = "bucket int, tail boolean, id long, data binary, near_id long, mark long, print binary"
+
+
+def _mark(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw) - (1 << 63)
 
 
 def _placed(cuts: np.ndarray):
-    """Rows (id, text) or (id, near_id), with text compressed, by the range of their id; a range's last cut also ends the one before."""
+    """Rows (id, text), (id, near_id) or (id, mark, print), with text compressed, by the range of their id; the text of a range's last cut also ends the one before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
+        names = [c.split()[0] for c in _ROWS.split(", ")]
         for batch in pieces(batches, 4096, 4 << 20):
-            ids = batch.column(0).to_numpy()
+            ids, n = batch.column(0).to_numpy(), batch.num_rows
             at = np.searchsorted(cuts, ids).astype(np.int32)
-            whole = pa.types.is_string(batch.column(1).type) or pa.types.is_large_string(batch.column(1).type)
-            if whole:
-                data, near = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.nulls(len(ids), pa.int64())
-                also = np.flatnonzero(cuts[at] == ids)
-            else:
-                data, near, also = [None] * len(ids), batch.column(1), np.zeros(0, np.int64)
-            rows = pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(ids), bool)), pa.array(ids), pa.array(data, pa.binary()), near], ["bucket", "tail", "id", "data", "near_id"])
-            yield rows
+            more = {"data": pa.nulls(n, pa.binary()), "near_id": pa.nulls(n, pa.int64()), "mark": pa.nulls(n, pa.int64()), "print": pa.nulls(n, pa.binary())}
+            own = dict(zip(batch.schema.names[1:], batch.columns[1:]))
+            text = own.pop("text", None)
+            more |= own
+            if text is not None:
+                data = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in text.to_pylist()]
+                more["data"] = pa.array(data, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(n, bool)), pa.array(ids), *(more[c] for c in names[3:])], names)
+            also = np.flatnonzero(cuts[at] == ids) if text is not None else ()
             if len(also):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((at[also] + 1) % len(cuts), pa.int32()), pa.array(np.ones(len(also), bool)), pa.array(ids[also]), pa.array([data[k] for k in also], pa.binary()), pa.nulls(len(also), pa.int64())], rows.schema.names
-                )
+                nulls = [pa.nulls(len(also), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array((at[also] + 1) % len(cuts), pa.int32()), pa.array(np.ones(len(also), bool)), pa.array(ids[also]), pa.array([data[k] for k in also], pa.binary()), *nulls], names)
 
     return run
 
 
-def fingerprints(docs: DataFrame, buckets: int | None = None, near: DataFrame | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, buckets: int | None = None, near: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document in descending order of id.
 
     Ids are cut into ranges at ids that occur. A range's first document also goes to the range before, as its tail, so that
-    each range is worked on alone; texts travel once, compressed. near: (id, near_id), to be handed on with their documents."""
+    each range is worked on alone; texts travel once, compressed. near: (id, near_id), to be handed on with their documents;
+    known: (id, mark, print), fingerprints that need not be made again."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -254,8 +276,9 @@ def fingerprints(docs: DataFrame, buckets: int | None = None, near: DataFrame |
     marks = docs.agg(F.percentile_approx("id", F.lit([float(k / n) for k in range(1, n + 1)]), 20_000).alias("m"), F.max("id").alias("top")).first()
     cuts = np.array(sorted({*(marks["m"] or []), *([marks["top"]] if marks["top"] is not None else [])}), dtype=np.int64)
     rows = docs.mapInArrow(_placed(cuts), _ROWS)
-    if near is not None:
-        rows = rows.unionByName(near.select("id", "near_id").mapInArrow(_placed(cuts), _ROWS))
+    for more, columns in ((near, ("id", "near_id")), (known, ("id", "mark", "print"))):
+        if more is not None:
+            rows = rows.unionByName(more.select(*columns).mapInArrow(_placed(cuts), _ROWS))
     order = ["bucket", "tail", F.desc("id"), F.asc_nulls_first("data")]
     return rows.repartition(parts, "bucket").sortWithinPartitions(*order).mapInArrow(_printed, _RESULT)
 
@@ -281,6 +304,11 @@ def packed(fingerprint: str) -> bytes:
     return bytes([int(level_)]) + bytes.fromhex("".join(samples))
 
 
+def unpacked(print_: bytes) -> str:
+    h = print_[1:].hex()
+    return ":".join([f"{print_[0]:02d}", *(h[k : k + SAMPLES] for k in range(0, len(h), SAMPLES))])
+
+
 def band_keys(prints_: list[bytes]) -> np.ndarray:
     """A row of WALKS x 2 x BANDS keys for each packed fingerprint. A scale's keys are the same for texts of the level and the next."""
     levels, samples = _symbols(prints_)
@@ -297,9 +325,11 @@ def band_keys(prints_: list[bytes]) -> np.ndarray:
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, print) from rows (id, text). Many texts walk together."""
+    """(id, mark, print) from rows (id, text). Many texts walk together."""
     for batch in pieces(batches, 1 << 14, CROWD):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(packed, prints(batch.column(1).to_pylist())), pa.binary())], ["id", "print"])
+        texts = batch.column(1).to_pylist()
+        marks = [_mark(t.encode("utf-8", "surrogatepass")) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(map(packed, prints(texts)), pa.binary())], ["id", "mark", "print"])
 
 
 def _firsts(batch: pa.RecordBatch) -> dict[bytes, list[int]]:
@@ -399,8 +429,9 @@ def _linked(least: float):
 
 
 def printed(docs: DataFrame) -> DataFrame:
-    """(id, print): the packed fingerprint of each text that has an id."""
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_own, "id long, print binary")
+    """(id, mark, print): the packed fingerprint of each text that has an id, and a number that tells its texts apart."""
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return own.mapInArrow(_own, "id long, mark long, print binary")
 
 
 def near_texts(prints_: DataFrame, least: float = 0.8) -> DataFrame:
@@ -425,15 +456,16 @@ def near_texts(prints_: DataFrame, least: float = 0.8) -> DataFrame:
     return same.unionByName(links).unionByName(found).where("doc_id <> near_id").distinct()
 
 
-def grouped(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(id, near_id) of each text that is near another: the smallest id that links lead to, itself included."""
-    links = near_texts(written(printed(docs), "prints"), least)
+def grouped(prints_: DataFrame, least: float = 0.8) -> DataFrame:
+    """(id, near_id) of each text of a written table (id, print) that is near another: the smallest id that links lead to, itself included."""
+    links = near_texts(prints_.select("id", "print"), least)
     return components(links.select(F.col("doc_id").alias("u"), F.col("near_id").alias("v"))).select("id", F.col("component").alias("near_id"))
 
 
 def op3_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return fingerprints(docs, near=grouped(docs))
+    own = written(printed(docs), "prints")
+    return fingerprints(docs, near=grouped(own), known=own)
 
 
 QUERIES = {"op3_edit_embedding": op3_edit_embedding}

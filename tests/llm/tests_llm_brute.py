@@ -1,7 +1,6 @@
 """Brute-force versions that several tests share."""
 
 import re
-from collections import defaultdict
 
 from tessella.llm import exact_dedup
 
