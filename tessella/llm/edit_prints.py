@@ -443,6 +443,9 @@ def near_texts(prints_: DataFrame, least: float = 0.8) -> DataFrame:
     same = prints_.mapInArrow(_copies, "id long, pivot long").select(F.col("id").alias("doc_id"), F.col("pivot").alias("near_id"), F.lit(1.0).alias("likeness"))
     members = written(prints_.mapInArrow(_banded, "key long, id long").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_paired, "key long, id long, pivot long"), "members")
     pairs = members.select("id", "pivot").distinct()
+    # fingerprints of all texts are dealt once, to find those that share a band
+    met_ = members.select(F.explode(F.array("id", "pivot")).alias("id")).distinct()
+    prints_ = written(prints_.join(met_, "id", "left_semi"), "met")
     both = pairs.join(prints_, "id").join(prints_.select(F.col("id").alias("pivot"), F.col("print").alias("other")), "pivot").select("id", "pivot", "print", "other")
     verified = written(both.mapInArrow(_verified, "doc_id long, near_id long, likeness double").groupBy("doc_id", "near_id").agg(F.max("likeness").alias("likeness")), "verified")
     links = verified.where(F.col("likeness") >= least)

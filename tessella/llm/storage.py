@@ -1,5 +1,5 @@
 """Tables that outlive an executor, in the folder that the cluster shares."""
 
-from tessella.sources.shared import new_path, purge, shared_dir, sized, written
+from tessella.sources.shared import new_path, purge, shared_dir, sized, small_batches, written
 
-__all__ = ["new_path", "purge", "shared_dir", "sized", "written"]
+__all__ = ["new_path", "purge", "shared_dir", "sized", "small_batches", "written"]
