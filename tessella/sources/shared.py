@@ -53,6 +53,19 @@ def sized(df: DataFrame) -> DataFrame:
     return df.coalesce(min(2**31 - 1, max(1, math.ceil(read / TASK_BYTES), min(cores, math.ceil(read / LEAST_BYTES)))))
 
 
+#: Bytes and rows of a batch that goes to Python, where the session has no smaller ones.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what an executor and its Python workers hold of a batch, each more than once: by default that is 10,000 rows of whatever size."""
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as Parquet in the shared folder, read again: its lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
