@@ -38,7 +38,7 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 #: Bytes of its input that a task should have where there is enough for all cores, and tasks that each core should get if
 #: each has so many bytes at least.
-TASK_BYTES, WAVES, LEAST_BYTES = 8 << 20, 2, 1 << 20
+TASK_BYTES, WAVES, LEAST_BYTES = 32 << 20, 2, 1 << 20
 
 
 def sized(df: DataFrame) -> DataFrame:
