@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import exact_dedup, language, minhash, mixing, packing
-from tessella.llm.storage import sized, written
+from tessella.llm.storage import sized, small_batches, written
 
 #: Of all tokens that reach the mix, the part that it is given, and the power of their tokens by which domains, languages and
 #: sources are weighed: below 1 it takes from the large for the small.
@@ -16,22 +16,27 @@ MIX_PART, MIX_POWER = 0.9, 0.7
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return sized(language.accepted(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return sized(exact_dedup.survivors(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return sized(minhash.representatives(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return sized(mixing.mixed(docs, MIX_PART, MIX_POWER))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return sized(packing.pack(docs))
 
 
