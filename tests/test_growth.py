@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from tessella.functions import text
+from tessella.sources import repository, shared
 
 
 def test_a_summary_of_a_long_output_takes_its_lines_once(spark):
@@ -14,3 +15,17 @@ def test_a_summary_of_a_long_output_takes_its_lines_once(spark):
     got = spark.range(1).select(output.alias("out")).select(text.result_summary(F.lit("a"), F.col("out")).alias("s")).first().s
     assert got == "search: a\n" + "\n".join(f"- a.py#L{k}-9  (1: x)" for k in range(1, 9))
     assert time.monotonic() - begin < 30
+
+
+def test_keys_of_one_file_are_dealt_over_tasks(spark):
+    keys = spark.range(5_000).coalesce(1)
+    dealt = shared.dealt(keys)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 5 and sum(sizes) == 5_000 and max(sizes) < 2_000
+
+
+def test_references_parse_each_text_once(spark):
+    files = spark.createDataFrame([("a.py", "import os\ndef f(x):\n    return os.getenv(x)\n")], "file string, text string")
+    found = repository.references(repository.extracted(files))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    assert {(r.to_name, r.flow_type, r.confidence) for r in found.collect()} == {("getenv", None, None), ("getenv", "data_flows_to", 0.75), ("getenv", "data_flows_to", None), ("taint:source:env", "taint_source", 0.95)}
