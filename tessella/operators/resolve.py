@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.paths import is_generated, language, parent, slashed
+from tessella.sources.shared import written
 
 #: By language, what an import may end in, in order.
 PROBES = {
@@ -48,6 +49,14 @@ def tries(imports: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "whole", "base_", F.posexplode(endings[lang]).alias("rank", "ending_")).select(*keep, "rank", F.concat("base_", "ending_").alias("suffix"), "whole")
 
 
+def _tried(asked: DataFrame) -> DataFrame:
+    """(import_path, from_file, rank, suffix, whole): the endings of each path and importing file of the rows asked, each pair once.
+
+    Pairs are written first: a filter on endings would be moved below their distinct, and endings be made for every row."""
+    pairs = written(asked.where("import_path is not null").select("import_path", "from_file").distinct(), "pairs")
+    return written(tries(pairs.withColumn("path_", F.col("import_path")), ["path_", "from_file"]).withColumnRenamed("path_", "import_path"), "tries")
+
+
 def _tail(path: Column) -> Column:
     """What follows the first slash: the part of a suffix that must equal a path's last components. Null without a slash."""
     return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "^[^/]*/", ""))
@@ -79,12 +88,15 @@ def best_ending(wanted: DataFrame, places: DataFrame, order: Column) -> DataFram
 
 def import_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports (import_id, import_path, from_file) with file: the first ending that some file has, and of its files the least."""
-    wanted = tries(imports, ["import_id"])
+    key = ["import_path", "from_file"]
+    wanted = _tried(imports)
     every = files.select("file").distinct()
-    whole = wanted.where("whole").join(every, F.col("suffix") == F.col("file")).select("import_id", "rank", "file")
-    loose = wanted.where("not whole").join(_suffix_files(wanted.where("not whole").select("suffix").distinct(), every), "suffix").select("import_id", "rank", "file")
-    best = whole.unionByName(loose).groupBy("import_id").agg(F.min(F.struct("rank", "file")).alias("b"))
-    return imports.join(best, "import_id").select(*imports.columns, F.col("b.file").alias("file"))
+    got = [*key, "rank", "file"]
+    whole = wanted.where("whole").join(every, F.col("suffix") == F.col("file")).select(*got)
+    loose = wanted.where("not whole").join(_suffix_files(wanted.where("not whole").select("suffix").distinct(), every), "suffix").select(*got)
+    best = whole.unionByName(loose).groupBy(*key).agg(F.min(F.struct("rank", "file")).alias("b"))
+    # what is alike in path and importing file is looked up once; written, so that a small table is known to be small
+    return imports.join(written(best.select(*key, "b.file"), "found"), key).select(*imports.columns, "file")
 
 
 def _suffix_files(wanted: DataFrame, files: DataFrame) -> DataFrame:

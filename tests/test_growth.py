@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from tessella.functions import text
+from tessella.operators import resolve
 from tessella.sources import repository, shared
 
 
@@ -29,3 +30,19 @@ def test_references_parse_each_text_once(spark):
     found = repository.references(repository.extracted(files))
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
     assert {(r.to_name, r.flow_type, r.confidence) for r in found.collect()} == {("getenv", None, None), ("getenv", "data_flows_to", 0.75), ("getenv", "data_flows_to", None), ("taint:source:env", "taint_source", 0.95)}
+
+
+def _made(spark, monkeypatch, run):
+    """What `run` writes between steps: rows by what it is called."""
+    found, own = {}, resolve.written
+    monkeypatch.setattr(resolve, "written", lambda df, what: found.setdefault(what, own(df, what)))
+    got = run()
+    return got.collect(), {k: v.count() for k, v in found.items()}
+
+
+def test_imports_alike_in_path_and_file_are_looked_up_once(spark, monkeypatch):
+    imports = spark.range(3_000).select("id", F.concat(F.lit("pkg/a"), (F.col("id") % 3).cast("string"), F.lit(".py")).alias("from_file")).select(F.col("id").alias("import_id"), F.lit("pkg.b").alias("import_path"), "from_file")
+    files = spark.createDataFrame([("src/pkg/b.py",), ("src/pkg/b/__init__.py",), ("lib/pkg/b.py",)], "file string")
+    rows, made = _made(spark, monkeypatch, lambda: resolve.import_files(imports, files))
+    assert len(rows) == 3_000 and {r.file for r in rows} == {"lib/pkg/b.py"}
+    assert made["pairs"] == 3 and made["tries"] == 9
