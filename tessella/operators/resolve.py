@@ -173,26 +173,30 @@ def chase(resolved: DataFrame, files: DataFrame, depth: int = 8) -> DataFrame:
     return now.drop("done_")
 
 
-def resolved(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Edges whose name is known, with the level by which the symbol was chosen, its fqn and file.
+def resolved(edges: DataFrame, symbols: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Edges whose name is known, with the level by which the symbol was chosen, its fqn and file, and the columns of `keep`.
 
     Levels: 0 the import's file, 1 a path ending in the import, 2 the same folder, 3 the same file, 4 any. At each but 3 a
     file that no tool wrote goes first; then the first by file and lines. Tainted edges pass through with no file.
 
-    What is alike in name, importing file and import path is resolved once."""
-    s = symbols.select("name", "fqn", "file", "line_start", "line_end", is_generated(F.col("file")).cast("int").alias("made"), parent(F.col("file")).alias("folder"))
-    by_place, by_hand = F.struct("file", "line_start", "line_end", "fqn"), F.struct("made", "file", "line_start", "line_end", "fqn")
+    What is alike in name, importing file and import path is resolved once. Of the symbols only those whose name some edge
+    has are looked at, and of each name and file only the first: no level can choose another."""
     taint = F.startswith("to_name", F.lit("taint:"))
     plain = edges.where(~taint)
     asked = ["to_name", "from_file", "import_path"]
-    e = plain.select(*asked).distinct().select(F.col("to_name").alias("name"), "from_file", "import_path", F.contains("import_path", F.lit("/")).alias("slash"))
+    every = written(plain.select(*asked).distinct().select(F.col("to_name").alias("name"), "from_file", "import_path"), "asked")
+    named = symbols.join(every.select("name").distinct(), "name", "left_semi")
+    first = named.groupBy("name", "file").agg(F.min(F.struct("line_start", "line_end", "fqn")).alias("p")).select("name", "file", "p.*")
+    s = written(first.withColumns({"made": is_generated(F.col("file")).cast("int"), "folder": parent(F.col("file"))}), "places")
+    e = every.join(s.select("name").distinct(), "name", "left_semi").withColumn("slash", F.contains("import_path", F.lit("/")))
+    by_place, by_hand = F.struct("file", "line_start", "line_end", "fqn"), F.struct("made", "file", "line_start", "line_end", "fqn")
     level4 = s.groupBy("name").agg(F.min(by_hand).alias("c4"))
-    level3 = s.groupBy("name", F.col("file").alias("from_file")).agg(F.min(by_place).alias("c3"))
+    level3 = s.select("name", F.col("file").alias("from_file"), by_place.alias("c3"))
     level2 = s.groupBy("name", "folder").agg(F.min(by_hand).alias("c2"))
     key = ["name", "from_file", "import_path"]
-    tried = tries(e.withColumn("import_", F.col("import_path")), ["name", "from_file", "import_"])
+    tried = e.join(_tried(e), ["import_path", "from_file"])
     found0 = best_ending(tried.select("name", "suffix", "whole").distinct(), s, by_place)
-    level0 = tried.join(found0, ["name", "suffix", "whole"]).groupBy("name", "from_file", F.col("import_").alias("import_path")).agg(F.min_by("c", "rank").alias("c0"))
+    level0 = tried.join(found0, ["name", "suffix", "whole"]).groupBy(*key).agg(F.min_by("c", "rank").alias("c0"))
     ends = e.where("slash").select("name", F.col("import_path").alias("suffix"), F.lit(False).alias("whole")).distinct()
     level1 = best_ending(ends, s, by_hand).select("name", "suffix", F.col("c").alias("c1"))
     joined = (
@@ -206,8 +210,8 @@ def resolved(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     chosen = F.element_at(F.filter(levels, lambda x: x["fqn"].isNotNull()), 1)
     told = joined.select(*[F.col(k).alias(f"{k}_") for k in key], chosen.alias("x"))
     same = (F.col("to_name") == F.col("name_")) & F.col("from_file").eqNullSafe(F.col("from_file_")) & F.col("import_path").eqNullSafe(F.col("import_path_"))
-    done = plain.select("edge_id", *asked).join(told, same).select("edge_id", "x.level", F.col("x.fqn").alias("out_name"), F.col("x.file").alias("out_file"))
-    tainted = edges.where(taint).select("edge_id", F.lit(-1).alias("level"), F.col("to_name").alias("out_name"), F.lit("").alias("out_file"))
+    done = plain.select("edge_id", *{*asked, *keep}).join(told, same).select("edge_id", *keep, "x.level", F.col("x.fqn").alias("out_name"), F.col("x.file").alias("out_file"))
+    tainted = edges.where(taint).select("edge_id", *keep, F.lit(-1).alias("level"), F.col("to_name").alias("out_name"), F.lit("").alias("out_file"))
     return done.unionByName(tainted)
 
 

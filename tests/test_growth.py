@@ -46,3 +46,11 @@ def test_imports_alike_in_path_and_file_are_looked_up_once(spark, monkeypatch):
     rows, made = _made(spark, monkeypatch, lambda: resolve.import_files(imports, files))
     assert len(rows) == 3_000 and {r.file for r in rows} == {"lib/pkg/b.py"}
     assert made["pairs"] == 3 and made["tries"] == 9
+
+
+def test_symbols_that_no_edge_names_are_not_looked_at(spark, monkeypatch):
+    symbols = spark.range(2_000).select(F.concat(F.lit("s"), "id").alias("fqn"), F.when(F.col("id") < 1_000, "hot").otherwise(F.concat(F.lit("n"), "id")).alias("name"), F.concat(F.lit("pkg/m"), (F.col("id") % 2).cast("string"), F.lit(".py")).alias("file"), (F.col("id") + 1).cast("int").alias("line_start"), (F.col("id") + 2).cast("int").alias("line_end"))
+    edges = spark.createDataFrame([("e1", "hot", "pkg/m1.py", None), ("e2", "hot", "x.py", "pkg.m1"), ("e3", "n1999", "x.py", None), ("e4", "gone", "x.py", None), ("e5", "taint:sink:sql", "x.py", None)], "edge_id string, to_name string, from_file string, import_path string")
+    rows, made = _made(spark, monkeypatch, lambda: resolve.resolved(edges, symbols, ("from_file",)))
+    assert {(r.edge_id, r.from_file, r.level, r.out_name, r.out_file) for r in rows} == {("e1", "pkg/m1.py", 3, "s1", "pkg/m1.py"), ("e2", "x.py", 0, "s1", "pkg/m1.py"), ("e3", "x.py", 4, "s1999", "pkg/m1.py"), ("e5", "x.py", -1, "taint:sink:sql", "")}
+    assert made["places"] == 3
