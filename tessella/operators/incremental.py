@@ -44,7 +44,7 @@ def maintained(resolved: DataFrame, edges: DataFrame, symbols: DataFrame, files:
     """resolved (edge_id, from_file, level, out_name, out_file) with the outgoing edges of `files` resolved anew; equal to resolving all."""
     kept = resolved.join(files.select(F.col("file").alias("from_file")), "from_file", "left_anti")
     again = edges.join(files.select(F.col("file").alias("from_file")), "from_file", "left_semi")
-    fresh = resolve.resolved(again, symbols).join(again.select("edge_id", "from_file"), "edge_id")
+    fresh = resolve.resolved(again, symbols, ("from_file",))
     return kept.unionByName(fresh.select(*kept.columns))
 
 

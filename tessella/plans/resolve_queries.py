@@ -177,7 +177,7 @@ def incremental_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     All names that the edit touched are in the set here, those that it removed too."""
     before, after, edges = _kept(t.symbols(spark, sf_dir)), _kept(_after(spark, sf_dir)), _kept(t.raw_edges(spark, sf_dir))
-    old = resolve.resolved(edges, before).join(edges.select("edge_id", "from_file"), "edge_id").select("edge_id", "from_file", "level", "out_name", "out_file")
+    old = resolve.resolved(edges, before, ("from_file",))
     delta = _kept(incremental.surface_delta(before, after))
     changed = delta.select("file").distinct()
     callers = incremental.callers_into(t.calls(spark, sf_dir), changed, changed)
