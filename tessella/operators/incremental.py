@@ -20,9 +20,9 @@ def changes(disk: DataFrame, stored: DataFrame, chunker_version: int) -> DataFra
 def surface_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """(file, name, fqn, change): what symbols' surfaces (file, name, fqn) lost and gained."""
     key = ["file", "name", "fqn"]
-    lost = before.select(*key).distinct().join(after.select(*key), key, "left_anti")
-    gained = after.select(*key).distinct().join(before.select(*key), key, "left_anti")
-    return lost.withColumn("change", F.lit("removed")).unionByName(gained.withColumn("change", F.lit("added")))
+    # one join tells both; distinct comes last, as what differs is little and a distinct of all surfaces is held in memory
+    both = before.select(*key, F.lit(True).alias("before_")).join(after.select(*key, F.lit(True).alias("after_")), key, "full").where("before_ IS NULL OR after_ IS NULL")
+    return both.select(*key, F.when(F.col("after_").isNull(), "removed").otherwise("added").alias("change")).distinct()
 
 
 def callers_into(calls: DataFrame, changed: DataFrame, affected: DataFrame) -> DataFrame:

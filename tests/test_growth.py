@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.operators import resolve
+from tessella.operators import incremental, resolve
 from tessella.sources import repository, shared
 
 
@@ -54,3 +54,10 @@ def test_symbols_that_no_edge_names_are_not_looked_at(spark, monkeypatch):
     rows, made = _made(spark, monkeypatch, lambda: resolve.resolved(edges, symbols, ("from_file",)))
     assert {(r.edge_id, r.from_file, r.level, r.out_name, r.out_file) for r in rows} == {("e1", "pkg/m1.py", 3, "s1", "pkg/m1.py"), ("e2", "x.py", 0, "s1", "pkg/m1.py"), ("e3", "x.py", 4, "s1999", "pkg/m1.py"), ("e5", "x.py", -1, "taint:sink:sql", "")}
     assert made["places"] == 3
+
+
+def test_a_delta_of_surfaces_is_one_join(spark):
+    of = lambda *xs: spark.createDataFrame([("f", x, x) for x in xs], "file string, name string, fqn string")
+    delta = incremental.surface_delta(of("a", "a", "b", "b"), of("b", "c", "c"))
+    assert delta._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted((r.fqn, r.change) for r in delta.collect()) == [("a", "removed"), ("c", "added")]
