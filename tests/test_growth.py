@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.operators import incremental, resolve
+from tessella.operators import graph, incremental, resolve
 from tessella.sources import repository, shared
 
 
@@ -61,3 +61,15 @@ def test_a_delta_of_surfaces_is_one_join(spark):
     delta = incremental.surface_delta(of("a", "a", "b", "b"), of("b", "c", "c"))
     assert delta._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     assert sorted((r.fqn, r.change) for r in delta.collect()) == [("a", "removed"), ("c", "added")]
+
+
+def test_an_export_writes_what_stays_and_its_summary_nothing(spark, monkeypatch):
+    made, own = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, what: made.append(own(df, what)) or made[-1])
+    calls = spark.createDataFrame([("a", x, "f", "g", 1, None) for x in "bcdz"] + [("b", "c", "f", "g", 1, 0.5), ("b", "c", "f", "g", 2, 0.7)], "in_name string, out_name string, in_file string, out_file string, line int, confidence double")
+    symbols = spark.createDataFrame([(x,) for x in "abcd"], "fqn string")
+    assert graph.export_summary(calls, symbols, 3).collect() == [(3, True, 1)] and not made
+    nodes, edges, summary = graph.export(calls, symbols, 2)
+    assert [m.count() for m in made] == [2] and {tuple(r) for r in edges.collect()} == {("a", "b", None), ("a", "c", None)}
+    assert {r.fqn for r in nodes.collect()} == {"a", "b", "c"} and summary.collect() == [(2, True, 1)]
+    assert {tuple(r) for r in graph.export(calls, symbols)[1].collect()} >= {("b", "c", 0.7)}
