@@ -15,7 +15,7 @@ class Forest:
     """Disjoint sets; the smallest member names its set."""
 
     def __init__(self) -> None:
-        self.up: dict[int, int] = {}
+        self.up: dict[int, int] | dict[str, str] = {}
 
     def find(self, x: int) -> int:
         up, root = self.up, x
@@ -37,10 +37,11 @@ class Forest:
     def __len__(self) -> int:
         return len(self.up)
 
-    def stars(self) -> pa.RecordBatch:
-        """An edge (u, v) from each member to the smallest of its set."""
+    def stars(self, kind: pa.DataType | None = None) -> pa.RecordBatch:
+        """An edge (u, v) from each member to the smallest of its set; members are numbers if no other kind is named."""
+        kind = kind or pa.int64()
         found = [(x, r) for x in list(self.up) if (r := self.find(x)) != x]
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], kind), pa.array([r for _, r in found], kind)], ["u", "v"])
 
 
 #: Edges that a task contracts at once.
@@ -49,15 +50,23 @@ BLOCK = 1 << 18
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same components with fewer edges: each block's forest as stars."""
-    forest, n = Forest(), 0
+    forest, n, kind = Forest(), 0, None
     for batch in batches:
+        kind = batch.column(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             forest.join(a, b)
         n += batch.num_rows
         if n >= BLOCK:
-            yield forest.stars()
+            yield forest.stars(kind)
             forest, n = Forest(), 0
-    yield forest.stars()
+    if kind is not None:
+        yield forest.stars(kind)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges of two columns with the same components and all their ends, but fewer edges, before any is moved; no end may be null."""
+    a, b = edges.columns
+    return edges.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays(x.columns, [a, b]) for x in _contracted(batches)), edges.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

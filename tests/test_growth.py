@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.operators import graph, incremental, resolve
+from tessella.operators import components, graph, incremental, resolve
 from tessella.sources import repository, shared
 
 
@@ -73,3 +73,10 @@ def test_an_export_writes_what_stays_and_its_summary_nothing(spark, monkeypatch)
     assert [m.count() for m in made] == [2] and {tuple(r) for r in edges.collect()} == {("a", "b", None), ("a", "c", None)}
     assert {r.fqn for r in nodes.collect()} == {"a", "b", "c"} and summary.collect() == [(2, True, 1)]
     assert {tuple(r) for r in graph.export(calls, symbols)[1].collect()} >= {("b", "c", 0.7)}
+
+
+def test_name_edges_are_contracted_before_they_move(spark):
+    made = spark.range(6_000).coalesce(1).select(F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("a"), F.concat(F.lit("p"), (F.col("id") % 30).cast("string")).alias("b"))
+    stars = components.contracted(made).collect()
+    assert len(stars) == 30 and {x for r in stars for x in r} == {*(f"s{k}" for k in range(3)), *(f"p{k}" for k in range(30))}
+    assert {(r.fqn, r.component) for r in graph.components(made).collect()} == {(x, f"p{min((f'{k}' for k in range(30) if k % 3 == int(x[1:]) % 3), key=str)}") for x in {y for r in stars for y in r}}
