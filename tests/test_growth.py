@@ -1,11 +1,15 @@
 """Work that must grow no faster than its input."""
 
+import random
 import time
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text
 from tessella.operators import components, graph, incremental, resolve
+from tessella.plans import registry
 from tessella.sources import repository, shared
 
 
@@ -80,3 +84,45 @@ def test_name_edges_are_contracted_before_they_move(spark):
     stars = components.contracted(made).collect()
     assert len(stars) == 30 and {x for r in stars for x in r} == {*(f"s{k}" for k in range(3)), *(f"p{k}" for k in range(30))}
     assert {(r.fqn, r.component) for r in graph.components(made).collect()} == {(x, f"p{min((f'{k}' for k in range(30) if k % 3 == int(x[1:]) % 3), key=str)}") for x in {y for r in stars for y in r}}
+
+
+_SF = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not _SF.exists(), reason="the input tables are not here")
+@pytest.mark.parametrize("name", ["call_tags", "symbol_context"])
+def test_callers_and_callees_come_from_one_reading_of_the_calls(spark, name):
+    got = registry.queries()[name](spark, str(_SF))
+    leaves = got._jdf.queryExecution().optimizedPlan().collectLeaves()
+    # calls have line items twice, as those of orders and of suppliers
+    assert sum("l_orderkey" in leaves.apply(k).toString() for k in range(leaves.size())) == 2
+
+
+def test_call_lists_are_those_of_brute_force(spark):
+    pick = random.Random(5)
+    files = ["a/x.py", "a/y.py", "b/x.py", "z", "a/b/x.py", None]
+    calls = [(f"f{pick.randrange(60)}", "hub" if pick.random() < 0.5 else f"f{pick.randrange(60)}", pick.choice(files), pick.choice(files), 1, pick.choice([None, None, 0.5, 1.0])) for _ in range(600)]
+    calls += [(None, "f1", "z", "z", 1, None), ("f1", None, "z", "z", 1, None)]
+    symbols = [(f"f{k}", f"n{k % 45}") for k in range(55)] + [("f3", "twin"), ("f3", "twin"), ("hub", "hub"), ("alone", "alone")]
+    tables = spark.createDataFrame(calls, "in_name string, out_name string, in_file string, out_file string, line int, confidence double"), spark.createDataFrame(symbols, "fqn string, name string")
+    got = graph.call_lists(*tables)
+    names, folder = {}, lambda f: f.rpartition("/")[0]
+    for fqn, name in symbols:
+        names.setdefault(fqn, set()).add(name)
+
+    def side(at, to, x):
+        own = [c for c in calls if c[at] == x]
+        near = {}
+        for c in own:
+            k = 2 if None in c[2:4] else 0 if c[2] == c[3] else 1 if folder(c[2]) == folder(c[3]) else 2
+            for name in names.get(c[to], ()):
+                near[name] = min(k, near.get(name, 2))
+        return len(own), any(c[5] is not None and c[5] < 1 for c in own), sorted(near, key=lambda n: (near[n], n))[:30]
+
+    want = {x: (*side(1, 0, x), *side(0, 1, x)) for c in calls for x in c[:2] if x is not None}
+    assert max(len(w[2]) for w in want.values()) == 30
+    assert {r.fqn: (r.callers, r.callers_inferred, r.caller_names, r.callees, r.callees_inferred, r.callee_names) for r in got.collect()} == want
+    of = spark.createDataFrame([("f7",), ("f9",)], "fqn string")
+    some = graph.call_lists(*tables, of=of)
+    assert {r.fqn: r.caller_names for r in some.collect()} == {x: want[x][2] for x in want if "f7" <= x <= "f9"}
+    assert graph.call_lists(*tables, of=of.limit(0)).count() == 0
