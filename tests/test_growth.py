@@ -138,3 +138,10 @@ def test_call_lists_are_those_of_brute_force(spark):
     some = graph.call_lists(*tables, of=of)
     assert {r.fqn: r.caller_names for r in some.collect()} == {x: want[x][2] for x in want if "f7" <= x <= "f9"}
     assert graph.call_lists(*tables, of=of.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not _SF.exists(), reason="the input tables are not here")
+def test_what_an_answer_is_made_of_is_written(spark):
+    leaves = registry.queries()["search_answer"](spark, str(_SF))._jdf.queryExecution().optimizedPlan().collectLeaves()
+    # the files whose lines are shown; chunks are not made again
+    assert sum("text" in leaves.apply(k).toString() and "lang" in leaves.apply(k).toString() for k in range(leaves.size())) == 1
