@@ -91,7 +91,7 @@ def test_an_expansion_writes_its_hops_only(spark, monkeypatch):
     monkeypatch.setattr(graph, "written", lambda df, what: made.append(own(df, what)) or made[-1])
     far = spark.range(3_000).select(F.concat(F.lit("x"), "id").alias("in_name"), F.concat(F.lit("y"), "id").alias("out_name"))
     near = spark.createDataFrame([("b", "a"), ("b", "a"), ("a", "c"), ("d", "b"), ("c", "e"), ("e", "a")], "in_name string, out_name string")
-    calls = far.unionByName(near).withColumn("confidence", F.when(F.col("in_name") == "d", 0.5))
+    calls = far.unionByName(near).withColumn("confidence", F.when(F.col("in_name") == "d", 0.5)).withColumns({"in_file": F.lit("f"), "out_file": F.lit("g")})
     base = spark.createDataFrame([("a", 1.0), ("a", 0.2), ("low", 0.1)], "fqn string, score double")
     got = [(r.fqn, round(r.score, 9)) for r in graph.expand(calls, base).collect()]
     assert got == [("b", 0.6), ("e", 0.6), ("c", 0.5), ("d", 0.18)]
