@@ -2,13 +2,15 @@
 
 import random
 import time
+import zlib
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.operators import components, graph, incremental, resolve
+from tessella.operators import call_names, components, graph, incremental, resolve
 from tessella.plans import registry
 from tessella.sources import repository, shared
 
@@ -140,6 +142,36 @@ def test_call_lists_are_those_of_brute_force(spark):
     assert graph.call_lists(*tables, of=of.limit(0)).count() == 0
 
 
+def test_calls_are_listed_without_a_window_over_them(spark):
+    calls = spark.createDataFrame([("a", "b", "f", "f", 1, None)], "in_name string, out_name string, in_file string, out_file string, line int, confidence double")
+    plan = graph.call_lists(calls, spark.createDataFrame([("a", "a")], "fqn string, name string"))._jdf.queryExecution().optimizedPlan().toString()
+    # the one over symbols
+    assert plan.count("Window [") == 1 and "collect_" not in plan
+
+
+def test_calls_of_a_hub_are_held_in_pieces(monkeypatch):
+    seen, own = [], call_names._firsts
+    monkeypatch.setattr(call_names, "ROWS", 64)
+    monkeypatch.setattr(call_names, "_firsts", lambda rows, *more: seen.append(rows.num_rows) or own(rows, *more))
+    pick = random.Random(3)
+    # the last two have the same CRC-32
+    rows = [("hub", pick.randrange(2), pick.choice([*(f"n{k}" for k in range(50)), None]), pick.randrange(3), pick.random() < 0.01) for _ in range(2_000)]
+    rows += [(pick.choice(["plumless", "buckeroo", f"s{pick.randrange(20)}"]), pick.randrange(2), f"n{pick.randrange(9)}", pick.randrange(3), False) for _ in range(600)]
+    rows.sort(key=lambda r: zlib.crc32(r[0].encode()))
+    told = [(at, chr(near + 4 * inferred + 8 * side + 16 + 32 + 64 * (name is None)) + (name or "")) for at, side, name, near, inferred in rows]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*told[k : k + 10], strict=True)], ["at", "site"]) for k in range(0, len(told), 10)]
+    got = [r for b in call_names.told([("callers", "caller_names"), ("callees", "callee_names")], 5)(iter(batches)) for r in b.to_pylist()]
+
+    def side(x, k):
+        own_, near = [r for r in rows if r[:2] == (x, k)], {}
+        for r in own_:
+            near[r[2]] = min(r[3], near.get(r[2], 2))
+        return len(own_), any(r[4] for r in own_), sorted(near, key=lambda n: (near[n], n is None, n or ""))[:5]
+
+    assert len(got) == len({r[0] for r in rows}) and max(seen) < 64 + 10
+    assert {r["fqn"]: (r["callers"], r["callers_inferred"], r["caller_names"], r["callees"], r["callees_inferred"], r["callee_names"]) for r in got} == {x: (*side(x, 0), *side(x, 1)) for x in {r[0] for r in rows}}
+
+
 @pytest.mark.skipif(not _SF.exists(), reason="the input tables are not here")
 def test_what_an_answer_is_made_of_is_written(spark):
     leaves = registry.queries()["search_answer"](spark, str(_SF))._jdf.queryExecution().optimizedPlan().collectLeaves()
